@@ -130,6 +130,13 @@ def _powers_to(n: int) -> list[np.ndarray]:
     return _powers
 
 
+def spans_hashes(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of the symbols of each span [start, end), wherever it lies."""
+    powers, inverse = _powers_to(len(h) + 1)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * powers[: len(h)])))
+    return (sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64)
+
+
 def inside(bounds: np.ndarray, n: int) -> np.ndarray:
     """Which of the windows of n symbols lie in one text. bounds: each text's first symbol, and the end."""
     total = int(bounds[-1])
@@ -161,9 +168,7 @@ def anchors(h: np.ndarray, bounds: np.ndarray, gram: int, window: int) -> dict[s
     head = np.flatnonzero(new)
     first, last = starts[head], starts[np.append(head[1:], len(starts)) - 1]
     at = at[head]
-    powers, inverse = _powers_to(len(h) + 1)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * powers[: len(h)])))
-    around = (sums[last + window] - sums[first]) * inverse[first]
+    around = spans_hashes(h, first, last + window)
     around = mix(around + mix((at - first).astype(np.uint64) * np.uint64(1 << 20) + (last - first).astype(np.uint64)))
     text = np.searchsorted(bounds, first, side="right") - 1
     return {"text": text, "first": first - bounds[text], "last": last - bounds[text], "seed": grams[at].view(np.int64), "around": around.view(np.int64)}
