@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm import textarrays
 from ledgerline.llm.components import components
+from ledgerline.llm.rows import NO_ID, doc_id, keyed
 from ledgerline.session import materialise, table
 
 SHINGLE = 3
@@ -63,12 +64,12 @@ def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in textarrays.slices(whole, "text"):
             prints = fingerprints(batch.column("text").to_pylist()).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("did"), batch.column("th"), pa.array(prints)], names=["did", "th", "fp"])
 
 
 def with_fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) for each row; fp holds the 64 bits as a signed long."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_fingerprint, "doc_id long, fp long")
+    """(did, th, fp) for each row of docs (doc_id, text); fp holds the 64 bits as a signed long."""
+    return keyed(docs).mapInArrow(_fingerprint, "did long, th long, fp long")
 
 
 def _near_chains(distinct: DataFrame) -> DataFrame:
@@ -102,9 +103,13 @@ def links(labelled: DataFrame) -> DataFrame:
 
 
 def simhash_groups(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id) for each row of docs (doc_id, text)."""
+    """(did, th, fp, component_id, first) for each row of docs (doc_id, text).
+
+    first says whether the row is its group's least by doc_id (null last) and text hash.
+    """
     prints = materialise(with_fingerprints(docs), "fingerprints")
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    order = F.struct((F.col("did") == NO_ID).alias("unnamed"), F.col("did"), F.col("th"))
+    distinct = prints.groupBy("fp").agg(F.min(order).alias("least"))
     chained = components(_near_chains(distinct))
     labelled = distinct.join(chained, distinct.fp == chained.id, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     labelled = materialise(labelled, "labelled")
@@ -113,10 +118,13 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
     joined = components(found.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
     whole = labelled.join(joined, labelled.root == joined.id, "left").select("fp", "least", F.coalesce(joined.root, labelled.root).alias("top"))
     whole = materialise(whole, "groups")
-    names = whole.groupBy("top").agg(F.min("least").alias("component_id"))
-    return prints.join(whole.join(names, "top").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    names = whole.groupBy("top").agg(F.min("least").alias("head"))
+    named = prints.join(whole.join(names, "top").select("fp", "head"), "fp")
+    component = F.when(~F.col("head.unnamed"), F.col("head.did"))
+    first = (F.col("did") == F.col("head.did")) & (F.col("th") == F.col("head.th"))
+    return named.select("did", "th", "fp", component.alias("component_id"), first.alias("first"))
 
 
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash_groups(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return out.select(doc_id(), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
