@@ -3,24 +3,37 @@
 Both vocabularies split texts so that no token crosses a single blank or newline between two
 visible characters. Texts are cut there and each distinct piece is encoded once by the
 tokenizers library; pieces already met by this worker come from memory. Any other white
-space stays inside its piece, so the ids are those of the whole text.
+space stays inside its piece, so the ids are those of the whole text. Runs of Latin letters
+and of punctuation go to the library's model directly, which saves it the normalising. Ids
+are in the byte order of the machine, little-endian on all that Spark runs on.
 """
 
 from __future__ import annotations
 
 import os
 import re
-
-import numpy as np
+from array import array
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Distinct pieces that a worker remembers, and the longest piece it does.
-REMEMBERED = 600_000
+REMEMBERED = 450_000
 LONGEST = 32
 
 _PIECES = re.compile(r"[ \n]?\S+")
 _CUTS = re.compile(r"(?<=\S)(?=[ \n]\S)")
+#: Pieces whose inner cut is plain: Latin letters, then ASCII punctuation.
+_PLAIN = re.compile(r"([ \n]?)([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-/:-@\[-`{-~]*)")
+
+
+def _byte_characters() -> dict[int, int]:
+    """Byte-level vocabularies write each byte as one visible character: those that are none start at 256."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: 256 + i for i, b in enumerate(hidden)}
+
+
+_CHARACTERS = _byte_characters()
 
 
 class Encoder:
@@ -31,7 +44,15 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        #: Whether blanks are tokens, and whether letters are lower-cased, shows in what it does.
+        self.blanks = self._whole("a b") != self._whole("a") + self._whole("b")
+        self.lower = self._whole("A") == self._whole("a")
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def vocabulary_size(self) -> int:
         return self.tokenizer.get_vocab_size(with_added_tokens=True)
@@ -41,19 +62,49 @@ class Encoder:
         pieces = _PIECES.findall(text)
         return pieces if sum(map(len, pieces)) == len(text) else _CUTS.split(text)
 
+    def _part(self, part: str) -> bytes:
+        """Ids of one letter or punctuation run, straight from the model."""
+        found = self.parts.get(part)
+        if found is None:
+            written = (part.lower() if self.lower else part).encode().decode("latin-1").translate(_CHARACTERS)
+            found = self.parts[part] = array("I", [t.id for t in self.model.tokenize(written)]).tobytes()
+        return found
+
+    def _plain(self, piece: str) -> bytes | None:
+        m = _PLAIN.fullmatch(piece)
+        if not m:
+            return None
+        lead, letters, tail = m.groups()
+        if not self.blanks:
+            out = self._part(letters)
+        elif lead == "\n":
+            out = self._part("\n") + self._part(letters)
+        else:
+            out = self._part(lead + letters)
+        return out + self._part(tail) if tail else out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self.cut(t) for t in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        new = list(set().union(*cut).difference(self.known))
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
+        if len(self.parts) > REMEMBERED:
+            self.parts.clear()
+        known = self.known
+        odd = []
+        for piece in {p for pieces in cut for p in pieces if p not in known}:
+            coded = self._plain(piece)
+            if coded is None:
+                odd.append(piece)
+            else:
+                known[piece] = coded
+        for i in range(0, len(odd), 4096):
+            part = odd[i : i + 4096]
             for piece, coded in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[piece] = np.array(coded.ids, "<u4").tobytes()
-        out = [b"".join(map(self.known.__getitem__, pieces)) for pieces in cut]
-        for piece in new:
+                known[piece] = array("I", coded.ids).tobytes()
+        out = [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
+        for piece in odd:
             if len(piece) > LONGEST:
-                del self.known[piece]
+                del known[piece]
         return out
 
 
