@@ -6,6 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = ""
+from ledgerline.plans import features
+
+_ALL = {**features.QUERIES}
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: query for name, (query, _) in _ALL.items()}
+ORACLE_SQL: dict[str, str] = {name: text for name, (_, text) in _ALL.items() if text}
+FLAGSHIP = "rating_features"
