@@ -67,15 +67,15 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     bins, offsets = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
     made = 0
     for i, s in enumerate(lengths.tolist()):
-        gap, gain = capacity, count[capacity - s] if s < capacity else -1
-        #: Half the growth of the sum of squares, less the 1 that every inexact choice has.
+        #: Growth of the sum of squares by a new bin, by a bin that stays open, by one that closes.
+        gap, growth = capacity, 2 * count[capacity - s] + 1 if s < capacity else 0
         inner = count[1 : capacity - s] - count[s + 1 : capacity]
         inner[count[s + 1 : capacity] == 0] = 1 << 40
         if len(inner):
             at = int(inner.argmin())
-            if inner[at] + 1 <= gain:
-                gap, gain = s + 1 + at, inner[at] + 1
-        if s < capacity and count[s] and -count[s] <= gain:
+            if 2 * inner[at] + 2 <= growth:
+                gap, growth = s + 1 + at, 2 * inner[at] + 2
+        if s < capacity and count[s] and 1 - 2 * count[s] <= growth:
             gap = s
         if gap == capacity:
             b = made
