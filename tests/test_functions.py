@@ -40,7 +40,7 @@ def test_window_fixture(spark):
     from ledgerline.operators.windows import history_features
 
     row = history_features(near, ["event_id"], ["revenue"], "p").first()
-    assert row["depth"] == 3 and round(row["revenue_avg3y"], 4) == 123.3333 and row["revenue_delta1y"] == 30.0 and row["revenue_slope3y"] == 25.0
+    assert row["depth"] == 3 and round(row["revenue_avg3y"], 4) == 123.3333 and row["revenue_delta1y"] == 30.0 and round(row["revenue_slope3y"], 9) == 25.0
 
 
 def test_upsert_keeps_other_keys(spark):
