@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm.components import components, forest
+from ledgerline.llm.components import components
 from ledgerline.session import materialise, table
 
 THRESHOLD = 0.95
@@ -122,8 +122,8 @@ def _router(trees: Forest, block: int):
                 other = np.arange(len(again)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
                 mine = own[again]
                 row = rows[again]
-                raw = vectors.tobytes()
-                size = 8 * trees.dimensions
+                raw = flat.astype(np.float32).tobytes()
+                size = 4 * trees.dimensions
                 packed = [raw[r * size : (r + 1) * size] for r in row.tolist()]
                 lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(leaf.astype(np.int32))).take(pa.array(row))
                 columns = [leaf[again].astype(np.int32), np.minimum(mine, other).astype(np.int32), np.maximum(mine, other).astype(np.int32), mine > other, gid[row], m[row]]
@@ -132,46 +132,67 @@ def _router(trees: Forest, block: int):
     return run
 
 
-def _signatures(leaves: list[np.ndarray], fill: int) -> np.ndarray:
-    out = np.full((len(leaves), max(map(len, leaves))), fill, np.int32)
-    for i, own in enumerate(leaves):
-        out[i, : len(own)] = own
+def _earlier(leaf: int, blocks: list[tuple]) -> list[np.ndarray]:
+    """For each block, one bit row per vector: which of the leaves before this one it is in."""
+    lists = [np.concatenate(own[3]) if len(own[3]) else np.zeros(0, np.int64) for own in blocks]
+    known = np.unique(np.concatenate(lists))
+    known = known[known < leaf]
+    out = []
+    for own, flat in zip(blocks, lists, strict=True):
+        bits = np.zeros((len(own[3]), len(known) // 64 + 1), np.uint64)
+        row = np.repeat(np.arange(len(own[3])), [len(x) for x in own[3]])
+        row, flat = row[flat < leaf], flat[flat < leaf]
+        at = np.searchsorted(known, flat)
+        np.bitwise_or.at(bits, (row, at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
+        out.append(bits)
     return out
 
 
+def _merge(label: np.ndarray, p: np.ndarray, q: np.ndarray) -> None:
+    """Give the two ends of every pair, and all that already share a label with them, one label."""
+    while len(p):
+        x, y = label[p], label[q]
+        apart = x != y
+        p, q, x, y = p[apart], q[apart], x[apart], y[apart]
+        least = np.minimum(x, y)
+        np.minimum.at(label, x, least)
+        np.minimum.at(label, y, least)
+        while True:
+            jumped = label[label]
+            if (jumped == label).all():
+                break
+            label[:] = jumped
+
+
 def compare(leaf: int, a: tuple, b: tuple | None, threshold: float) -> tuple[np.ndarray, ...]:
     """Links of block a with block b (or within a). Blocks: gid, multiplicity, unit vectors, leaves."""
     same = b is None
-    b = a if same else b
-    sig_a, sig_b = _signatures(a[3], -1), _signatures(b[3], -2)
-    totals = [np.zeros(len(a[0]), np.int64), np.zeros(len(b[0]), np.int64)]
-    heads = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
-    for i in range(0, len(a[0]), 512):
-        x, y = np.nonzero(a[2][i : i + 512] @ b[2].T >= threshold)
+    both = [a] if same else [a, b]
+    bits = _earlier(leaf, both)
+    b, bits_a, bits_b = both[-1], bits[0], bits[-1]
+    shift = 0 if same else len(a[0])
+    gid = np.concatenate([own[0] for own in both])
+    links = np.zeros(len(gid), np.int64)
+    label = np.arange(len(gid))
+    for i in range(0, len(a[0]), 256):
+        x, y = np.nonzero(a[2][i : i + 256] @ b[2].T >= threshold)
         x = x + i
         if same:
             x, y = x[y > x], y[y > x]
-        for j in range(0, len(x), 50_000):
-            p, q = x[j : j + 50_000], y[j : j + 50_000]
-            left, right = sig_a[p], sig_b[q]
-            met = np.zeros(len(p), bool)
-            for k in range(left.shape[1]):
-                met |= (left[:, k] < leaf) & (left[:, k : k + 1] == right).any(axis=1)
-            p, q = p[~met], q[~met]
-            np.add.at(totals[0], p, b[1][q])
-            np.add.at(totals[1], q, a[1][p])
-            heads = list(forest(np.concatenate((heads[0], a[0][p])), np.concatenate((heads[1], b[0][q]))))
-    gid = np.concatenate((a[0], b[0], heads[0]))
-    links = np.concatenate((*totals, np.zeros(len(heads[0]), np.int64)))
-    root = np.concatenate((a[0], b[0], heads[1]))
-    told = (links > 0) | (root != gid)
-    return gid[told], links[told], root[told]
+        met = np.zeros(len(x), bool)
+        for k in range(bits_a.shape[1]):
+            met |= (bits_a[x, k] & bits_b[y, k]) != 0
+        x, y = x[~met], y[~met]
+        links += np.bincount(x, b[1][y], len(gid)).astype(np.int64) + np.bincount(y + shift, a[1][x], len(gid)).astype(np.int64)
+        _merge(label, x, y + shift)
+    told = links > 0
+    return gid[told], links[told], gid[label[told]]
 
 
 def _comparer(dimensions: int, threshold: float):
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         def block(own: pd.DataFrame) -> tuple:
-            vectors = np.frombuffer(b"".join(own["vector"]), np.float64).reshape(-1, dimensions)
+            vectors = _unit(np.frombuffer(b"".join(own["vector"]), np.float32).reshape(-1, dimensions))
             return own["gid"].to_numpy(), own["m"].to_numpy(), vectors, list(own["leaves"])
 
         leaf, low, high = key
