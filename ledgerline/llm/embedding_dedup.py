@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm.components import components
+from ledgerline.llm.rows import hash_share
 from ledgerline.session import materialise, table
 
 THRESHOLD = 0.95
@@ -222,7 +223,7 @@ def embedding_links(distinct: DataFrame, threshold: float = THRESHOLD, trees: in
     for dimensions, total in sorted(sizes.items()):
         own = distinct.filter(F.size("embedding") == dimensions)
         bound = max(256, min(SAMPLE, (1 << 22) // dimensions))
-        rows = own.select(F.xxhash64("embedding").alias("order"), "embedding").orderBy("order").limit(bound).select("embedding").collect()
+        rows = own.select(F.xxhash64("embedding").alias("order"), "embedding").filter(hash_share(F.col("order"), bound, total)).orderBy("order").limit(bound).select("embedding").collect()
         grown = Forest(_unit(np.array([r[0] for r in rows], np.float64)), total, trees, leaf)
         routed = own.select("gid", "m", "embedding").mapInArrow(_router(grown, block), _ROUTED)
         part = routed.groupBy("leaf", "low", "high").applyInPandas(_comparer(dimensions, threshold), _FOUND)

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from ledgerline.llm import textarrays
 from ledgerline.llm.html_blocks import Block, blocks
 from ledgerline.llm.recurrent import Adam, Bidirectional, LongShortCell
+from ledgerline.llm.rows import hash_share
 from ledgerline.session import table
 
 PATH_SLOTS, WORD_SLOTS, COUNTS = 192, 32, 8
@@ -34,6 +35,7 @@ STEPS = 260
 BATCH = 32
 TRAINING_PAGES = 900
 SAMPLE = 200
+EXCERPT = 6000
 
 _slots: dict[tuple[str, int], int] = {}
 
@@ -199,8 +201,9 @@ def _extractor(net: Bidirectional):
 
 def word_pool(pages: DataFrame) -> list[str]:
     """Distinct words of at most SAMPLE pages, in the order of a hash of page_id."""
-    excerpt = F.substring("html", 1, 6000).alias("excerpt")
-    rows = pages.filter("html is not null").orderBy(F.xxhash64("page_id"), F.xxhash64("html")).limit(SAMPLE).select(excerpt).collect()
+    known = pages.filter("html is not null")
+    order = F.xxhash64("page_id")
+    rows = known.filter(hash_share(order, SAMPLE, known.count())).select(order.alias("order"), F.substring("html", 1, EXCERPT).alias("excerpt")).orderBy("order", "excerpt").limit(SAMPLE).collect()
     return sorted({w for r in rows for b in blocks(r["excerpt"]) for w in b.text.split()})
 
 

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm import doc_stats, textarrays
 from ledgerline.llm.boosting import Boosted
+from ledgerline.llm.rows import hash_share
 from ledgerline.session import materialise, table
 
 SAMPLE = 20_000
@@ -57,7 +58,9 @@ def features(columns: dict[str, np.ndarray]) -> np.ndarray:
 
 def train(stats: DataFrame, labels: DataFrame) -> Boosted | None:
     known = labels.filter("quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    rows = stats.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), *doc_stats.NAMES).limit(SAMPLE).select("quality", *doc_stats.NAMES).toPandas()
+    joined = stats.join(known, "doc_id")
+    joined = joined.filter(hash_share(F.xxhash64("doc_id"), SAMPLE, joined.count()))
+    rows = joined.orderBy(F.xxhash64("doc_id"), *doc_stats.NAMES).limit(SAMPLE).select("quality", *doc_stats.NAMES).toPandas()
     y = (rows["quality"].to_numpy() > 0).astype(float)
     if len(y) == 0 or y.min() == y.max():
         return None

@@ -24,3 +24,12 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def doc_id() -> Column:
     return F.when(F.col("did") != NO_ID, F.col("did")).alias("doc_id")
+
+
+def hash_share(order: Column, wanted: int, total: int) -> Column:
+    """Rows whose hash lies in a low range that holds about 1.5 times the wanted rows.
+
+    Taken before a bounded sample is sorted, so that no task sends its own `wanted` rows.
+    """
+    share = min(1.0, 1.5 * wanted / max(1, total))
+    return F.lit(True) if share >= 1 else order < F.lit(int(-(2**63) + share * 2**64))
