@@ -5,7 +5,8 @@ path, its hashed words and a few counts; a bidirectional LSTM reads the whole se
 says for each block whether it belongs to the article. The network is trained here, on
 TRAINING_PAGES pages that are composed from a fixed grammar of page furniture (menus, notices, adverts,
 sidebars, forms, comments, headers, footers) around articles, where every block's role is
-known; its words are drawn from at most SAMPLE pages of the table, so that none of them
+known; its words are drawn from the first EXCERPT characters of at most SAMPLE pages (by a
+hash of page_id), so that none of them
 tells the role. Nothing of a page is dropped or capped.
 
 Defined results: null or empty html, and pages without article blocks, give an empty text;
