@@ -4,6 +4,7 @@ import math
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -18,6 +19,8 @@ def rows(frame: pd.DataFrame) -> list[str]:
     def cell(v):
         if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and math.isnan(v)):
             return None
+        if isinstance(v, (bool, np.bool_)):
+            return str(bool(v))
         if hasattr(v, "year"):
             return str(pd.Timestamp(v))
         return repr(float(v)) if not isinstance(v, (bool, str)) and hasattr(v, "__float__") else str(v)
