@@ -1,4 +1,4 @@
-"""Anchored search for repeated windows, shared by the two substring operators.
+"""Anchored search for repeated windows, of the substring operator; its parts also serve operator 10.
 
 Steps, each a Spark shuffle on a key that one text can't flood:
 
@@ -27,10 +27,10 @@ from ledgerline.llm import textarrays
 from ledgerline.llm.rows import KEY
 from ledgerline.session import materialise
 
-_RUNS = "seed long, around long, did long, th long, first int, last int, settled boolean, twin boolean"
-_ALONE = "did long, th long, first int, last int"
+RUNS = "seed long, around long, did long, th long, first int, last int, settled boolean, twin boolean"
 
 Symbols = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
+Sampler = Callable[[np.ndarray, np.ndarray], dict[str, np.ndarray]]
 
 
 def word_symbols(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -45,12 +45,14 @@ def byte_symbols(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return textarrays.byte_hashes(data), offsets
 
 
-def _find_runs(symbols: Symbols, gram: int, window: int, keep_first: bool):
+def find_runs(symbols: Symbols, sampler: Sampler, keep_first: bool):
+    """The sampled runs of all texts; runs equal within one slice of texts are combined."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in textarrays.slices(whole, "text"):
                 h, bounds = symbols(batch.column("text"))
-                a = textarrays.anchors(h, bounds, gram, window)
+                a = sampler(h, bounds)
                 n = len(a["text"])
                 if not n:
                     continue
@@ -79,22 +81,33 @@ def _find_runs(symbols: Symbols, gram: int, window: int, keep_first: bool):
 
 
 def _join_settled(columns: list[np.ndarray], settled: np.ndarray, emit: np.ndarray) -> list[np.ndarray]:
-    """Neighbouring settled runs of one text become one row."""
+    """Settled runs of one text that touch or overlap become one row."""
     going = [c[emit & ~settled] for c in columns]
     done = [c[settled] for c in columns]
     if len(done[0]):
-        order = np.lexsort((done[4], done[3], done[2]))
+        order = np.lexsort((done[5], done[4], done[3], done[2]))
         done = [c[order] for c in done]
         new = np.ones(len(order), bool)
-        new[1:] = (done[2][1:] != done[2][:-1]) | (done[3][1:] != done[3][:-1]) | (done[4][1:] != done[5][:-1] + 1)
+        new[1:] = (done[2][1:] != done[2][:-1]) | (done[3][1:] != done[3][:-1]) | (done[4][1:] > done[5][:-1] + 1)
         head = np.flatnonzero(new)
         tail = np.append(head[1:], len(order)) - 1
         done = [c[tail] if i == 5 else c[head] for i, c in enumerate(done)]
     return [np.concatenate(pair) for pair in zip(going, done, strict=True)]
 
 
-def _open_windows(symbols: Symbols, window: int):
-    """Hashes of the single windows of the open runs."""
+def union(owner: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of one owner that touch or overlap joined into one; no run lies inside a later one."""
+    order = np.lexsort((last, first, owner))
+    owner, first, last = owner[order], first[order], last[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (first[1:] > last[:-1] + 1)
+    head = np.flatnonzero(new)
+    tail = np.append(head[1:], len(order)).astype(np.int64) - 1
+    return owner[head], first[head], last[tail[: len(head)]]
+
+
+def open_windows(symbols: Symbols, window: int):
+    """Hashes of the single windows of the open runs, each window once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -105,7 +118,7 @@ def _open_windows(symbols: Symbols, window: int):
                 counts = np.diff(runs.offsets.to_numpy())
                 inner = runs.flatten()
                 first, last = (inner.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(2))
-                text = np.repeat(np.arange(batch.num_rows), counts)
+                text, first, last = union(np.repeat(np.arange(batch.num_rows), counts), first, last)
                 sizes = last - first + 1
                 heads = np.concatenate(([0], np.cumsum(sizes)[:-1])) if len(sizes) else np.zeros(0, np.int64)
                 at = np.arange(int(sizes.sum())) - np.repeat(heads - first, sizes)
@@ -124,7 +137,7 @@ def repeated(docs: DataFrame, symbols: Symbols, gram: int, window: int, keep_fir
     keep_first: leave the first occurrence (least did, th, place) of each window out.
     Spans are [first, end) in symbols, not merged; null where a text has none.
     """
-    runs = docs.mapInArrow(_find_runs(symbols, gram, window, keep_first), _RUNS)
+    runs = docs.mapInArrow(find_runs(symbols, lambda h, bounds: textarrays.anchors(h, bounds, gram, window), keep_first), RUNS)
     same = Window.partitionBy("seed", "around").orderBy("did", "th", "first")
     seeds = Window.partitionBy("seed")
     place = F.rank().over(same)
@@ -141,7 +154,7 @@ def repeated(docs: DataFrame, symbols: Symbols, gram: int, window: int, keep_fir
 
     text = docs.repartition(*KEY)
     wanted = decided.filter("opened").groupBy(*KEY).agg(F.collect_list(F.struct("first", "last")).alias("runs"))
-    single = text.hint("merge").join(wanted, KEY).select(*KEY, "text", "runs").mapInArrow(_open_windows(symbols, window), "key long, did long, th long, first int")
+    single = text.hint("merge").join(wanted, KEY).select(*KEY, "text", "runs").mapInArrow(open_windows(symbols, window), "key long, did long, th long, first int")
     if keep_first:
         again = F.rank().over(Window.partitionBy("key").orderBy("did", "th", "first")) > 1
     else:

@@ -1,17 +1,29 @@
 """Exact removal of byte strings that occur more than once (operator 10).
 
-Every text is read as UTF-8 bytes and matches never cross texts. Suffixes are compared to a
-depth of `length` bytes only: see README for how this follows the difference-cover scheme and
-where it departs from it.
+A distributed difference-cover comparison of suffixes, to the depth of `length` bytes that
+the question needs. Every text is read as UTF-8 bytes and matches never cross texts.
+
+1. sample: suffixes that start at places of a difference cover, counted from the text's start.
+   Any two equal strings of `length` bytes hold such a place at a common distance;
+2. sort sampled triples: each sampled suffix is named by three consecutive blocks, the samples
+   are sorted by name, and neighbours are compared. A name met once is dropped;
+3. recurse on names: samples of one name are sorted on the name of their whole surroundings.
+   Neighbours that agree there match in every string they speak for, and are decided;
+4. merge the remaining suffixes: where surroundings differ under one name, the strings that
+   start at unsampled places before them are sorted by their own names and neighbours compared.
+
+Names are 64-bit hashes of content, not ranks: equal prefixes are neighbours just the same, and
+no counting pass over the sorted table is needed. The order is that of names, not of bytes.
 
 Defined results: null text is empty; texts under `length` bytes lose nothing; rows equal in
-doc_id and text are occurrences of each other, so both lose every window. The kept bytes are
+doc_id and text are occurrences of each other, so both lose every string. The kept bytes are
 a binary column, since a removed run may begin or end inside a character.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,11 +31,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm import repeats, textarrays
-from ledgerline.llm.rows import doc_id, keyed
-from ledgerline.session import table
+from ledgerline.llm.rows import KEY, doc_id, keyed
+from ledgerline.session import materialise, table
 
 LENGTH = 400
-GRAM = 200
+PERIOD = 273
+#: A perfect difference set modulo 273 (each distance is met exactly once).
+_PERFECT_273 = (1, 2, 4, 8, 16, 32, 64, 91, 117, 128, 137, 182, 195, 205, 234, 239, 256)
+
+_DECIDED = "did long, th long, first int, last int, gone boolean, opened boolean"
+_PLACES = "did long, th long, first int, last int"
 
 _RESULT = "did long, th long, n_bytes long, n_removed long, n_spans long, kept binary"
 
@@ -50,10 +67,76 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(columns, names=["did", "th", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
-def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def difference_cover(period: int) -> np.ndarray:
+    """Mask of a set of places in a period such that every distance occurs between two of them."""
+    mask = np.zeros(period, bool)
+    if period == PERIOD:
+        mask[list(_PERFECT_273)] = True
+        return mask
+    step = int(np.ceil(np.sqrt(period)))
+    mask[:step] = True
+    mask[::step] = True
+    return mask
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[pa.Table, list[np.ndarray], list[np.ndarray]]]:
+    """Sorted rows, and for each key prefix whether a row equals the one before and the one after it."""
+    kept, started = None, False
+    for batch in chain(batches, [None]):
+        parts = [t for t in (kept, None if batch is None else pa.Table.from_batches([batch])) if t is not None]
+        if not parts:
+            return
+        rows = pa.concat_tables(parts)
+        n = rows.num_rows
+        start, stop = int(started), n if batch is None else n - 1
+        if stop <= start:
+            kept = rows
+            continue
+        same, before, after = np.ones(n - 1, bool), [], []
+        for key in keys:
+            value = rows.column(key).to_numpy()
+            same = same & (value[1:] == value[:-1])
+            before.append(np.append(False, same)[start:stop])
+            after.append(np.append(same, False)[start:stop])
+        yield rows.slice(start, stop - start), before, after
+        kept, started = rows.slice(n - 2 if n > 1 else 0), n > 1
+
+
+def _compare_samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Samples sorted by name and surroundings: which are repeated as a whole, which have to be opened."""
+    for rows, (name_before, name_after), (all_before, all_after) in (_split(x) for x in _neighbours(batches, ("seed", "around"))):
+        settled, twin = (rows.column(c).to_numpy() for c in ("settled", "twin"))
+        gone = settled | twin | all_before | all_after
+        opened = ~settled & ((name_before & ~all_before) | (name_after & ~all_after))
+        out = rows.select(["did", "th", "first", "last"]).append_column("gone", pa.array(gone)).append_column("opened", pa.array(opened))
+        yield from out.filter(pa.array(gone | opened)).combine_chunks().to_batches()
+
+
+def _split(found: tuple[pa.Table, list[np.ndarray], list[np.ndarray]]):
+    rows, before, after = found
+    return rows, (before[0], after[0]), (before[1], after[1])
+
+
+def _compare_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows, (before,), (after,) in _neighbours(batches, ("key",)):
+        out = rows.select(["did", "th", "first"]).append_column("last", rows.column("first"))
+        yield from out.filter(pa.array(before | after)).combine_chunks().to_batches()
+
+
+def suffix_dedup(docs: DataFrame, length: int = LENGTH, period: int = PERIOD) -> DataFrame:
     """(did, th, n_bytes, n_removed, n_spans, kept) for each row of docs (doc_id, text)."""
-    found = repeats.repeated(keyed(docs), repeats.byte_symbols, gram, length, keep_first=False)
-    return found.mapInArrow(_cut, _RESULT)
+    docs, cover = keyed(docs), difference_cover(period)
+    samples = docs.mapInArrow(repeats.find_runs(repeats.byte_symbols, lambda h, bounds: textarrays.cover_samples(h, bounds, cover, length), False), repeats.RUNS)
+    samples = samples.repartition("seed").sortWithinPartitions("seed", "around")
+    decided = materialise(samples.mapInArrow(_compare_samples, _DECIDED), "samples")
+
+    text = docs.repartition(*KEY)
+    wanted = decided.filter("opened").groupBy(*KEY).agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+    single = text.hint("merge").join(wanted, KEY).select(*KEY, "text", "runs").mapInArrow(repeats.open_windows(repeats.byte_symbols, length), "key long, did long, th long, first int")
+    single = single.repartition("key").sortWithinPartitions("key").mapInArrow(_compare_windows, _PLACES)
+    spans = decided.filter("gone").select(*KEY, "first", "last").unionByName(single)
+    spans = spans.groupBy(*KEY).agg(F.collect_list(F.struct("first", (F.col("last") + length).alias("end"))).alias("spans"))
+    return text.join(spans, KEY, "left").select(*KEY, "text", "spans").mapInArrow(_cut, _RESULT)
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

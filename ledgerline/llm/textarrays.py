@@ -174,6 +174,35 @@ def anchors(h: np.ndarray, bounds: np.ndarray, gram: int, window: int) -> dict[s
     return {"text": text, "first": first - bounds[text], "last": last - bounds[text], "seed": grams[at].view(np.int64), "around": around.view(np.int64)}
 
 
+def cover_samples(h: np.ndarray, bounds: np.ndarray, cover: np.ndarray, window: int) -> dict[str, np.ndarray]:
+    """The suffixes that start at places of a difference cover, with the windows each one speaks for.
+
+    cover: mask of one period of places, counted from each text's start. Two equal windows
+    hold, at one common distance from their starts and under a period, a sampled place each.
+    One row per sampled place: text (index), first and last (the windows that start under a
+    period before it), seed (name of the three blocks that any of these windows still holds
+    from the place on) and around (name of everything these windows cover, and of the place
+    in it). Equal `around` under one seed means the same windows one by one.
+    """
+    period = len(cover)
+    depth = window - period + 1
+    lengths = np.diff(bounds)
+    text = np.repeat(np.arange(len(lengths)), lengths)
+    place = np.arange(int(lengths.sum())) - np.repeat(bounds[:-1], lengths)
+    at = np.flatnonzero(cover[place % period] & (place <= np.repeat(lengths, lengths) - depth) & np.repeat(lengths >= window, lengths))
+    text, place = text[at], place[at]
+    first = np.maximum(place - period + 1, 0)
+    last = np.minimum(place, lengths[text] - window)
+    thirds = [depth * k // 3 for k in range(4)]
+    blocks = [spans_hashes(h, at + a, at + b) for a, b in zip(thirds[:-1], thirds[1:], strict=True)]
+    seed = np.zeros(len(at), np.uint64)
+    for block in blocks:
+        seed = mix(seed * np.uint64(_ROLL) + mix(block))
+    around = spans_hashes(h, bounds[text] + first, bounds[text] + last + window)
+    around = mix(around + mix((place - first).astype(np.uint64) * np.uint64(1 << 20) + (last - first).astype(np.uint64)))
+    return {"text": text, "first": first, "last": last, "seed": seed.view(np.int64), "around": around.view(np.int64)}
+
+
 def covered(length: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Mask of the places in [0, length) that lie in any of the intervals [start, end)."""
     edges = np.zeros(length + 1, np.int64)

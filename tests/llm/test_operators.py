@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -70,6 +71,44 @@ def test_suffix_dedup(spark, texts):
         assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], bytes(got[i]["kept"])) == (len(data), int(gone.sum()), spans, kept)
 
 
+def test_difference_cover():
+    for period in (7, 50, 100, 273):
+        places = np.flatnonzero(suffix_dedup.difference_cover(period))
+        assert len({(a - b) % period for a in places for b in places}) == period
+    assert suffix_dedup.difference_cover(273).sum() == 17
+
+
+def test_neighbours_across_batches():
+    rng = np.random.Generator(np.random.PCG64(1))
+    for size in (1, 2, 3, 7):
+        seed = np.sort(rng.integers(0, 6, 40))
+        batches = [pa.RecordBatch.from_arrays([pa.array(seed[k : k + size])], names=["seed"]) for k in range(0, 40, size)]
+        found = list(suffix_dedup._neighbours(iter(batches), ("seed",)))
+        assert np.concatenate([t.column("seed").to_numpy() for t, _, _ in found]).tolist() == seed.tolist()
+        assert np.concatenate([b[0] for _, b, _ in found]).tolist() == [False, *(seed[1:] == seed[:-1]).tolist()]
+        assert np.concatenate([a[0] for _, _, a in found]).tolist() == [*(seed[1:] == seed[:-1]).tolist(), False]
+
+
+@pytest.mark.parametrize(("length", "period"), [(400, 273), (60, 20), (30, 7)])
+def test_suffix_dedup_random(spark, length, period):
+    rng = random.Random(length)
+    passages = ["".join(rng.choice("abé") for _ in range(n)) for n in (length - 1, length, 2 * length, 3 * length)]
+    texts = [(0, None), (1, ""), (2, "a" * (length + 5)), (3, "ab" * length)]
+    for i in range(4, 40):
+        own = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, length)))
+        texts.append((i, own() + rng.choice(passages)[rng.randint(0, 9) :] + own() + rng.choice(passages) + own()))
+    got = {r["did"]: r for r in suffix_dedup.suffix_dedup(documents(spark, texts), length, period).collect()}
+    counts = Counter(t.encode()[k : k + length] for _, t in texts if t for k in range(len(t.encode()) - length + 1))
+    for i, text in texts:
+        data = (text or "").encode()
+        gone = np.zeros(len(data), bool)
+        for k in range(len(data) - length + 1):
+            if counts[data[k : k + length]] > 1:
+                gone[k : k + length] = True
+        assert bytes(got[i]["kept"]) == bytes(np.frombuffer(data, np.uint8)[~gone]), i
+        assert got[i]["n_removed"] == int(gone.sum())
+
+
 def test_repeated_and_null_rows(spark):
     text = " ".join(f"w{i}" for i in range(90))
     docs = documents(spark, [(1, text), (1, text), (None, text), (2, text)], sources={None: None, 1: "a", 2: None})
