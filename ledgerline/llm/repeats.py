@@ -74,15 +74,18 @@ def find_runs(symbols: Symbols, sampler: Sampler, keep_first: bool):
                     emit = np.ones(n, bool)
                 out_seed = np.where(settled, textarrays.mix((did ^ (th << 1)).view(np.uint64) + first.view(np.uint64)).view(np.int64), seed)
                 columns = [out_seed, np.where(settled, 0, around), did, th, first.astype(np.int32), last.astype(np.int32), settled, twin]
-                merged = _join_settled(columns, settled, emit)
+                #: In text order, so that neighbouring rows of a shuffled block share a document.
+                merged = _join_settled(columns, settled, emit, order)
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in merged], names=["seed", "around", "did", "th", "first", "last", "settled", "twin"])
 
     return run
 
 
-def _join_settled(columns: list[np.ndarray], settled: np.ndarray, emit: np.ndarray) -> list[np.ndarray]:
+def _join_settled(columns: list[np.ndarray], settled: np.ndarray, emit: np.ndarray, order: np.ndarray) -> list[np.ndarray]:
     """Settled runs of one text that touch or overlap become one row."""
-    going = [c[emit & ~settled] for c in columns]
+    going = np.flatnonzero(emit & ~settled)
+    going = going[np.argsort(order[going])]
+    going = [c[going] for c in columns]
     done = [c[settled] for c in columns]
     if len(done[0]):
         order = np.lexsort((done[5], done[4], done[3], done[2]))
