@@ -30,7 +30,7 @@ from ledgerline.session import materialise
 RUNS = "seed long, around long, did long, th long, first int, last int, settled boolean, twin boolean"
 
 Symbols = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
-Sampler = Callable[[np.ndarray, np.ndarray], dict[str, np.ndarray]]
+Sampler = Callable[..., dict[str, np.ndarray]]
 
 
 def word_symbols(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -46,13 +46,16 @@ def byte_symbols(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def find_runs(symbols: Symbols, sampler: Sampler, keep_first: bool):
-    """The sampled runs of all texts; runs equal within one slice of texts are combined."""
+    """The sampled runs of all texts; runs equal within one slice of texts are combined.
+
+    With a column `runs` the sampler gets the mask of the window starts in them as well.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in textarrays.slices(whole, "text"):
                 h, bounds = symbols(batch.column("text"))
-                a = sampler(h, bounds)
+                a = sampler(h, bounds, wanted=_mask(batch.column("runs"), bounds)) if "runs" in batch.schema.names else sampler(h, bounds)
                 n = len(a["text"])
                 if not n:
                     continue
@@ -109,6 +112,19 @@ def union(owner: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.nd
     return owner[head], first[head], last[tail[: len(head)]]
 
 
+def _places(runs: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text (index), first and last of the runs of all texts, joined where they touch."""
+    counts = np.diff(runs.offsets.to_numpy())
+    inner = runs.flatten()
+    first, last = (inner.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(2))
+    return union(np.repeat(np.arange(len(runs)), counts), first, last)
+
+
+def _mask(runs: pa.ListArray, bounds: np.ndarray) -> np.ndarray:
+    text, first, last = _places(runs)
+    return textarrays.covered(int(bounds[-1]), first + bounds[text], last + bounds[text] + 1)
+
+
 def open_windows(symbols: Symbols, window: int):
     """Hashes of the single windows of the open runs, each window once."""
 
@@ -117,11 +133,7 @@ def open_windows(symbols: Symbols, window: int):
             for batch in textarrays.slices(whole, "text"):
                 h, bounds = symbols(batch.column("text"))
                 rolled = textarrays.rolled(h, window)
-                runs = batch.column("runs")
-                counts = np.diff(runs.offsets.to_numpy())
-                inner = runs.flatten()
-                first, last = (inner.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(2))
-                text, first, last = union(np.repeat(np.arange(batch.num_rows), counts), first, last)
+                text, first, last = _places(batch.column("runs"))
                 sizes = last - first + 1
                 heads = np.concatenate(([0], np.cumsum(sizes)[:-1])) if len(sizes) else np.zeros(0, np.int64)
                 at = np.arange(int(sizes.sum())) - np.repeat(heads - first, sizes)

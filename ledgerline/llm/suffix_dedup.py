@@ -9,8 +9,10 @@ the question needs. Every text is read as UTF-8 bytes and matches never cross te
    are sorted by name, and neighbours are compared. A name met once is dropped;
 3. recurse on names: samples of one name are sorted on the name of their whole surroundings.
    Neighbours that agree there match in every string they speak for, and are decided;
-4. merge the remaining suffixes: where surroundings differ under one name, the strings that
-   start at unsampled places before them are sorted by their own names and neighbours compared.
+4. merge the remaining suffixes: where surroundings differ under one name, the stretch is
+   sampled again by a finer cover, whose names are nearly `length` bytes long. What differs
+   there too is opened: the strings that start at unsampled places are sorted by their own
+   names and neighbours compared.
 
 Names are 64-bit hashes of content, not ranks: equal prefixes are neighbours just the same, and
 no counting pass over the sorted table is needed. The order is that of names, not of bytes.
@@ -23,6 +25,7 @@ a binary column, since a removed run may begin or end inside a character.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from itertools import chain
 
 import numpy as np
@@ -38,6 +41,9 @@ LENGTH = 400
 PERIOD = 273
 #: A perfect difference set modulo 273 (each distance is met exactly once).
 _PERFECT_273 = (1, 2, 4, 8, 16, 32, 64, 91, 117, 128, 137, 182, 195, 205, 234, 239, 256)
+FINE_PERIOD = 57
+#: A perfect difference set modulo 57.
+_PERFECT_57 = (0, 1, 3, 13, 32, 36, 43, 52)
 
 _DECIDED = "did long, th long, first int, last int, gone boolean, opened boolean"
 _PLACES = "did long, th long, first int, last int"
@@ -70,8 +76,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def difference_cover(period: int) -> np.ndarray:
     """Mask of a set of places in a period such that every distance occurs between two of them."""
     mask = np.zeros(period, bool)
-    if period == PERIOD:
-        mask[list(_PERFECT_273)] = True
+    if period in (PERIOD, FINE_PERIOD):
+        mask[list(_PERFECT_273 if period == PERIOD else _PERFECT_57)] = True
         return mask
     step = int(np.ceil(np.sqrt(period)))
     mask[:step] = True
@@ -123,19 +129,31 @@ def _compare_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield from out.filter(pa.array(before | after)).combine_chunks().to_batches()
 
 
-def suffix_dedup(docs: DataFrame, length: int = LENGTH, period: int = PERIOD) -> DataFrame:
-    """(did, th, n_bytes, n_removed, n_spans, kept) for each row of docs (doc_id, text)."""
-    docs, cover = keyed(docs), difference_cover(period)
-    samples = docs.mapInArrow(repeats.find_runs(repeats.byte_symbols, lambda h, bounds: textarrays.cover_samples(h, bounds, cover, length), False), repeats.RUNS)
+def _decide(texts: DataFrame, period: int, length: int, label: str) -> DataFrame:
+    """Runs of strings that are repeated as a whole (gone), and runs that finer steps must look at (opened)."""
+    cover = difference_cover(period)
+    sampler = partial(textarrays.cover_samples, cover=cover, window=length)
+    samples = texts.mapInArrow(repeats.find_runs(repeats.byte_symbols, sampler, False), repeats.RUNS)
     samples = samples.repartition("seed").sortWithinPartitions("seed", "around")
-    decided = materialise(samples.mapInArrow(_compare_samples, _DECIDED), "samples")
+    return materialise(samples.mapInArrow(_compare_samples, _DECIDED), label)
+
+
+def _with_opened(text: DataFrame, decided: DataFrame) -> DataFrame:
+    runs = decided.filter("opened").groupBy(*KEY).agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+    return text.hint("merge").join(runs, KEY).select(*KEY, "text", "runs")
 
+
+def suffix_dedup(docs: DataFrame, length: int = LENGTH, period: int = PERIOD, fine_period: int | None = None) -> DataFrame:
+    """(did, th, n_bytes, n_removed, n_spans, kept) for each row of docs (doc_id, text)."""
+    docs = keyed(docs)
     text = docs.repartition(*KEY)
-    wanted = decided.filter("opened").groupBy(*KEY).agg(F.collect_list(F.struct("first", "last")).alias("runs"))
-    single = text.hint("merge").join(wanted, KEY).select(*KEY, "text", "runs").mapInArrow(repeats.open_windows(repeats.byte_symbols, length), "key long, did long, th long, first int")
+    coarse = _decide(docs, period, length, "samples")
+    fine = _decide(_with_opened(text, coarse), fine_period or min(FINE_PERIOD, period), length, "finer-samples")
+
+    single = _with_opened(text, fine).mapInArrow(repeats.open_windows(repeats.byte_symbols, length), "key long, did long, th long, first int")
     single = single.repartition("key").sortWithinPartitions("key").mapInArrow(_compare_windows, _PLACES)
-    spans = decided.filter("gone").select(*KEY, "first", "last").unionByName(single)
-    spans = spans.groupBy(*KEY).agg(F.collect_list(F.struct("first", (F.col("last") + length).alias("end"))).alias("spans"))
+    gone = coarse.filter("gone").unionByName(fine.filter("gone")).select(*KEY, "first", "last")
+    spans = gone.unionByName(single).groupBy(*KEY).agg(F.collect_list(F.struct("first", (F.col("last") + length).alias("end"))).alias("spans"))
     return text.join(spans, KEY, "left").select(*KEY, "text", "spans").mapInArrow(_cut, _RESULT)
 
 

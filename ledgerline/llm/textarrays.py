@@ -174,7 +174,7 @@ def anchors(h: np.ndarray, bounds: np.ndarray, gram: int, window: int) -> dict[s
     return {"text": text, "first": first - bounds[text], "last": last - bounds[text], "seed": grams[at].view(np.int64), "around": around.view(np.int64)}
 
 
-def cover_samples(h: np.ndarray, bounds: np.ndarray, cover: np.ndarray, window: int) -> dict[str, np.ndarray]:
+def cover_samples(h: np.ndarray, bounds: np.ndarray, cover: np.ndarray, window: int, wanted: np.ndarray | None = None) -> dict[str, np.ndarray]:
     """The suffixes that start at places of a difference cover, with the windows each one speaks for.
 
     cover: mask of one period of places, counted from each text's start. Two equal windows
@@ -183,6 +183,7 @@ def cover_samples(h: np.ndarray, bounds: np.ndarray, cover: np.ndarray, window:
     period before it), seed (name of the three blocks that any of these windows still holds
     from the place on) and around (name of everything these windows cover, and of the place
     in it). Equal `around` under one seed means the same windows one by one.
+    wanted: mask of window starts; places that speak for none of them are left out.
     """
     period = len(cover)
     depth = window - period + 1
@@ -193,6 +194,10 @@ def cover_samples(h: np.ndarray, bounds: np.ndarray, cover: np.ndarray, window:
     text, place = text[at], place[at]
     first = np.maximum(place - period + 1, 0)
     last = np.minimum(place, lengths[text] - window)
+    if wanted is not None:
+        count = np.concatenate(([0], np.cumsum(wanted)))
+        use = count[bounds[text] + last + 1] > count[bounds[text] + first]
+        at, text, place, first, last = (x[use] for x in (at, text, place, first, last))
     thirds = [depth * k // 3 for k in range(4)]
     blocks = [spans_hashes(h, at + a, at + b) for a, b in zip(thirds[:-1], thirds[1:], strict=True)]
     seed = np.zeros(len(at), np.uint64)

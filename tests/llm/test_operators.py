@@ -72,10 +72,11 @@ def test_suffix_dedup(spark, texts):
 
 
 def test_difference_cover():
-    for period in (7, 50, 100, 273):
+    for period in (7, 50, 57, 100, 273):
         places = np.flatnonzero(suffix_dedup.difference_cover(period))
         assert len({(a - b) % period for a in places for b in places}) == period
     assert suffix_dedup.difference_cover(273).sum() == 17
+    assert suffix_dedup.difference_cover(57).sum() == 8
 
 
 def test_neighbours_across_batches():
@@ -89,15 +90,15 @@ def test_neighbours_across_batches():
         assert np.concatenate([a[0] for _, _, a in found]).tolist() == [*(seed[1:] == seed[:-1]).tolist(), False]
 
 
-@pytest.mark.parametrize(("length", "period"), [(400, 273), (60, 20), (30, 7)])
-def test_suffix_dedup_random(spark, length, period):
+@pytest.mark.parametrize(("length", "period", "fine"), [(400, 273, 57), (60, 40, 10), (60, 20, 20), (30, 7, 3)])
+def test_suffix_dedup_random(spark, length, period, fine):
     rng = random.Random(length)
     passages = ["".join(rng.choice("abé") for _ in range(n)) for n in (length - 1, length, 2 * length, 3 * length)]
     texts = [(0, None), (1, ""), (2, "a" * (length + 5)), (3, "ab" * length)]
     for i in range(4, 40):
         own = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, length)))
         texts.append((i, own() + rng.choice(passages)[rng.randint(0, 9) :] + own() + rng.choice(passages) + own()))
-    got = {r["did"]: r for r in suffix_dedup.suffix_dedup(documents(spark, texts), length, period).collect()}
+    got = {r["did"]: r for r in suffix_dedup.suffix_dedup(documents(spark, texts), length, period, fine).collect()}
     counts = Counter(t.encode()[k : k + length] for _, t in texts if t for k in range(len(t.encode()) - length + 1))
     for i, text in texts:
         data = (text or "").encode()
