@@ -11,6 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT = "spark.checkpoint.dir"
+_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def ship(spark: SparkSession) -> None:
@@ -36,10 +37,18 @@ def scratch(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write a table once to the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write a table once to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    Shuffle files of the write are of no use once the table stands, so Spark removes them with it.
+    """
     spark = df.sparkSession
     path = f"{scratch(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_FREE_SHUFFLES, "false")
+    spark.conf.set(_FREE_SHUFFLES, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_FREE_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
