@@ -1,4 +1,4 @@
-"""Matching of company names: candidates share a token, the scores are computed on those pairs only."""
+"""Matching of company names: candidates come from equi-joins that lose no pair of the least score."""
 
 from __future__ import annotations
 
@@ -11,6 +11,11 @@ from pyspark.sql.types import DoubleType
 
 from ledgerline.functions.scalars import name_tokens, normalise_name
 
+#: The least score of a fuzzy match, and the length of the character grams that names are looked up by.
+LEAST, GRAM = 0.72, 3
+#: The least ratio of names without a common token: their score is 0.8 times the ratio, rounded to four places.
+_RATIO = (LEAST - 0.00005) / 0.8
+
 
 @F.pandas_udf(DoubleType())
 def sequence_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
@@ -23,23 +28,79 @@ def _prepared(rows: DataFrame, key: str, name: str, side: str) -> DataFrame:
     return rows.select(F.col(key).alias(f"{side}_id"), norm.alias(f"{side}_name"), F.array_distinct(name_tokens(norm)).alias(f"{side}_tokens")).filter(F.col(f"{side}_name") != "")
 
 
-def candidate_pairs(queries: DataFrame, query_key: str, query_name: str, known: DataFrame, known_key: str, known_name: str) -> DataFrame:
-    """Pairs of names that share a token, each once: a pair is kept at the first token it shares.
+def token_pairs(queries: DataFrame, query_key: str, query_name: str, known: DataFrame, known_key: str, known_name: str) -> DataFrame:
+    """Pairs of names that share a token, each once, and equal names that hold legal suffixes only.
 
-    Work grows with the pairs that share a token, so `known` should be free of repeated names
-    and words that most names hold belong into the legal suffixes, which block nothing.
+    A pair is kept at the first token it shares. Work grows with the pairs that share a token, so
+    `known` should be free of repeated names and words that most names hold belong into the legal
+    suffixes, which block nothing.
     """
     q, k = _prepared(queries, query_key, query_name, "q"), _prepared(known, known_key, known_name, "k")
     left = q.withColumn("token", F.explode("q_tokens"))
     right = k.withColumn("token", F.explode("k_tokens"))
-    return left.join(right, "token").filter(F.col("token") == F.array_min(F.array_intersect("q_tokens", "k_tokens"))).drop("token")
+    shared = left.join(right, "token").filter(F.col("token") == F.array_min(F.array_intersect("q_tokens", "k_tokens"))).drop("token")
+    bare = q.filter("size(q_tokens) = 0").join(k.filter("size(k_tokens) = 0"), F.col("q_name") == F.col("k_name"))
+    return shared.unionByName(bare)
+
+
+def _grams(name: Column, size: int) -> Column:
+    places = F.sequence(F.lit(1), F.length(name) - (size - 1))
+    found = F.transform(places, lambda i: F.substring(name, i, F.lit(size)))
+    return F.when(F.length(name) >= size, found).otherwise(F.array().cast("array<string>"))
+
+
+def _looked_up(rows: DataFrame, side: str, counts: DataFrame) -> DataFrame:
+    """`rows` with `parts` (all parts of up to GRAM characters), `key` (the rarest gram) and `rare` (a prefix filter's grams).
+
+    Names of a ratio of _RATIO or more differ by at most D = (1 - _RATIO) * (la + lb) characters. One
+    that is left out breaks three grams, one that is put in two, so that of la - 2 grams at least
+    (0.5 - 2.5 * (1 - _RATIO)) * (la + lb) - 2 stay, with lb >= la * _RATIO / (2 - _RATIO). With both
+    names' grams in one order, a common one is among the first n + 1 - that many of either.
+    """
+    name, own = F.col(f"{side}_name"), [f"{side}_id", f"{side}_name", f"{side}_tokens"]
+    each = rows.distinct().select(*own, F.explode_outer(_grams(name, GRAM)).alias("gram"))
+    each = each.join(F.broadcast(counts), "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    ranked = each.groupBy(*own).agg(F.array_sort(F.collect_list(F.when(F.col("gram").isNotNull(), F.struct("n", "gram")))).alias("ranked"))
+    stay = F.greatest(F.lit(1), F.ceil((0.5 - 2.5 * (1 - _RATIO)) * 2 / (2 - _RATIO) * F.length(name) - 2 - 1e-9))
+    grams = F.col("ranked.gram")
+    return ranked.select(
+        *own,
+        F.array_distinct(F.concat(*(_grams(name, n) for n in range(1, GRAM + 1)))).alias(f"{side}_parts"),
+        F.coalesce(F.get(grams, F.lit(0)), name).alias(f"{side}_key"),
+        F.array_distinct(F.slice(grams, F.lit(1), F.greatest(F.lit(0), F.size("ranked") - stay + 1).cast("int"))).alias(f"{side}_rare"),
+    )
+
+
+def candidate_pairs(queries: DataFrame, query_key: str, query_name: str, known: DataFrame, known_key: str, known_name: str) -> DataFrame:
+    """All pairs of names that can score LEAST or more in `fuzzy_matches`, each once.
+
+    Besides the pairs of `token_pairs`: names inside one another, found at the rarest gram of the
+    inner one, and names of a ratio of _RATIO or more, found at rare grams of both. Grams are of 37
+    characters, so their counts (37^3 rows at most) are broadcast.
+    """
+    args = (queries, query_key, query_name, known, known_key, known_name)
+    q, k = _prepared(queries, query_key, query_name, "q"), _prepared(known, known_key, known_name, "k")
+    counts = k.select(F.explode(_grams(F.col("k_name"), GRAM)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    q, k = _looked_up(q, "q", counts), _looked_up(k, "k", counts)
+    apart = ~F.arrays_overlap("q_tokens", "k_tokens") & (F.col("q_name") != F.col("k_name"))
+    k_in_q, q_in_k = F.contains("q_name", "k_name"), F.contains("k_name", "q_name")
+    inner_k = q.withColumn("part", F.explode("q_parts")).join(k, F.col("part") == F.col("k_key")).filter(apart & k_in_q)
+    inner_q = k.withColumn("part", F.explode("k_parts")).join(q, F.col("part") == F.col("q_key")).filter(apart & q_in_k)
+    near = q.withColumn("gram", F.explode("q_rare")).join(k.withColumn("gram", F.explode("k_rare")), "gram")
+    near = near.filter(apart & ~k_in_q & ~q_in_k & (F.col("gram") == F.array_min(F.array_intersect("q_rare", "k_rare"))))
+    #: The Levenshtein distance is never above the characters left out and put in.
+    near = near.filter(F.levenshtein("q_name", "k_name") <= (1 - _RATIO) * (F.length("q_name") + F.length("k_name")) + 1e-9)
+    pairs = token_pairs(*args)
+    for more in (inner_k, inner_q, near):
+        pairs = pairs.unionByName(more.select(*pairs.columns))
+    return pairs
 
 
 def _overlap() -> Column:
     return F.size(F.array_intersect("q_tokens", "k_tokens"))
 
 
-def fuzzy_matches(pairs: DataFrame, least: float = 0.72) -> DataFrame:
+def fuzzy_matches(pairs: DataFrame, least: float = LEAST) -> DataFrame:
     """The best known name of each query at or above the least score.
 
     Equal names score 1, a name inside the other 0.93, others by shared tokens and matching blocks.

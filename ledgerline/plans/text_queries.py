@@ -118,7 +118,7 @@ def q_name_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JOIN-14, JOIN-15: the best part name for each name with its type, and how sure it is."""
     known = _part_names(spark, sf_dir)
     asked = table(spark, sf_dir, "part").select(F.concat_ws(" ", "p_name", "p_type").alias("asked")).distinct()
-    pairs = names.candidate_pairs(asked, "asked", "asked", known, "p_name", "p_name")
+    pairs = names.token_pairs(asked, "asked", "asked", known, "p_name", "p_name")
     out = names.decide(asked, "asked", pairs.withColumn("score", names.name_score()), 0.75, 0.05)
     return r6(out, "score", "second")
 

@@ -1,6 +1,7 @@
 """Sources, sinks, the stream, grouped lines and name matching on small fixtures."""
 
 import json
+import random
 from difflib import SequenceMatcher
 
 import pytest
@@ -125,3 +126,37 @@ def test_fuzzy_names_against_brute_force(spark):
         if scored:
             want[a] = (min(scored)[1], -min(scored)[0])
     assert got == want and "tata steel ltd" in got
+
+
+def test_fuzzy_names_without_a_common_token(spark):
+    rng = random.Random(5)
+    words = ["reliance", "infosys", "technologies", "hindalco", "wipro", "bharatforge", "x", "ab", "the company", "limited", "aaaaaaaaaa", "ultratechcementworks"]
+    words += ["".join(rng.choice("abcd") for _ in range(rng.randint(3, 24))) for _ in range(60)]
+    asked = ["reliancepower", "technologie", "infosyss", "limited", "The Company", "x", "abx", "hind alco", ""]
+    for w in words:
+        for _ in range(3):
+            letters = list(w)
+            for _ in range(rng.randint(1, 3)):
+                at = rng.randrange(len(letters) + 1)
+                letters[at : at + rng.randint(0, 1)] = rng.choice(["", "a", "q"])
+            asked.append("".join(letters))
+    asked = sorted({a for a in asked if a.strip() == a})
+    stop = set("limited ltd private pvt company co corporation corp incorporated inc llp plc the".split())
+    want, bare = {}, 0
+    for a in asked:
+        scored = []
+        for b in words:
+            x, y = a.lower(), b
+            left, right = set(x.split()) - stop, set(y.split()) - stop
+            ratio = SequenceMatcher(None, x, y).ratio()
+            score = 0.0 if not x else 1.0 if x == y else 0.93 if x in y or y in x else round(max(0.45 * len(left & right) / max(len(left | right), 1) + 0.55 * ratio, 0.8 * ratio), 4)
+            if score >= 0.72:
+                scored.append((-score, b))
+                bare += not left & right
+        if scored:
+            want[a] = (min(scored)[1], -min(scored)[0])
+    q, k = spark.createDataFrame([(x,) for x in asked], "n string"), spark.createDataFrame([(x,) for x in words], "n string")
+    pairs = names.candidate_pairs(q, "n", "n", k, "n", "n").cache()
+    assert pairs.count() == pairs.select("q_id", "k_id").distinct().count()
+    assert {r["q_id"]: (r["k_id"], r["score"]) for r in names.fuzzy_matches(pairs).collect()} == want
+    assert bare > 100 and want["reliancepower"] == ("reliance", 0.93) and want["limited"] == ("limited", 1.0) and want["The Company"][1] == 1.0
