@@ -12,7 +12,9 @@ _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
 #: Fixed values of HTML: elements whose content is no text, inline elements, elements without content.
-HIDDEN = frozenset("script style noscript template head title svg math iframe object canvas audio video".split())
+HIDDEN = frozenset("script style noscript template title svg math iframe object canvas audio video".split())
+#: Hidden elements that run to the end of the page if nothing ends them; the others then hide nothing.
+RAW = frozenset("script style title iframe".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _CLOSES = {
@@ -21,7 +23,7 @@ _CLOSES = {
 }
 #: Block-level elements that end an open paragraph.
 _ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol pre section table ul".split())
-_RAW_END = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in HIDDEN if name != "head"}
+_RAW_END = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in RAW}
 
 
 @dataclass(slots=True)
@@ -40,12 +42,42 @@ def _labels(tag: str, attributes: str) -> tuple[str, ...]:
     return tuple(words)
 
 
+def _ends(page: str, at: int) -> dict[int, int]:
+    """Where the hidden elements from `at` on end, by the end of their start tag; only those with a matching end tag."""
+    found: dict[int, int] = {}
+    opened: dict[str, list[int]] = {}
+    unended: set[str] = set()
+    while m := _TOKEN.search(page, at):
+        at = m.end()
+        tag = (m[2] or m[5] or "").lower()
+        if tag not in HIDDEN:
+            continue
+        closing, attributes = m[1] or m[4], m[3] if m[2] else m[6]
+        if closing:
+            if opened.get(tag):
+                found[opened[tag].pop()] = at
+        elif not attributes.endswith("/"):
+            opened.setdefault(tag, []).append(at)
+            #: A title inside svg is no raw text.
+            if tag in RAW and tag != "title" and tag not in unended:
+                end = _RAW_END[tag].search(page, at)
+                at = end.end() if end else at
+                if not end:
+                    unended.add(tag)
+    return found
+
+
 def blocks(page: str) -> list[Block]:
-    """All non-empty blocks in page order."""
+    """All non-empty blocks in page order.
+
+    Both tags of head are optional and it holds nothing visible but its hidden elements: text or
+    any other element ends it. So it hides nothing itself.
+    """
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
-    linked, in_link, hidden_head = 0, False, False
+    linked, in_link = 0, False
+    ends: dict[int, int] | None = None
 
     def flush() -> None:
         nonlocal linked
@@ -60,7 +92,7 @@ def blocks(page: str) -> list[Block]:
     while at < len(page):
         m = _TOKEN.search(page, at)
         text = page[at : m.start()] if m else page[at:]
-        if text and not hidden_head:
+        if text:
             parts.append(text)
             if in_link:
                 linked += len(text)
@@ -69,19 +101,21 @@ def blocks(page: str) -> list[Block]:
         at = m.end()
         tag = (m[2] or m[5] or "").lower()
         if not tag:
-            if m[0].startswith("<![CDATA[") and not hidden_head:
+            if m[0].startswith("<![CDATA["):
                 parts.append(html.escape(m[0][9:].removesuffix("]]>")))
             continue
         closing, attributes = m[1] or m[4], m[3] if m[2] else m[6]
         if tag == "head":
-            hidden_head = not closing
+            flush()
             continue
-        if tag == "body":
-            hidden_head = False
         if tag in HIDDEN:
             if not closing and not attributes.endswith("/"):
-                end = _RAW_END[tag].search(page, at)
-                at = end.end() if end else len(page)
+                if tag in RAW:
+                    end = _RAW_END[tag].search(page, at)
+                    at = end.end() if end else len(page)
+                else:
+                    ends = _ends(page, m.start()) if ends is None else ends
+                    at = ends.get(at, at)
             parts.append(" ")
             continue
         if tag == "br":

@@ -346,6 +346,21 @@ def test_html_blocks():
     assert [b.path[-1] for b in made] == ["li", "li", "p", "td", "td", "body"]
 
 
+def test_html_blocks_lose_nothing():
+    texts = lambda page: [b.text for b in blocks(page)]
+    assert texts("<html><head><title>T</title><meta charset=x><article><p>one<p>two</article>") == ["one", "two"]
+    assert texts("<head><style>p{}</style><title>T</title>one<p>two") == ["one", "two"]
+    assert texts("<head><noscript><p>no</p></noscript><script>'<p>'</script></head><body>one<head><p>two") == ["one", "two"]
+    for tag in "svg noscript object video audio canvas math template".split():
+        assert texts(f"<p>one<{tag} id=x><p>two</p><p>three") == ["one", "two", "three"]
+        assert texts(f"<p>one<{tag}>a<{tag}>b</{tag}>c</{tag}><p>two") == ["one", "two"]
+        assert texts(f"<p>one<{tag}>two<{tag}>b</{tag}><p>three") == ["one two", "three"]
+        assert texts(f"<p>one<{tag}><!-- </{tag}> --><script>'</{tag}>'</script>b</{tag}><p>two") == ["one", "two"]
+    assert texts("<p>one<svg><title>a</svg><p>two") == ["one", "two"]
+    assert texts("<p>one<script>a<p>b") == ["one"]
+    assert len(blocks("<svg><p>a" * 20_000)) == 20_000
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(7)
     base = rng.normal(size=(300, 16))
