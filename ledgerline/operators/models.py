@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from ledgerline.operators import ratings
 
 TREES, SEED, TOP = 600, 42, 12
+#: Trees are grown until their leaves are pure or too small; this is the most that Spark ML allows.
+DEPTH = 30
 
 
 def active_features(rows: DataFrame, numeric: list[str], categorical: list[str]) -> tuple[list[str], list[str]]:
@@ -38,8 +40,8 @@ def fit(rows: DataFrame, numeric: list[str], categorical: list[str], label: str,
         steps.append(StringIndexer(inputCols=categorical, outputCols=[f"{c}_index" for c in categorical], handleInvalid="keep"))
         steps.append(OneHotEncoder(inputCols=[f"{c}_index" for c in categorical], outputCols=[f"{c}_hot" for c in categorical], handleInvalid="keep"))
     steps.append(VectorAssembler(inputCols=[f"{c}_filled" for c in numeric] + [f"{c}_hot" for c in categorical], outputCol="features"))
-    steps.append(RandomForestClassifier(labelCol=label, weightCol="weight", numTrees=trees, seed=SEED))
-    steps.append(RandomForestRegressor(labelCol=label, predictionCol="rank_prediction", numTrees=trees, seed=SEED, minInstancesPerNode=2))
+    steps.append(RandomForestClassifier(labelCol=label, weightCol="weight", numTrees=trees, maxDepth=DEPTH, seed=SEED))
+    steps.append(RandomForestRegressor(labelCol=label, predictionCol="rank_prediction", numTrees=trees, maxDepth=DEPTH, seed=SEED, minInstancesPerNode=2))
     return Pipeline(stages=steps).fit(balanced(rows, label))
 
 

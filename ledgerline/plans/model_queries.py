@@ -10,7 +10,6 @@ from ledgerline.plans import panel
 from ledgerline.plans.features import q_rating_features
 from ledgerline.session import materialise
 
-TREES = 10
 _KEYS = ("event_id", "company_id", "agency", "rating_rank")
 
 
@@ -19,7 +18,7 @@ def _models(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     numeric = [c for c, t in features.dtypes if t == "double"]
     industry = panel.companies(spark, sf_dir).select("company_id", "sub_industry")
     rows = materialise(features.select(*_KEYS, *numeric).join(industry, "company_id", "left"), "model-rows")
-    return models.per_agency(rows, "agency", numeric, ["sub_industry"], "rating_rank", "event_id", TREES)
+    return models.per_agency(rows, "agency", numeric, ["sub_industry"], "rating_rank", "event_id", models.TREES)
 
 
 def q_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

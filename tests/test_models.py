@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.operators import models
+from ledgerline.plans import model_queries
 
 
 @pytest.fixture(scope="module")
@@ -29,3 +30,16 @@ def test_models_learn_and_score(spark, rows):
     assert sum(abs(r["predicted_rank"] - r["rank"]) <= 1 for r in held) / len(held) >= 0.9
     assert all(0 < r["share"] <= 1 for r in got)
     assert abs(sum(r["importance"] for r in weights.collect()) - 1) < 1e-9
+
+
+def test_trees_are_grown_out(spark):
+    rows = spark.range(128).select(F.col("id").cast("double").alias("size"), (1 + F.abs(F.hash("id")) % 5).cast("int").alias("rank"))
+    forests = models.fit(rows, ["size"], [], "rank", trees=2).stages[-2:]
+    assert all(max(t.depth for t in f.trees) > 5 for f in forests)
+
+
+def test_queries_train_all_trees(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(models, "per_agency", lambda *args: asked.append(args[6] if len(args) > 6 else models.TREES))
+    model_queries._models(spark, "/root/testdata/sf0.001")
+    assert asked == [600]
