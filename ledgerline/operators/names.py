@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from ledgerline.functions.scalars import name_tokens, normalise_name
+from ledgerline.functions.scalars import name_tokens, normalise_code, normalise_name
 
 #: The least score of a fuzzy match, and the length of the character grams that names are looked up by.
 LEAST, GRAM = 0.72, 3
@@ -130,3 +130,36 @@ def decide(queries: DataFrame, key: str, scored: DataFrame, threshold: float, ga
     out = queries.select(F.col(key).alias("q_id")).join(ranked, "q_id", "left")
     sure = (F.col("score") >= threshold) & (F.round(F.col("score") - F.col("second"), 6) >= gap)
     return out.withColumn("status", F.when(F.col("score").isNull(), "no_results").when(sure, "matched").otherwise("ambiguous"))
+
+
+def candidate_scores(candidates: DataFrame, name: str, found: str, rank: str, nse: str | None = None, bse: str | None = None, slug: str | None = None) -> DataFrame:
+    """Search results with `nse_match`, `bse_match` and the `score` of a candidate.
+
+    `name` and `found` are the asked and the found name, `rank` the place in the search, `slug` the
+    code in the candidate's address. Codes score 1 and 0.95, equal names 0.84, equal normalised names
+    0.8; below 0.95 token overlap and matching blocks add up to 0.18 each and the first rank 0.03.
+    """
+    q, k = normalise_name(F.col(name)), normalise_name(F.col(found))
+    rows = candidates.withColumns({"q_name": q, "k_name": k, "q_tokens": F.array_distinct(name_tokens(q)), "k_tokens": F.array_distinct(name_tokens(k))})
+    rows = rows.withColumn("ratio", sequence_ratio("q_name", "k_name"))
+    same = lambda code: F.coalesce(normalise_code(F.col(code)) == normalise_code(F.col(slug)), F.lit(False)) if code and slug else F.lit(False)
+    rows = rows.withColumns({"nse_match": same(nse), "bse_match": same(bse)})
+    base = F.when(F.col("nse_match"), 1.0).when(F.col("bse_match"), 0.95).when(F.lower(name) == F.lower(found), 0.84).when(F.col("q_name") == F.col("k_name"), 0.8).otherwise(0.0)
+    jaccard = _overlap() / F.greatest(F.lit(1), F.size(F.array_union("q_tokens", "k_tokens")))
+    bonus = F.least(jaccard * 0.18, F.lit(0.18)) + F.least(F.col("ratio") * 0.18, F.lit(0.18)) + F.when(F.col(rank) == 1, 0.03).otherwise(0.0)
+    score = F.round(F.least(F.lit(1.0), base + F.when(base < 0.95, bonus).otherwise(0.0)), 4)
+    return rows.withColumn("score", score).drop("q_name", "k_name", "q_tokens", "k_tokens", "ratio")
+
+
+def decide_candidates(queries: DataFrame, key: str, scored: DataFrame, found: str, rank: str, threshold: float, gap: float) -> DataFrame:
+    """matched, ambiguous or no_results for each query of `candidate_scores`; equal scores stay in the order of the search.
+
+    An NSE code decides by itself, a BSE code if it leads by 0.03, others by threshold and gap.
+    """
+    order = Window.partitionBy(key).orderBy(F.col("score").desc(), rank)
+    best = scored.select(key, found, "nse_match", "bse_match", "score", F.lead("score", 1, 0.0).over(order).alias("second"), F.row_number().over(order).alias("n")).filter("n = 1").drop("n")
+    ahead = F.round(F.col("score") - F.col("second"), 6)
+    sure = F.col("nse_match") | (F.col("bse_match") & (ahead >= 0.03)) | ((F.col("score") >= threshold) & (ahead >= gap))
+    status = F.when(F.col("score").isNull(), "no_results").when(sure, "matched").otherwise("ambiguous")
+    out = queries.select(key).join(best, key, "left").withColumn("status", status)
+    return out.select(key, F.when(F.col("status") == "matched", F.col(found)).alias("matched"), F.coalesce("score", F.lit(0.0)).alias("confidence"), F.coalesce("second", F.lit(0.0)).alias("second"), "status")

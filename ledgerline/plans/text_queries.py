@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerline.operators import names, texts
@@ -115,7 +115,7 @@ def _part_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_name_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JOIN-14, JOIN-15: the best part name for each name with its type, and how sure it is."""
+    """JOIN-15: the best part name for each name with its type, and how sure it is."""
     known = _part_names(spark, sf_dir)
     asked = table(spark, sf_dir, "part").select(F.concat_ws(" ", "p_name", "p_type").alias("asked")).distinct()
     pairs = names.token_pairs(asked, "asked", "asked", known, "p_name", "p_name")
@@ -136,6 +136,16 @@ SELECT a.q_id, k_id, round(score, 6) AS score, round(second, 6) AS second, CASE
 FROM asked a LEFT JOIN ranked r ON a.q_id = r.q_id AND n = 1"""
 
 
+def q_candidate_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JOIN-14: part names with a common word, in the order of JOIN-15's score, decided for each name with its type."""
+    known = _part_names(spark, sf_dir)
+    asked = table(spark, sf_dir, "part").select(F.concat_ws(" ", "p_name", "p_type").alias("asked")).distinct()
+    pairs = names.token_pairs(asked, "asked", "asked", known, "p_name", "p_name")
+    place = F.row_number().over(Window.partitionBy("q_id").orderBy(names.name_score().desc(), "k_id"))
+    scored = names.candidate_scores(pairs.select(F.col("q_id").alias("asked"), F.col("k_id").alias("p_name"), place.alias("rank")), "asked", "p_name", "rank")
+    return names.decide_candidates(asked, "asked", scored, "p_name", "rank", 0.86, 0.08)
+
+
 def q_fuzzy_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JOIN-13: the best part name at or above the threshold; held against brute force in the tests."""
     known = _part_names(spark, sf_dir)
@@ -157,4 +167,4 @@ EVENT_INGEST_SQL = """
 SELECT user_id, arg_max(event_id, (ts, event_id)) FILTER (WHERE event_type <> 'error') AS event_id, arg_max(event_type, (ts, event_id)) FILTER (WHERE event_type <> 'error') AS event_type,
   arg_max(value, (ts, event_id)) FILTER (WHERE event_type <> 'error') AS value, count(*) FILTER (WHERE event_type = 'error') AS n_errors FROM events GROUP BY 1"""
 
-QUERIES = {"adverse_mentions": (q_adverse_mentions, ADVERSE_MENTIONS_SQL), "outlook_scores": (q_outlook_scores, OUTLOOK_SCORES_SQL), "signal_rates": (q_signal_rates, SIGNAL_RATES_SQL), "top_phrases": (q_top_phrases, TOP_PHRASES_SQL), "line_records": (q_line_records, LINE_RECORDS_SQL), "contact_points": (q_contact_points, CONTACT_POINTS_SQL), "page_links": (q_page_links, PAGE_LINKS_SQL), "name_decisions": (q_name_decisions, NAME_DECISIONS_SQL), "fuzzy_names": (q_fuzzy_names, None), "event_ingest": (q_event_ingest, EVENT_INGEST_SQL)}
+QUERIES = {"adverse_mentions": (q_adverse_mentions, ADVERSE_MENTIONS_SQL), "outlook_scores": (q_outlook_scores, OUTLOOK_SCORES_SQL), "signal_rates": (q_signal_rates, SIGNAL_RATES_SQL), "top_phrases": (q_top_phrases, TOP_PHRASES_SQL), "line_records": (q_line_records, LINE_RECORDS_SQL), "contact_points": (q_contact_points, CONTACT_POINTS_SQL), "page_links": (q_page_links, PAGE_LINKS_SQL), "name_decisions": (q_name_decisions, NAME_DECISIONS_SQL), "candidate_decisions": (q_candidate_decisions, None), "fuzzy_names": (q_fuzzy_names, None), "event_ingest": (q_event_ingest, EVENT_INGEST_SQL)}

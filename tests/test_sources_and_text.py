@@ -160,3 +160,27 @@ def test_fuzzy_names_without_a_common_token(spark):
     assert pairs.count() == pairs.select("q_id", "k_id").distinct().count()
     assert {r["q_id"]: (r["k_id"], r["score"]) for r in names.fuzzy_matches(pairs).collect()} == want
     assert bare > 100 and want["reliancepower"] == ("reliance", 0.93) and want["limited"] == ("limited", 1.0) and want["The Company"][1] == 1.0
+
+
+def test_candidate_decisions_by_hand(spark):
+    rows = [
+        ("Tata Steel Ltd", "TATASTEEL", None, "Tata Motors", "OTHER", 1), ("Tata Steel Ltd", "TATASTEEL", None, "Tata Steel", "tatasteel", 2),
+        ("Sun Pharma", None, "524715.0", "Sun Pharma Adv", "524715", 1), ("Sun Pharma", None, "524715.0", "Sun Pharma", "X", 2),
+        ("Abc Ltd", None, None, "ABC LTD", "A", 1), ("Abc Ltd", None, None, "Xyz", "X", 2),
+        ("Two", None, None, "Two!", "A", 1), ("Two", None, None, "Two.", "B", 2),
+    ]
+    found = spark.createDataFrame(rows, "name string, nse string, bse string, found string, slug string, rank int")
+    scored = names.candidate_scores(found, "name", "found", "rank", "nse", "bse", "slug")
+    got = {(r["name"], r["found"]): r["score"] for r in scored.collect()}
+    for name, nse, bse, other, slug, rank in rows:
+        x, y = (" ".join("".join(c if c.isalnum() else " " for c in t.lower()).split()) for t in (name, other))
+        left, right = set(x.split()) - {"ltd"}, set(y.split()) - {"ltd"}
+        base = 1.0 if nse == slug.upper() else 0.95 if bse == slug + ".0" else 0.84 if name.lower() == other.lower() else 0.8 if x == y else 0.0
+        more = 0.18 * len(left & right) / len(left | right) + 0.18 * SequenceMatcher(None, x, y).ratio() + 0.03 * (rank == 1)
+        assert got[name, other] == round(min(1.0, base + more * (base < 0.95)), 4)
+    asked = spark.createDataFrame([(n,) for n in ("Tata Steel Ltd", "Sun Pharma", "Abc Ltd", "Two", "None")], "name string")
+    decided = {r["name"]: tuple(r)[1:] for r in names.decide_candidates(asked, "name", scored, "found", "rank", 0.86, 0.08).collect()}
+    assert decided == {
+        "Tata Steel Ltd": ("Tata Steel", 1.0, got["Tata Steel Ltd", "Tata Motors"], "matched"),
+        "Sun Pharma": (None, 1.0, 0.95, "ambiguous"), "Abc Ltd": ("ABC LTD", 1.0, got["Abc Ltd", "Xyz"], "matched"), "Two": (None, 1.0, 1.0, "ambiguous"), "None": (None, 0.0, 0.0, "no_results"),
+    }
