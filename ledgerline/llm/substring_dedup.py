@@ -1,8 +1,12 @@
-"""Substring dedup by seed and extend (operator 8).
+"""Substring dedup by run and window hashes on winnowed anchors (operator 8).
 
 Words `[^\\x20\\x09-\\x0D]+` stay as they are. Texts are joined on winnowed anchors of ten
-words (a window of twenty words always holds one), matches are extended to both sides, and
-every word that an earlier maximal repeat of twenty words or more covers is removed.
+words (a window of twenty words always holds one), and every word that an earlier repeat of
+twenty words or more covers is removed. The dealt method, seed and extend, is replaced: no
+match is extended. The run of windows around an anchor is compared by a hash of its whole
+surroundings; where these differ, each of its windows is hashed and ranked by itself. Extension
+compares pairs of occurrences, n^2 of them for n copies; hashes and ranks form no pair. The
+words covered are the same: a maximal repeat is the union of the windows that it holds.
 
 Defined results: null or blank text gives no words and an empty kept text; texts of under
 twenty words lose nothing; rows equal in doc_id and text count once and get equal results;
