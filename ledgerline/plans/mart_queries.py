@@ -225,6 +225,24 @@ SELECT company_id, event_id, agency, source, CASE WHEN company_id % 10 = 0 AND c
     FROM rating_events WHERE (agency = 'agency_0' AND company_id % 3 = 0) OR (agency = 'agency_1' AND company_id % 3 <> 2) OR agency = 'agency_2')) WHERE p = best""")
 
 
+def q_source_priority_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JOIN-19, JOIN-20, JOIN-21 on all events: each belongs to one source by its agency; companies with a withdrawn rating are overridden."""
+    events = panel.rating_events(spark, sf_dir)
+    e = events.select("company_id", "event_id", "agency", "rating_rank")
+    known = {"cache": ["agency_0", "agency_1"], "discovered": ["agency_2", "agency_3", "agency_4"]}
+    rest = F.coalesce(~F.col("agency").isin(*sum(known.values(), [])), F.lit(True))
+    found = joins.first_source([(name, e.filter(F.col("agency").isin(*own))) for name, own in known.items()] + [("hint", e.filter(rest))], "company_id")
+    scale = F.broadcast(spark.createDataFrame([(i + 1, x) for i, x in enumerate(LABELS)], "rating_rank int, label string"))
+    overrides = events.filter("withdrawn").select("company_id", F.lit("NR").alias("label")).distinct()
+    return joins.overlay(found.join(scale, "rating_rank", "left"), overrides, "company_id", ["label"]).select("company_id", "event_id", "agency", "source", "label")
+
+
+SOURCE_PRIORITY_ALL_SQL = sql(f"""
+SELECT company_id, event_id, agency, ['cache', 'discovered', 'hint'][p] AS source, CASE WHEN company_id IN (SELECT company_id FROM rating_events WHERE withdrawn) THEN 'NR' ELSE {_LABEL_SQL}[rating_rank] END AS label FROM (
+  SELECT *, min(p) OVER (PARTITION BY company_id) AS best FROM (
+    SELECT *, CASE WHEN agency IN ('agency_0', 'agency_1') THEN 1 WHEN agency IN ('agency_2', 'agency_3', 'agency_4') THEN 2 ELSE 3 END AS p FROM rating_events)) WHERE p = best""")
+
+
 def mass(lo: Column, hi: Column, centre: Column) -> Column:
     """Share of a three-notch distribution (0.2, 0.6, 0.2 around the centre) that lies in [lo, hi]."""
     parts = [(centre - 1, 0.2), (centre, 0.6), (centre + 1, 0.2)]
@@ -298,4 +316,4 @@ def q_top_turnover(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TOP_TURNOVER_SQL = sql("SELECT company_id, year, round(revenue_crore, 6) AS revenue_crore FROM (SELECT * FROM financials QUALIFY row_number() OVER (PARTITION BY company_id ORDER BY period_date DESC) = 1) WHERE revenue_crore > 250 ORDER BY revenue_crore DESC, company_id LIMIT 20")
 
-QUERIES = {"agency_metrics": (q_agency_metrics, AGENCY_METRICS_SQL), "confusion_matrix": (q_confusion_matrix, CONFUSION_MATRIX_SQL), "range_policy": (q_range_policy, RANGE_POLICY_SQL), "prediction_choice": (q_prediction_choice, PREDICTION_CHOICE_SQL), "row_coverage": (q_row_coverage, ROW_COVERAGE_SQL), "industry_summary": (q_industry_summary, INDUSTRY_SUMMARY_SQL), "unrated_by_agency": (q_unrated_by_agency, UNRATED_SQL), "feature_quartiles": (q_feature_quartiles, FEATURE_QUARTILES_SQL), "period_matrix": (q_period_matrix, PERIOD_MATRIX_SQL), "company_profiles": (q_company_profiles, PROFILES_SQL), "status_upsert": (q_status_upsert, STATUS_UPSERT_SQL), "population_union": (q_population_union, POPULATION_UNION_SQL), "source_priority": (q_source_priority, SOURCE_PRIORITY_SQL), "published_ranges": (q_published_ranges, PUBLISHED_RANGES_SQL), "decision_marts": (q_decision_marts, DECISION_MARTS_SQL), "top_turnover": (q_top_turnover, TOP_TURNOVER_SQL)}
+QUERIES = {"agency_metrics": (q_agency_metrics, AGENCY_METRICS_SQL), "confusion_matrix": (q_confusion_matrix, CONFUSION_MATRIX_SQL), "range_policy": (q_range_policy, RANGE_POLICY_SQL), "prediction_choice": (q_prediction_choice, PREDICTION_CHOICE_SQL), "row_coverage": (q_row_coverage, ROW_COVERAGE_SQL), "industry_summary": (q_industry_summary, INDUSTRY_SUMMARY_SQL), "unrated_by_agency": (q_unrated_by_agency, UNRATED_SQL), "feature_quartiles": (q_feature_quartiles, FEATURE_QUARTILES_SQL), "period_matrix": (q_period_matrix, PERIOD_MATRIX_SQL), "company_profiles": (q_company_profiles, PROFILES_SQL), "status_upsert": (q_status_upsert, STATUS_UPSERT_SQL), "population_union": (q_population_union, POPULATION_UNION_SQL), "source_priority": (q_source_priority, SOURCE_PRIORITY_SQL), "source_priority_all": (q_source_priority_all, SOURCE_PRIORITY_ALL_SQL), "published_ranges": (q_published_ranges, PUBLISHED_RANGES_SQL), "decision_marts": (q_decision_marts, DECISION_MARTS_SQL), "top_turnover": (q_top_turnover, TOP_TURNOVER_SQL)}
