@@ -254,7 +254,7 @@ FLOORS = ((0, 0.46, 0.68, 0.42, 1.0), (1, 0.62, 0.63, 0.32, 0.8), (2, 0.76, 0.58
 
 
 def q_published_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """RNG-1..6: the first half-width that meets its floors, else the best one blanked for review."""
+    """RNG-1..4, RNG-6 in part: the first half-width that meets its floors, else the best one blanked for review."""
     p = predictions(spark, sf_dir).filter("predicted is not null")
     floors = F.array(*[F.struct(*[F.lit(float(v)).alias(n) for n, v in zip(("h", "mass", "confidence", "top", "trust"), row, strict=True)]) for row in FLOORS])
     r = p.withColumn("f", F.explode(floors)).withColumns({"lo": F.greatest(F.lit(1), F.col("predicted") - F.col("f.h").cast("int")), "hi": F.least(F.lit(19), F.col("predicted") + F.col("f.h").cast("int"))})
@@ -285,7 +285,7 @@ scored AS (SELECT *, 0.23::DOUBLE * confidence + 0.18::DOUBLE * mass + 0.08::DOU
 
 
 def q_decision_marts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """MRT-1..4, MRT-6, MRT-7, MRT-11, RNG-7, NUM-8 on the latest statements."""
+    """MRT-1, MRT-3, MRT-6, MRT-11, RNG-7, NUM-8, and MRT-2 and MRT-7 in part, on the latest statements."""
     f = joins.one_per_key(panel.financials(spark, sf_dir), "company_id", F.col("period_date").desc())
     rated = filters.eligible(panel.rating_events(spark, sf_dir)).groupBy("company_id").agg(F.max_by("rating_rank", F.struct("rating_date", "event_id")).alias("last_rank"), F.max("rating_date").alias("last_date"))
     c = panel.companies(spark, sf_dir).join(f, "company_id", "left").join(rated, "company_id", "left")

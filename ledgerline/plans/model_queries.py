@@ -22,7 +22,7 @@ def _models(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def q_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ML-2..7, ML-9: every eligible event scored by its agency's model."""
+    """ML-2..7, ML-9 in part: every eligible event scored by its agency's model."""
     return _models(spark, sf_dir)[0].select(*_KEYS, "held_out", "predicted_rank", F.round("share", 6).alias("share"))
 
 
