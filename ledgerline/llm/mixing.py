@@ -30,8 +30,8 @@ REPEATS = 3
 SEED = 7
 HASH_BUCKETS = 4096
 MAX_PATTERNS = 100_000
-#: Passes over the documents that are still out, each for what the one before left owed.
-FILL_ROUNDS = 3
+#: Documents that are still out and fit what their pattern owes.
+OPEN = "not chosen and size > 0 and unit <= owed"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -134,10 +134,16 @@ def mix(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = SEED) -
     order = F.xxhash64("did", "th", F.lit(seed))
     dealt = rows.join(plan.withColumnRenamed("pattern", "p"), F.col("pattern").eqNullSafe(F.col("p")))
     dealt = dealt.select(*KEY, "size", "pattern", "rounds", F.col("rest").alias("owed"), order.alias("order"), F.shiftrightunsigned(order, 64 - (HASH_BUCKETS - 1).bit_length()).alias("bucket"), F.lit(False).alias("chosen"))
-    for _ in range(FILL_ROUNDS):
+    #: Equal rows share one decision, so what has to fit is all of them. Only sums of several rows are joined.
+    sums = dealt.groupBy("pattern", "order").agg(F.sum("size").alias("unit"), F.count("*").alias("n")).filter("n > 1")
+    sums = sums.select(F.col("pattern").alias("p"), F.col("order").alias("o"), "unit")
+    dealt = dealt.join(sums, (F.col("order") == F.col("o")) & F.col("pattern").eqNullSafe(F.col("p")), "left").drop("p", "o")
+    dealt = materialise(dealt.withColumn("unit", F.coalesce("unit", "size")), "mix")
+    #: Each pass lowers what is owed, for the first open document of a pattern fits.
+    while not dealt.filter(OPEN).isEmpty():
         dealt = materialise(_fill(dealt), "mix")
     #: One more document comes as near as one can; the first in the seeded order among equals.
-    miss = F.abs(F.col("owed") - F.col("size"))
+    miss = F.abs(F.col("owed") - F.col("unit"))
     filler = dealt.filter(~F.col("chosen") & (F.col("size") > 0) & (miss < F.col("owed"))).groupBy("pattern").agg(F.min(F.struct(miss.alias("miss"), F.col("order"))).alias("best"))
     dealt = _with(dealt, filler.select("pattern", F.col("best.order").alias("extra")))
     extra = F.col("chosen") | F.coalesce(F.col("order") == F.col("extra"), F.lit(False))
@@ -153,7 +159,7 @@ def _with(dealt: DataFrame, facts: DataFrame) -> DataFrame:
 
 def _fill(dealt: DataFrame) -> DataFrame:
     """Choose documents in the seeded order up to what their pattern owes; longer ones are passed over."""
-    open_ = dealt.filter(~F.col("chosen") & (F.col("size") > 0) & (F.col("size") <= F.col("owed")))
+    open_ = dealt.filter(OPEN)
     sums = open_.groupBy("pattern", "owed", "bucket").agg(F.sum("size").alias("sum"))
     until = F.sum("sum").over(Window.partitionBy("pattern").orderBy("bucket"))
     ranges = sums.withColumn("until", until)
@@ -165,11 +171,11 @@ def _fill(dealt: DataFrame) -> DataFrame:
     facts = edge.join(near.groupBy("pattern").agg(F.max("order").alias("limit")).withColumnRenamed("pattern", "p"), F.col("pattern").eqNullSafe(F.col("p")), "left").drop("p")
     marked = _with(dealt, facts)
     inside = F.when(F.col("edge").isNull() | (F.col("bucket") < F.col("edge")), True).when(F.col("bucket") == F.col("edge"), F.col("order") <= F.col("limit"))
-    new = ~F.col("chosen") & (F.col("size") > 0) & (F.col("size") <= F.col("owed")) & F.coalesce(inside, F.lit(False))
+    new = F.expr(OPEN) & F.coalesce(inside, F.lit(False))
     marked = marked.withColumn("new", new)
     got = marked.filter("new").groupBy("pattern").agg(F.sum("size").alias("got"))
     marked = _with(marked, got)
-    return marked.select(*KEY, "size", "pattern", "rounds", (F.col("owed") - F.coalesce("got", F.lit(0))).alias("owed"), "order", "bucket", (F.col("chosen") | F.col("new")).alias("chosen"))
+    return marked.select(*KEY, "size", "pattern", "rounds", (F.col("owed") - F.coalesce("got", F.lit(0))).alias("owed"), "order", "bucket", "unit", (F.col("chosen") | F.col("new")).alias("chosen"))
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

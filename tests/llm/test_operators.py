@@ -327,6 +327,28 @@ def test_language_id(spark):
     assert all(0 <= s <= 1 for _, s in got.values())
 
 
+def test_mixing_fills_until_nothing_fits(spark):
+    rng = np.random.default_rng(4)
+    sizes = [int(x) for x in np.exp(rng.uniform(0, 7, size=150))]
+    rows = [(i, n, f"s{i % 2}") for i, n in enumerate(sizes)] + [(900, 40, "s0")] * 3 + [(901, 300, "s1")] * 4
+    docs = spark.createDataFrame([(i, i, n, [s]) for i, n, s in rows], "did long, th long, size long, pattern array<string>")
+    for seed in (1, 2, 3):
+        mixed, shares = mixing.mix(docs, (5, 1), seed)
+        wanted = {r["source"]: round(r["target"]) for r in shares.collect()}
+        got = mixed.collect()
+        for source, target in wanted.items():
+            own = [r for r in got if r["pattern"] == [source]]
+            rounds = target // sum(r["size"] for r in own)
+            units: dict[int, list[int]] = {}
+            for r in own:
+                units.setdefault(r["did"], []).append(r["copies"] - rounds)
+                assert r["copies"] - rounds in (0, 1)
+            assert all(len(set(x)) == 1 for x in units.values())
+            total = {d: sum(r["size"] for r in own if r["did"] == d) for d in units}
+            owed = target - sum(r["size"] * r["copies"] for r in own)
+            assert all(abs(owed) <= abs(owed - t) for d, t in total.items() if not units[d][0])
+
+
 def test_html_extraction(spark):
     page = (
         "<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><nav><ul><li><a href='/x'>Home</a></li></ul></nav><div class=\"ad\">Buy it now</div>"
