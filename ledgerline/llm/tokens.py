@@ -4,8 +4,10 @@ Both vocabularies split texts so that no token crosses a single blank or newline
 visible characters. Texts are cut there and each distinct piece is encoded once by the
 tokenizers library; pieces already met by this worker come from memory. Any other white
 space stays inside its piece, so the ids are those of the whole text. Runs of Latin letters
-and of punctuation go to the library's model directly, which saves it the normalising. Ids
-are in the byte order of the machine, little-endian on all that Spark runs on.
+and of punctuation go to the library's model directly, which saves it the normalising. A text
+that holds the literal of an added token goes to the library whole, so that the literal
+becomes that token's id, as the library does it. Ids are in the byte order of the machine,
+little-endian on all that Spark runs on.
 """
 
 from __future__ import annotations
@@ -43,7 +45,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        #: Literals of added tokens; those that are looked for after normalising may be written in either case.
+        self.exact = [t.content for t in added if not t.normalized]
+        self.folded = [t.content.lower() for t in added if t.normalized]
         self.model = self.tokenizer.model
         self.known: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
@@ -57,6 +62,9 @@ class Encoder:
     def vocabulary_size(self) -> int:
         return self.tokenizer.get_vocab_size(with_added_tokens=True)
 
+    def _holds_added(self, text: str) -> bool:
+        return any(a in text for a in self.exact) or bool(self.folded) and any(a in text.lower() for a in self.folded)
+
     @staticmethod
     def cut(text: str) -> list[str]:
         pieces = _PIECES.findall(text)
@@ -84,7 +92,8 @@ class Encoder:
         return out + self._part(tail) if tail else out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.cut(t) for t in texts]
+        special = [self._holds_added(t) for t in texts]
+        cut = [[] if whole else self.cut(t) for t, whole in zip(texts, special, strict=True)]
         if len(self.known) > REMEMBERED:
             self.known.clear()
         if len(self.parts) > REMEMBERED:
@@ -101,7 +110,7 @@ class Encoder:
             part = odd[i : i + 4096]
             for piece, coded in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 known[piece] = array("I", coded.ids).tobytes()
-        out = [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
+        out = [self._whole(t) if whole else b"".join(map(known.__getitem__, pieces)) for t, whole, pieces in zip(texts, special, cut, strict=True)]
         for piece in odd:
             if len(piece) > LONGEST:
                 del known[piece]
