@@ -3,8 +3,10 @@
 A document's ids get the end id appended and are cut into pieces of at most `capacity`
 tokens. Pieces are dealt by a hash into groups of about `GROUP` pieces (the count decides
 how many), and each group is packed on its own: every piece goes where the sum over residual
-gaps of the squared count of open bins becomes smallest; ties take the smallest gap. Full
-pieces are sequences by themselves. A group holds lengths and keys only, never ids.
+gaps of the squared count of open bins becomes smallest; ties take the smallest gap. Once
+half of the bins that the tokens need at least are made, a new bin is made only for a piece
+that fits no open one. Full pieces are sequences by themselves. A group holds lengths and
+keys only, never ids.
 
 Defined results: null text is one end id; a repeated row is packed once for each time it
 occurs; an empty table gives no rows. Pieces are taken in descending length and, among
@@ -30,6 +32,8 @@ END_ID = 0
 VOCABULARY = "word_bpe_49k.json"
 #: Pieces in a group.
 GROUP = 100_000
+#: More than any growth of the sum.
+_NEVER = 1 << 60
 #: Sequence numbers that a group may use.
 _SPAN = 1 << 32
 
@@ -60,8 +64,12 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int = END_ID, capacity: int
     return keyed(docs).mapInArrow(_cutter(vocabulary, end_id, capacity), _PIECES)
 
 
-def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Bin and offset of each length, in the given order, and the number of bins."""
+def sum_of_squares(lengths: np.ndarray, capacity: int, choice: int | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+    """Bin and offset of each length, in the given order, and the number of bins.
+
+    choice: the number of bins up to which a new bin is a choice like any other; from there on
+    a new bin is made only if no open bin fits (None: always a choice).
+    """
     open_bins: list[list[int]] = [[] for _ in range(capacity + 1)]
     count = np.zeros(capacity + 1, np.int64)
     bins, offsets = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
@@ -69,8 +77,10 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     for i, s in enumerate(lengths.tolist()):
         #: Growth of the sum of squares by a new bin, by a bin that stays open, by one that closes.
         gap, growth = capacity, 2 * count[capacity - s] + 1 if s < capacity else 0
+        if choice is not None and made >= choice:
+            growth = _NEVER - 1
         inner = count[1 : capacity - s] - count[s + 1 : capacity]
-        inner[count[s + 1 : capacity] == 0] = 1 << 40
+        inner[count[s + 1 : capacity] == 0] = _NEVER
         if len(inner):
             at = int(inner.argmin())
             if 2 * inner[at] + 2 <= growth:
@@ -93,7 +103,8 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
 def _packer(capacity: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["length", "order", "did", "th", "piece"], ascending=[False, True, True, True, True], kind="stable")
-        bins, offsets, _ = sum_of_squares(group["length"].to_numpy(), capacity)
+        lengths = group["length"].to_numpy()
+        bins, offsets, _ = sum_of_squares(lengths, capacity, -(-int(lengths.sum()) // capacity) // 2)
         group["sequence_id"] = group["grp"].to_numpy() * _SPAN + bins
         group["offset"] = offsets
         return group.drop(columns=["order", "grp"])
