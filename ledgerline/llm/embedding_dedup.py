@@ -2,20 +2,27 @@
 
 Equal vectors are put together first. Trees are fitted on a bounded sample: a node is split
 at the median of a random projection, and vectors within MARGIN of the cut go to both sides
-(spill). Every vector is then routed through every tree, and vectors that meet in a leaf
-are compared exactly, in double precision. A pair that meets in several leaves counts in the
-first of them only: each vector carries the list of its leaves. A leaf beyond BLOCK vectors
-is compared block against block, so that no task holds more than two blocks. A leaf emits a
-count for each vector and a spanning forest of its links, never the pairs.
+(spill). Trees are added until pairs at the threshold, planted beside vectors of the sample,
+and the widest links inside the sample meet in MET trees each; deeper tables get more in
+proportion. Every vector is then routed through every
+tree. A leaf that is over-full because the sample does not resolve it is refined: trees of
+its own are fitted in a task each, on a bounded sample of the leaf, and its vectors are
+routed on; this repeats until no leaf can be split. So leaves do not grow with the table.
+Vectors that meet in a leaf are compared exactly, in double precision. A pair that meets in
+several leaves counts in the first of them only: each vector carries the list of its leaves.
+A leaf that stays beyond BLOCK vectors is compared block against block, so that no task holds
+more than two blocks. A leaf emits a count for each vector and a spanning forest of its
+links, never the pairs.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components
 link with nothing and are their own component; vectors of different lengths do not link;
 equal vectors in different rows link with each other; a null vec_id is never a component's
-least id.
+least id. Components of type float or double are compared as given, others as double.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,29 +31,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerline.llm import textarrays
 from ledgerline.llm.components import components
 from ledgerline.llm.rows import hash_share
 from ledgerline.session import materialise, table
 
 THRESHOLD = 0.95
-TREES = 8
+#: Vectors of the sample that pairs are planted beside, the links of each inside the sample that count as well (those of
+#: least cosine), the trees that each of these pairs has to meet in before no more are added, and the least and most trees.
+PLANTED = 2000
+WIDEST = 8
+MET = 3
+TREES = (4, 48)
 #: Vectors that a leaf is meant to hold, and that one block of a comparison may hold.
 LEAF = 1200
 BLOCK = 4096
 #: Half-width of the spill, for unit vectors, times the square root of their length.
-MARGIN = 0.22
-#: Vectors that the trees are fitted on.
+MARGIN = 0.1
+#: A cut is taken if neither side gets more than this share; a leaf no direction of four cuts so stays whole.
+_LARGEST = 0.75
+#: Vectors that the trees are fitted on, and that the trees of one over-full leaf are.
 SAMPLE = 16384
 _LEAST = 24
 
-_ROUTED = "leaf int, low int, high int, side boolean, gid long, m long, vector binary, leaves array<int>"
+_LEAVES = "array<struct<leaf: long, blocks: int, share: double, total: long>>"
 _FOUND = "gid long, links long, root long"
 
 
 class Forest:
     """Nodes of all trees in flat arrays; a node is a cut (left >= 0) or a leaf (its own number)."""
 
-    def __init__(self, sample: np.ndarray, total: int, trees: int, leaf: int, seed: int = 11):
+    def __init__(self, sample: np.ndarray, total: int, trees: int | None, leaf: int, threshold: float, seed: int = 11):
+        """trees: how many (None: as many as planted pairs ask for)."""
         self.dimensions = sample.shape[1]
         self.margin = MARGIN / np.sqrt(self.dimensions)
         self.directions: list[np.ndarray] = []
@@ -54,16 +70,54 @@ class Forest:
         self.left: list[int] = []
         self.right: list[int] = []
         self.expected: list[float] = []
+        #: Leaves whose sample ran out before they were small.
+        self.coarse: list[bool] = []
+        self.roots: list[int] = []
         rng = np.random.default_rng(seed)
         scale = total / max(1, len(sample))
-        self.roots = [self._grow(sample, np.arange(len(sample)), rng, scale, leaf) for _ in range(trees)]
+        grow = lambda: self.roots.append(self._grow(sample, np.arange(len(sample)), rng, scale, leaf))
+        for _ in range(trees or TREES[0]):
+            grow()
+        if trees or len(sample) < 2:
+            return
+        one = sample[rng.permutation(len(sample))[:PLANTED]]
+        away = rng.normal(size=one.shape)
+        away -= (away * one).sum(axis=1, keepdims=True) * one
+        two = threshold * one + np.sqrt(1 - threshold**2) * away / np.maximum(np.linalg.norm(away, axis=1, keepdims=True), 1e-300)
+        cosine = one @ sample.T
+        cosine[cosine < threshold] = 2
+        widest = np.argpartition(cosine, min(WIDEST, cosine.shape[1]) - 1, axis=1)[:, :WIDEST]
+        row, column = np.nonzero(np.take_along_axis(cosine, widest, axis=1) <= 1)
+        one, two = np.concatenate((one, one[row])), np.concatenate((two, sample[widest[row, column]]))
+        met, tried = np.zeros(len(one), np.int64), 0
+        while True:
+            for root in self.roots[tried:]:
+                met += self._meet(one, two, root)
+            tried = len(self.roots)
+            #: Levels that the sample can't show divide pairs as the shown ones do.
+            deeper = max(1.0, np.log(max(2.0, total / leaf)) / np.log(max(2.0, min(total / leaf, len(sample) / _LEAST))))
+            together = np.clip(met.mean() / tried, 1e-3, 1.0) ** deeper
+            if tried >= TREES[1] or met.min() >= MET and together * tried >= MET * met.mean() / max(1, met.min()):
+                return
+            grow()
+
+    def _meet(self, one: np.ndarray, two: np.ndarray, root: int) -> np.ndarray:
+        """Which pairs of rows share a leaf of the tree."""
+        ends = [self.leaves(x, [root]) for x in (one, two)]
+        keys = [rows * len(self.left) + node for rows, node in ends]
+        out = np.zeros(len(one), bool)
+        out[np.intersect1d(*keys) // len(self.left)] = True
+        return out
 
     def _grow(self, sample, own, rng, scale, leaf) -> int:
         node = len(self.left)
         self.directions.append(None)
-        for values, x in ((self.cuts, 0.0), (self.left, -1), (self.right, -1), (self.expected, len(own) * scale)):
+        for values, x in ((self.cuts, 0.0), (self.left, -1), (self.right, -1), (self.expected, len(own) * scale), (self.coarse, False)):
             values.append(x)
-        if len(own) * scale <= leaf or len(own) < _LEAST:
+        if len(own) * scale <= leaf:
+            return node
+        if len(own) < _LEAST:
+            self.coarse[node] = len(own) * scale > 2 * leaf
             return node
         for _ in range(4):
             direction = rng.normal(size=self.dimensions)
@@ -71,17 +125,17 @@ class Forest:
             at = sample[own] @ direction
             cut = float(np.median(at))
             low, high = own[at <= cut + self.margin], own[at >= cut - self.margin]
-            if max(len(low), len(high)) <= 0.8 * len(own):
+            if max(len(low), len(high)) <= _LARGEST * len(own):
                 self.directions[node], self.cuts[node] = direction, cut
                 self.left[node] = self._grow(sample, low, rng, scale, leaf)
                 self.right[node] = self._grow(sample, high, rng, scale, leaf)
                 break
         return node
 
-    def leaves(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, leaf) pairs over all trees."""
+    def leaves(self, vectors: np.ndarray, roots: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(row, leaf) pairs over all trees, or those of the given roots."""
         rows, found = [], []
-        stack = [(root, np.arange(len(vectors))) for root in self.roots]
+        stack = [(root, np.arange(len(vectors))) for root in roots or self.roots]
         while stack:
             node, own = stack.pop()
             if not len(own):
@@ -105,34 +159,100 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
-def _router(trees: Forest, block: int):
+def _leaf_lists(trees: Forest, vectors: np.ndarray, parent: int | None, block: int, bound: int) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Number of leaves of each vector, and their ids, blocks, shares to sample (0: final) and expected sizes."""
+    rows, node = trees.leaves(vectors)
+    expected = np.array(trees.expected)[node]
+    leaf = node.astype(np.int64)
+    if parent is not None:
+        leaf = (textarrays.mix(np.uint64(parent) ^ (node.astype(np.uint64) << np.uint64(40))) >> np.uint64(1)).astype(np.int64)
+    share = np.where(np.array(trees.coarse)[node], np.minimum(1.0, bound / np.maximum(expected, 1.0)), 0.0)
+    blocks = np.maximum(1, np.ceil(expected / block)).astype(np.int32)
+    return np.bincount(rows, minlength=len(vectors)), {"leaf": leaf, "blocks": blocks, "share": share, "total": np.ceil(expected).astype(np.int64)}
+
+
+def _leaf_column(counts: np.ndarray, lists: dict[str, np.ndarray]) -> pa.Array:
+    inner = pa.StructArray.from_arrays([pa.array(x) for x in lists.values()], names=list(lists))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), inner)
+
+
+def _router(trees: Forest, block: int, bound: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                n = part.num_rows
                 flat = part.column("embedding").flatten().to_numpy(zero_copy_only=False)
-                vectors = _unit(flat.reshape(n, trees.dimensions))
-                rows, leaf = trees.leaves(vectors)
-                counts = np.bincount(rows, minlength=n)
-                bounds = np.concatenate(([0], np.cumsum(counts)))
-                gid, m = (part.column(c).to_numpy(zero_copy_only=False) for c in ("gid", "m"))
-                blocks = np.maximum(1, np.ceil(np.array(trees.expected)[leaf] / block)).astype(np.int64)
-                own = (gid[rows] * 0x9E3779B1 >> 7) % blocks
-                again = np.repeat(np.arange(len(rows)), blocks)
-                other = np.arange(len(again)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-                mine = own[again]
-                row = rows[again]
-                raw = flat.astype(np.float32).tobytes()
-                size = 4 * trees.dimensions
-                packed = [raw[r * size : (r + 1) * size] for r in row.tolist()]
-                lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(leaf.astype(np.int32))).take(pa.array(row))
-                columns = [leaf[again].astype(np.int32), np.minimum(mine, other).astype(np.int32), np.maximum(mine, other).astype(np.int32), mine > other, gid[row], m[row]]
-                yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), pa.array(packed, pa.binary()), lists], names=["leaf", "low", "high", "side", "gid", "m", "vector", "leaves"])
+                lists = _leaf_lists(trees, _unit(flat.reshape(part.num_rows, trees.dimensions)), None, block, bound)
+                raw, size = flat.tobytes(), flat.itemsize * trees.dimensions
+                packed = pa.array([raw[k : k + size] for k in range(0, len(raw), size)], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("gid"), part.column("m"), packed, _leaf_column(*lists)], names=["gid", "m", "vector", "leaves"])
+
+    return run
+
+
+def _vectors(column, kind: np.dtype, dimensions: int) -> np.ndarray:
+    return _unit(np.frombuffer(b"".join(column), kind).reshape(-1, dimensions))
+
+
+def _planter(kind: np.dtype, dimensions: int, leaf: int, threshold: float):
+    """Trees of one over-full leaf, from its sample."""
+
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        #: What the leaf holds shows in its own sample better than in its parents'.
+        total = int(np.ceil(len(group) / group["share"].iloc[0]))
+        grown = Forest(_vectors(group["vector"], kind, dimensions), total, 1, leaf, threshold, seed=key[0] & 0xFFFFFFFF)
+        return pd.DataFrame({"leaf": [key[0]], "total": [int(group["total"].iloc[0])], "tree": [pickle.dumps(grown)]})
+
+    return run
+
+
+def _follower(kind: np.dtype, dimensions: int, block: int, bound: int):
+    """Rows sorted by leaf, each leaf's tree before its vectors: (gid, leaves) of the vectors.
+
+    A leaf of which nothing was sampled has no tree and stays as it is.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, grown = None, None
+        for batch in batches:
+            leaf = batch.column("leaf").to_numpy()
+            planted = batch.column("tree")
+            given = planted.is_valid().to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((leaf[1:] != leaf[:-1]) | given[:-1] | given[1:]) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(leaf)], strict=True):
+                if given[a]:
+                    tree, grown = int(leaf[a]), pickle.loads(planted[a].as_py())
+                    a += 1
+                elif tree != leaf[a]:
+                    tree, grown = int(leaf[a]), None
+                for i in range(a, b, 2048):
+                    part = batch.slice(i, min(2048, b - i))
+                    if grown is None:
+                        n, total = part.num_rows, part.column("total").to_numpy()
+                        lists = np.ones(n, np.int64), {"leaf": np.full(n, tree), "blocks": np.maximum(1, -(-total // block)).astype(np.int32), "share": np.zeros(n), "total": total}
+                    else:
+                        lists = _leaf_lists(grown, _vectors(part.column("vector").to_pylist(), kind, dimensions), tree, block, bound)
+                    yield pa.RecordBatch.from_arrays([part.column("gid"), _leaf_column(*lists)], names=["gid", "leaves"])
 
     return run
 
 
+def _refined(routed: DataFrame, kind: np.dtype, dimensions: int, threshold: float, leaf: int, block: int, bound: int) -> DataFrame:
+    """routed (gid, m, vector, leaves) with every over-full leaf replaced by leaves of its own trees."""
+    full = routed.select("gid", "vector", F.inline("leaves")).filter("share > 0")
+    picked = full.filter(F.pmod(F.xxhash64("gid", "leaf"), F.lit(1 << 30)) < F.col("share") * (1 << 30))
+    grown = materialise(picked.groupBy("leaf").applyInPandas(_planter(kind, dimensions, leaf, threshold), "leaf long, total long, tree binary"), "leaf-trees")
+    salts = F.ceil(F.col("total") / (16 * block)).cast("int")
+    trees = grown.select("leaf", "total", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), "tree", F.lit(None).cast("long").alias("gid"), F.lit(None).cast("binary").alias("vector"))
+    rows = full.select("leaf", "total", F.pmod(F.xxhash64("gid"), salts).cast("int").alias("salt"), F.lit(None).cast("binary").alias("tree"), "gid", "vector")
+    #: A tree per leaf and salt comes first (its gid is null), so a task holds one tree and one batch at a time.
+    dealt = trees.unionByName(rows).repartition("leaf", "salt").sortWithinPartitions("leaf", "salt", F.col("gid").asc_nulls_first())
+    found = dealt.select("leaf", "total", "tree", "gid", "vector").mapInArrow(_follower(kind, dimensions, block, bound), f"gid long, leaves {_LEAVES}")
+    found = found.groupBy("gid").agg(F.flatten(F.collect_list("leaves")).alias("finer"))
+    whole = F.concat(F.filter("leaves", lambda x: x["share"] == 0), F.coalesce("finer", F.array().cast(_LEAVES)))
+    return materialise(routed.join(found, "gid", "left").select("gid", "m", "vector", whole.alias("leaves")), "routed")
+
+
 def _earlier(leaf: int, blocks: list[tuple]) -> list[np.ndarray]:
     """For each block, one bit row per vector: which of the leaves before this one it is in."""
     lists = [np.concatenate(own[3]) if len(own[3]) else np.zeros(0, np.int64) for own in blocks]
@@ -190,11 +310,10 @@ def compare(leaf: int, a: tuple, b: tuple | None, threshold: float) -> tuple[np.
     return gid[told], links[told], gid[label[told]]
 
 
-def _comparer(dimensions: int, threshold: float):
+def _comparer(kind: np.dtype, dimensions: int, threshold: float):
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         def block(own: pd.DataFrame) -> tuple:
-            vectors = _unit(np.frombuffer(b"".join(own["vector"]), np.float32).reshape(-1, dimensions))
-            return own["gid"].to_numpy(), own["m"].to_numpy(), vectors, list(own["leaves"])
+            return own["gid"].to_numpy(), own["m"].to_numpy(), _vectors(own["vector"], kind, dimensions), list(own["leaves"])
 
         leaf, low, high = key
         side = group["side"].to_numpy()
@@ -215,25 +334,36 @@ def usable(vectors: DataFrame) -> DataFrame:
     return vectors.filter(F.col("embedding").isNotNull() & ~bad & F.exists("embedding", lambda x: x != 0))
 
 
-def embedding_links(distinct: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, leaf: int = LEAF, block: int = BLOCK) -> DataFrame:
+def embedding_links(distinct: DataFrame, threshold: float = THRESHOLD, trees: int | None = None, leaf: int = LEAF, block: int = BLOCK, sample: int = SAMPLE) -> DataFrame:
     """(gid, links, root) of distinct vectors (gid, m, embedding): partial counts of links and forest links."""
     spark = distinct.sparkSession
+    kind = np.dtype(np.float64 if dict(distinct.dtypes)["embedding"] == "array<double>" else np.float32)
     found = None
     sizes = {r[0]: r[1] for r in distinct.groupBy(F.size("embedding").alias("d")).count().collect()}
     for dimensions, total in sorted(sizes.items()):
         own = distinct.filter(F.size("embedding") == dimensions)
-        bound = max(256, min(SAMPLE, (1 << 22) // dimensions))
+        bound = max(256, min(sample, (1 << 22) // dimensions))
         rows = own.select(F.xxhash64("embedding").alias("order"), "embedding").filter(hash_share(F.col("order"), bound, total)).orderBy("order").limit(bound).select("embedding").collect()
-        grown = Forest(_unit(np.array([r[0] for r in rows], np.float64)), total, trees, leaf)
-        routed = own.select("gid", "m", "embedding").mapInArrow(_router(grown, block), _ROUTED)
-        part = routed.groupBy("leaf", "low", "high").applyInPandas(_comparer(dimensions, threshold), _FOUND)
+        grown = Forest(_unit(np.array([r[0] for r in rows], np.float64)), total, trees, leaf, threshold)
+        routed = own.select("gid", "m", "embedding").mapInArrow(_router(grown, block, bound), f"gid long, m long, vector binary, leaves {_LEAVES}")
+        if any(grown.coarse):
+            routed = materialise(routed, "routed")
+            while not routed.filter(F.exists("leaves", lambda x: x["share"] > 0)).isEmpty():
+                routed = _refined(routed, kind, dimensions, threshold, leaf, block, bound)
+        mine = F.pmod(F.xxhash64("gid"), F.col("blocks")).cast("int")
+        copies = routed.select("gid", "m", "vector", F.col("leaves.leaf").alias("leaves"), F.inline("leaves"))
+        copies = copies.select("gid", "m", "vector", "leaves", "leaf", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        copies = copies.select("leaf", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), (F.col("mine") > F.col("other")).alias("side"), "gid", "m", "vector", "leaves")
+        part = copies.groupBy("leaf", "low", "high").applyInPandas(_comparer(kind, dimensions, threshold), _FOUND)
         found = part if found is None else found.unionByName(part)
     return spark.createDataFrame([], _FOUND) if found is None else found
 
 
 def embedding_groups(vectors: DataFrame) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of vectors (vec_id, embedding)."""
-    vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
+    kind = dict(vectors.dtypes)["embedding"]
+    kind = kind if kind in ("array<float>", "array<double>") else "array<double>"
+    vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding"))
     good = usable(vectors)
     distinct = good.groupBy("embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("m"))
     distinct = materialise(distinct.withColumn("gid", F.monotonically_increasing_id()), "vectors")
