@@ -51,7 +51,7 @@ def _rating_sql(c: str) -> dict[str, str]:
     }
 
 
-_TEXTS = f"""texts AS (SELECT event_id, company_id, agency, rating_date, scale_type, '[' || upper(agency) || '] ' || coalesce(CASE WHEN scale_type = 'short_term' THEN {_list(_SHORT_FORMS)}[event_id % {len(_SHORT_FORMS)} + 1] ELSE {_list(LONG_TERM)}[rating_rank] END, '')
+TEXTS = f"""texts AS (SELECT event_id, company_id, agency, rating_date, scale_type, '[' || upper(agency) || '] ' || coalesce(CASE WHEN scale_type = 'short_term' THEN {_list(_SHORT_FORMS)}[event_id % {len(_SHORT_FORMS)} + 1] ELSE {_list(LONG_TERM)}[rating_rank] END, '')
   || ' (' || {_list(_MOODS)}[event_id % {len(_MOODS)} + 1] || ') ' || {_list(_DONE)}[event_id % {len(_DONE)} + 1] || CASE WHEN withdrawn THEN ' ; withdrawn' WHEN not_cooperating THEN ' issuer not  cooperating' WHEN event_id % 11 = 0 THEN ' best available information' ELSE '' END AS rating_text FROM rating_events),
 chained AS (SELECT *, lag(rating_text) OVER w AS previous_text, row_number() OVER w AS number FROM texts WINDOW w AS (PARTITION BY company_id, agency ORDER BY rating_date NULLS FIRST, event_id))"""
 
@@ -61,7 +61,7 @@ def q_rating_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rating_texts(spark, sf_dir).select("event_id", *(c.alias(n) for n, c in ratings.rating_columns(F.col("rating_text")).items()))
 
 
-RATING_LABELS_SQL = sql("SELECT event_id, " + ", ".join(f"{c} AS {n}" for n, c in _rating_sql("rating_text").items()) + " FROM texts", _TEXTS)
+RATING_LABELS_SQL = sql("SELECT event_id, " + ", ".join(f"{c} AS {n}" for n, c in _rating_sql("rating_text").items()) + " FROM texts", TEXTS)
 
 
 def q_rating_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +76,7 @@ RATING_RECORDS_SQL = sql(
   coalesce({_NOW["rank"]}, {_BEFORE["rank"]}) AS rank, CASE WHEN withdrawn_text AND done = '' THEN 'Withdrawn' WHEN done <> '' THEN upper(done[1]) || lower(done[2:]) END AS action, {_NOW["is_withdrawn"]} AS is_withdrawn,
   {_NOW["is_issuer_not_cooperating"]} OR {_NOW["is_best_available_information"]} AS is_not_cooperating
 FROM (SELECT *, {_list(_DONE)}[event_id % {len(_DONE)} + 1] AS done, contains(rating_text, 'withdrawn') AS withdrawn_text FROM chained)""",
-    _TEXTS,
+    TEXTS,
 )
 
 #: Words that occur in the supplied texts stand in for the lexicons of rating documents.
