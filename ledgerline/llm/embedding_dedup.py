@@ -84,11 +84,15 @@ class Forest:
         away = rng.normal(size=one.shape)
         away -= (away * one).sum(axis=1, keepdims=True) * one
         two = threshold * one + np.sqrt(1 - threshold**2) * away / np.maximum(np.linalg.norm(away, axis=1, keepdims=True), 1e-300)
-        cosine = one @ sample.T
-        cosine[cosine < threshold] = 2
-        widest = np.argpartition(cosine, min(WIDEST, cosine.shape[1]) - 1, axis=1)[:, :WIDEST]
-        row, column = np.nonzero(np.take_along_axis(cosine, widest, axis=1) <= 1)
-        one, two = np.concatenate((one, one[row])), np.concatenate((two, sample[widest[row, column]]))
+        ends = [(one, two)]
+        for i in range(0, len(one), 100):
+            part = one[i : i + 100]
+            cosine = part @ sample.T
+            cosine[cosine < threshold] = 2
+            widest = np.argpartition(cosine, min(WIDEST, cosine.shape[1]) - 1, axis=1)[:, :WIDEST]
+            row, column = np.nonzero(np.take_along_axis(cosine, widest, axis=1) <= 1)
+            ends.append((part[row], sample[widest[row, column]]))
+        one, two = (np.concatenate(x) for x in zip(*ends, strict=True))
         met, tried = np.zeros(len(one), np.int64), 0
         while True:
             for root in self.roots[tried:]:
