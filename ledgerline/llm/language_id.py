@@ -3,8 +3,9 @@
 The network labels every byte of the whole text; a text is read in stretches of STRETCH
 bytes that are run side by side, and its language is the one with the highest mean
 probability over all its bytes. It is trained here, in numpy, by backpropagation through
-time on at most SAMPLE labelled rows a language (the bound), in the order of a hash of
-doc_id; of each such row a stretch of at most EXCERPT characters is used for training.
+time on at most SAMPLE labelled rows a language and TOTAL in all (the bound), in the order of
+a hash of doc_id; of each such row a stretch of at most EXCERPT characters, anywhere in the
+text, is used for training.
 
 Only text and non-null lang of rows with crc32(doc_id as text) mod 3 other than 1 are
 learned from. Defined results: null text and text without a letter give `und` with score 1;
@@ -23,10 +24,11 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm import textarrays
 from ledgerline.llm.recurrent import Adam, Bidirectional, GatedCell
+from ledgerline.llm.rows import hash_share
 from ledgerline.session import table
 
 SAMPLE = 400
-MAX_LANGUAGES = 64
+TOTAL = 25_600
 EXCERPT = 2000
 STRETCH = 64
 HIDDEN = 10
@@ -42,16 +44,19 @@ def remainder() -> Column:
 
 
 def training_rows(docs: DataFrame) -> list[tuple[str, str]]:
-    """The bounded sample: (lang, excerpt)."""
+    """The bounded sample: (lang, excerpt), SAMPLE rows a language and TOTAL of all languages at most."""
     order = F.xxhash64("doc_id")
     room = F.greatest(F.length("text") - EXCERPT, F.lit(0)) + 1
     known = docs.filter("lang is not null and text is not null and text rlike '\\\\p{L}'").filter(remainder() != 1)
-    known = known.select("lang", order.alias("order"), F.substring("text", (F.pmod(order, room) + 1).cast("int"), F.lit(EXCERPT)).alias("excerpt"))
-    ranked = known.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("order"))).filter(F.col("r") <= SAMPLE)
-    rows = [(r["lang"], r["excerpt"]) for r in ranked.limit(SAMPLE * MAX_LANGUAGES + 1).collect()]
-    if len({r[0] for r in rows}) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    return sorted(rows)
+    counts = known.groupBy("lang").count().collect()
+    if not counts:
+        return []
+    wanted = max(1, min(SAMPLE, TOTAL // len(counts)))
+    #: Only a low range of hashes goes on, so that no task ranks all rows of a frequent language.
+    below = F.coalesce(*[F.when(F.col("lang") == r["lang"], hash_share(order, wanted, r["count"])) for r in counts])
+    drawn = known.filter(below).select("lang", order.alias("order"), F.substring("text", (F.pmod(order, room) + 1).cast("int"), F.lit(EXCERPT)).alias("excerpt"))
+    ranked = drawn.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("order", "excerpt"))).filter(F.col("r") <= wanted)
+    return sorted((r["lang"], r["excerpt"]) for r in ranked.collect())
 
 
 def train(rows: list[tuple[str, str]], steps: int = STEPS) -> tuple[list[str], Bidirectional]:
@@ -64,7 +69,7 @@ def train(rows: list[tuple[str, str]], steps: int = STEPS) -> tuple[list[str], B
         x, mask = np.zeros((STRETCH, BATCH), np.int64), np.zeros((STRETCH, BATCH), np.float32)
         label = np.empty((STRETCH, BATCH), np.int64)
         for j in range(BATCH):
-            k = j % len(languages)
+            k = (step * BATCH + j) % len(languages)
             own = texts[languages[k]]
             text = own[rng.integers(len(own))]
             #: Short stretches too, since some texts are a word or two.
