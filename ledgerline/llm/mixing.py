@@ -8,8 +8,9 @@ every document, and the last, partial round takes documents in the order of a se
 
 The network has one node for a pattern and one for a source. Its size follows the number of
 sources, not of rows: it is refused beyond MAX_PATTERNS, where sources are no longer a
-configuration. The seeded order is found from sums over HASH_BUCKETS ranges of the hash, so
-that only documents of the one range a pattern ends in are sorted.
+configuration. The seeded order is found from sums over HASH_BUCKETS ranges of the hash, and
+over as many parts of the range that a pattern ends in, LEVELS times; only the documents of
+the last such part are sorted.
 
 Defined results: null text has size 0; null source is a source of its own, last in order; a
 document without words is never taken; rows equal in doc_id and text share one decision.
@@ -29,6 +30,7 @@ WEIGHTS = (5, 2, 1)
 REPEATS = 3
 SEED = 7
 HASH_BUCKETS = 4096
+LEVELS = 2
 MAX_PATTERNS = 100_000
 #: Documents that are still out and fit what their pattern owes.
 OPEN = "not chosen and size > 0 and unit <= owed"
@@ -133,7 +135,7 @@ def mix(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = SEED) -
 
     order = F.xxhash64("did", "th", F.lit(seed))
     dealt = rows.join(plan.withColumnRenamed("pattern", "p"), F.col("pattern").eqNullSafe(F.col("p")))
-    dealt = dealt.select(*KEY, "size", "pattern", "rounds", F.col("rest").alias("owed"), order.alias("order"), F.shiftrightunsigned(order, 64 - (HASH_BUCKETS - 1).bit_length()).alias("bucket"), F.lit(False).alias("chosen"))
+    dealt = dealt.select(*KEY, "size", "pattern", "rounds", F.col("rest").alias("owed"), order.alias("order"), F.lit(False).alias("chosen"))
     #: Equal rows share one decision, so what has to fit is all of them. Only sums of several rows are joined.
     sums = dealt.groupBy("pattern", "order").agg(F.sum("size").alias("unit"), F.count("*").alias("n")).filter("n > 1")
     sums = sums.select(F.col("pattern").alias("p"), F.col("order").alias("o"), "unit")
@@ -159,23 +161,33 @@ def _with(dealt: DataFrame, facts: DataFrame) -> DataFrame:
 
 def _fill(dealt: DataFrame) -> DataFrame:
     """Choose documents in the seeded order up to what their pattern owes; longer ones are passed over."""
-    open_ = dealt.filter(OPEN)
-    sums = open_.groupBy("pattern", "owed", "bucket").agg(F.sum("size").alias("sum"))
-    until = F.sum("sum").over(Window.partitionBy("pattern").orderBy("bucket"))
-    ranges = sums.withColumn("until", until)
-    #: One range a pattern at most: the one that what it owes ends in.
-    edge = ranges.filter((F.col("until") > F.col("owed")) & (F.col("until") - F.col("sum") <= F.col("owed")))
-    edge = edge.select("pattern", F.col("bucket").alias("edge"), (F.col("until") - F.col("sum")).alias("before"))
-    near = _with(open_, edge).filter("bucket = edge").groupBy("pattern", "owed", "before", "order").agg(F.sum("size").alias("sum"))
-    near = near.withColumn("until", F.col("before") + F.sum("sum").over(Window.partitionBy("pattern").orderBy("order"))).filter("until <= owed")
-    facts = edge.join(near.groupBy("pattern").agg(F.max("order").alias("limit")).withColumnRenamed("pattern", "p"), F.col("pattern").eqNullSafe(F.col("p")), "left").drop("p")
-    marked = _with(dealt, facts)
-    inside = F.when(F.col("edge").isNull() | (F.col("bucket") < F.col("edge")), True).when(F.col("bucket") == F.col("edge"), F.col("order") <= F.col("limit"))
-    new = F.expr(OPEN) & F.coalesce(inside, F.lit(False))
-    marked = marked.withColumn("new", new)
+    near = dealt.filter(OPEN).select("pattern", "owed", "order", "size", F.lit(0).cast("long").alias("before"))
+    marked = dealt
+    #: Each level leaves one range a pattern at most: the one that what it owes ends in.
+    for level in range(LEVELS):
+        sums = near.groupBy("pattern", "owed", "before", _bucket(level).alias("bucket")).agg(F.sum("size").alias("sum"))
+        until = F.col("before") + F.sum("sum").over(Window.partitionBy("pattern").orderBy("bucket"))
+        edge = sums.withColumn("until", until).filter((F.col("until") > F.col("owed")) & (F.col("until") - F.col("sum") <= F.col("owed")))
+        edge = edge.select("pattern", F.col("bucket").alias(f"edge{level}"), (F.col("until") - F.col("sum")).alias("from"))
+        near = _with(near, edge).filter(_bucket(level) == F.col(f"edge{level}")).select("pattern", "owed", "order", "size", F.col("from").alias("before"))
+        marked = _with(marked, edge.drop("from"))
+    rows = near.groupBy("pattern", "owed", "before", "order").agg(F.sum("size").alias("sum"))
+    rows = rows.withColumn("until", F.col("before") + F.sum("sum").over(Window.partitionBy("pattern").orderBy("order"))).filter("until <= owed")
+    marked = _with(marked, rows.groupBy("pattern").agg(F.max("order").alias("limit")))
+    inside = F.col("order") <= F.col("limit")
+    for level in reversed(range(LEVELS)):
+        edge = F.col(f"edge{level}")
+        inside = F.when(edge.isNull() | (_bucket(level) < edge), True).when(_bucket(level) == edge, inside)
+    marked = marked.withColumn("new", F.expr(OPEN) & F.coalesce(inside, F.lit(False)))
     got = marked.filter("new").groupBy("pattern").agg(F.sum("size").alias("got"))
     marked = _with(marked, got)
-    return marked.select(*KEY, "size", "pattern", "rounds", (F.col("owed") - F.coalesce("got", F.lit(0))).alias("owed"), "order", "bucket", "unit", (F.col("chosen") | F.col("new")).alias("chosen"))
+    return marked.select(*KEY, "size", "pattern", "rounds", (F.col("owed") - F.coalesce("got", F.lit(0))).alias("owed"), "order", "unit", (F.col("chosen") | F.col("new")).alias("chosen"))
+
+
+def _bucket(level: int) -> Column:
+    """The seeded order's digits at a level, each of HASH_BUCKETS values."""
+    bits = (HASH_BUCKETS - 1).bit_length()
+    return F.shiftrightunsigned("order", 64 - bits * (level + 1)).bitwiseAND(HASH_BUCKETS - 1)
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
