@@ -5,9 +5,8 @@ path, its hashed words and a few counts; a bidirectional LSTM reads the whole se
 says for each block whether it belongs to the article. The network is trained here, on
 TRAINING_PAGES pages that are composed from a fixed grammar of page furniture (menus, notices, adverts,
 sidebars, forms, comments, headers, footers) around articles, where every block's role is
-known; its words are drawn from the first EXCERPT characters of at most SAMPLE pages (by a
-hash of page_id), so that none of them
-tells the role. Nothing of a page is dropped or capped.
+known; its words are drawn from the whole of about SAMPLE pages (by a hash of page_id), POOL
+of them at most, so that none of them tells the role. Nothing of a page is dropped or capped.
 
 Defined results: null or empty html, and pages without article blocks, give an empty text;
 character references are decoded once; a reference that is no reference stays as it is.
@@ -36,7 +35,7 @@ STEPS = 260
 BATCH = 32
 TRAINING_PAGES = 900
 SAMPLE = 200
-EXCERPT = 6000
+POOL = 20_000
 
 _slots: dict[tuple[str, int], int] = {}
 
@@ -200,12 +199,19 @@ def _extractor(net: Bidirectional):
     return run
 
 
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for batch in textarrays.slices(whole, "html"):
+            found = {w for page in batch.column("html").to_pylist() for b in blocks(page) for w in b.text.split()}
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], names=["word"])
+
+
 def word_pool(pages: DataFrame) -> list[str]:
-    """Distinct words of at most SAMPLE pages, in the order of a hash of page_id."""
+    """Distinct words of about SAMPLE pages: POOL at most, in the order of their hash."""
     known = pages.filter("html is not null")
-    order = F.xxhash64("page_id")
-    rows = known.filter(hash_share(order, SAMPLE, known.count())).select(order.alias("order"), F.substring("html", 1, EXCERPT).alias("excerpt")).orderBy("order", "excerpt").limit(SAMPLE).collect()
-    return sorted({w for r in rows for b in blocks(r["excerpt"]) for w in b.text.split()})
+    drawn = known.filter(hash_share(F.xxhash64("page_id"), SAMPLE, known.count())).select("html")
+    words = drawn.mapInArrow(_words, "word string").distinct()
+    return sorted(r["word"] for r in words.orderBy(F.xxhash64("word"), "word").limit(POOL).collect())
 
 
 def extract(pages: DataFrame, net: Bidirectional) -> DataFrame:
