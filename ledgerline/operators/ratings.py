@@ -31,7 +31,7 @@ OTHER_KIND = "credit_rating_report"
 PLATFORMS = {"RXIL": ("rxil",), "M1xchange": ("m1xchange",), "Invoicemart": ("invoicemart",), "KredX": ("kredx",), "TReDS": ("treds",), "Invoice Discounting": ("invoice discounting",)}
 LIQUIDITY = {
     "Strong": ("\\bliquidity[: ]+strong\\b",),
-    "Adequate": ("\\bliquidity[: ]+adequate\\b", "\\bliquidity position is adequate\\b"),
+    "Adequate": ("\\bliquidity[: ]+adequate\\b", "\\bliquidity adequate\\b", "\\bliquidity position is adequate\\b"),
     "Comfortable": ("\\bliquidity[: ]+comfortable\\b", "\\bliquidity remains comfortable\\b"),
     "Stretched": ("\\bliquidity[: ]+stretched\\b", "\\bliquidity remains stretched\\b"),
     "Weak": ("\\bliquidity[: ]+weak\\b",),
@@ -136,9 +136,10 @@ def confidence_label(score: Column) -> Column:
 def blended_distribution(classifier: Column, rank: Column, n: int = len(LONG_TERM)) -> Column:
     """Shares of ranks 1..n: a classifier's (array, sums to one) and a bell around the predicted rank."""
     bell = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda r: F.exp(-((rank - r) * (rank - r)) / (2 * RANK_SPREAD**2)))
-    total = F.aggregate(bell, F.lit(0.0), lambda a, x: a + x)
-    blended = F.zip_with(classifier, bell, lambda c, b: CLASSIFIER_SHARE * c + (1 - CLASSIFIER_SHARE) * b / total)
-    return F.when(rank.isNull(), classifier).otherwise(blended)
+    #: Bound by a lambda, bell and total are computed once a row and not once an element.
+    summed = F.transform(F.array(bell), lambda b: F.struct(b.alias("bell"), F.aggregate(b, F.lit(0.0), lambda a, x: a + x).alias("total")))
+    blended = F.transform(summed, lambda s: F.zip_with(classifier, s["bell"], lambda c, b: CLASSIFIER_SHARE * c + (1 - CLASSIFIER_SHARE) * b / s["total"]))
+    return F.when(rank.isNull(), classifier).otherwise(blended[0])
 
 
 def company_validation(results: DataFrame, by: list[str]) -> DataFrame:

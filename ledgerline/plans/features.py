@@ -40,7 +40,7 @@ def q_rating_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The minimum slice: window features, peer position and prior ranks of every eligible event."""
     by = ["event_id", "company_id", "agency", "rating_date", "rating_rank"]
     feats = windows.history_features(aligned(spark, sf_dir), by, ["revenue_crore", "debt_to_equity"], "period_date")
-    peers = windows.peer_position(panel.financials(spark, sf_dir).join(F.broadcast(panel.companies(spark, sf_dir).select("company_id", "sub_industry")), "company_id"), ["sub_industry", "period_date"], "revenue_crore", "peer_revenue")
+    peers = windows.peer_position(panel.financials(spark, sf_dir).join(panel.companies(spark, sf_dir).select("company_id", "sub_industry"), "company_id"), ["sub_industry", "period_date"], "revenue_crore", "peer_revenue")
     feats = feats.join(peers.select("company_id", F.col("period_date").alias("matched_period"), "peer_revenue_gap", "peer_revenue_pctile"), ["company_id", "matched_period"], "left")
     feats = joins.prior_value(feats, ["company_id"], "rating_date", "event_id", "rating_rank", "prior_rank")
     feats = joins.prior_value(feats, ["company_id", "agency"], "rating_date", "event_id", "rating_rank", "prior_agency_rank")
@@ -149,7 +149,7 @@ FROM known WHERE known OR NOT any_known GROUP BY 1""",
 
 def _episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     episodes = windows.forward_episodes(panel.financials(spark, sf_dir), "company_id", "period_date", "revenue_crore")
-    return episodes.join(F.broadcast(panel.companies(spark, sf_dir).select("company_id", "sub_industry")), "company_id")
+    return episodes.join(panel.companies(spark, sf_dir).select("company_id", "sub_industry"), "company_id")
 
 
 def q_forward_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,7 +171,7 @@ FORWARD_EPISODES_SQL = sql("SELECT company_id, sub_industry, start_date, end_dat
 def q_scale_peers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trajectory of the 25 peers nearest in scale (JOIN-10, TOP-3): medians over their episodes."""
     targets = panel.financials(spark, sf_dir).groupBy("company_id").agg(F.max_by("revenue_crore", F.when(F.col("revenue_crore").isNotNull(), F.col("period_date"))).alias("start_value"))
-    targets = targets.join(F.broadcast(panel.companies(spark, sf_dir).select("company_id", "sub_industry")), "company_id").withColumn("target", F.col("company_id"))
+    targets = targets.join(panel.companies(spark, sf_dir).select("company_id", "sub_industry"), "company_id").withColumn("target", F.col("company_id"))
     near = joins.nearest_by_ratio(targets, _episodes(spark, sf_dir), "sub_industry", "company_id", "start_value", ["start_date", "forward_cagr_pct"], PEERS)
     out = near.groupBy("target").agg(F.count("*").alias("n_peers"), F.max("in_band").alias("in_band"), F.percentile("forward_cagr_pct", F.lit(0.5)).alias("median_cagr"), F.max("distance").alias("farthest"))
     return r6(out, "median_cagr", "farthest")

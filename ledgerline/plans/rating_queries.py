@@ -153,7 +153,9 @@ def q_score_blends(spark: SparkSession, sf_dir: str) -> DataFrame:
     sure = F.transform(F.sequence(F.lit(1), F.lit(len(LONG_TERM))), lambda r: F.when(r == F.col("actual"), F.col("top_probability")).otherwise((1 - F.col("top_probability")) / (len(LONG_TERM) - 1)))
     shares = ratings.blended_distribution(sure, F.col("predicted").cast("double"))
     score = ratings.blended_confidence(F.col("top_probability"), F.col("confidence"), (F.col("event_id") % 3) / 2.0, (F.col("event_id") % 5) / 4.0, (F.col("event_id") % 2).cast("double"))
-    out = p.select("event_id", F.array_position(F.transform(shares, lambda s: F.round(s, 4)), F.round(F.array_max(shares), 4)).cast("int").alias("likeliest"), F.array_max(shares).alias("share"), score.alias("score"))
+    p = p.select("event_id", score.alias("score"), shares.alias("shares"))
+    p = p.select("event_id", "score", "shares", F.array_max("shares").alias("share"))
+    out = p.select("event_id", F.array_position(F.transform("shares", lambda s: F.round(s, 4)), F.round("share", 4)).cast("int").alias("likeliest"), "share", "score")
     return r6(out, "share", "score").withColumn("sureness", ratings.confidence_label(F.col("score")))
 
 

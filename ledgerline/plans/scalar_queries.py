@@ -111,7 +111,7 @@ SELECT doc_id, sha256(raw) AS doc_hash, length(t)::BIGINT AS n_clean, len(string
 
 def q_screening_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FLT-2, FLT-3, FLT-4, FLT-8 on the latest statements."""
-    f = panel.financials(spark, sf_dir).join(F.broadcast(panel.companies(spark, sf_dir)), "company_id")
+    f = panel.financials(spark, sf_dir).join(panel.companies(spark, sf_dir), "company_id")
     profit = F.col("revenue_crore") - F.col("interest_crore")
     gate = F.when(F.coalesce("revenue_crore", F.lit(0.0)) < 450, "below_threshold").otherwise("full_path")
     label = filters.label_choice("sub_industry", "industry_group", generic=("nation_0", "nation_1", "nation_2"))
