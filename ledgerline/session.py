@@ -28,10 +28,14 @@ def ship(spark: SparkSession) -> None:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's setting, else one set here."""
+    """The folder that driver and executors share: the session's setting, else one set here.
+
+    A local session gets a temporary folder; on a cluster it is one in the warehouse, which all share.
+    """
     folder = spark.conf.get(_CHECKPOINT, None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
+        local = spark.sparkContext.master.split("[")[0] == "local"
+        folder = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-") if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch-{spark.sparkContext.applicationId}"
         spark.conf.set(_CHECKPOINT, folder)
     return folder.rstrip("/")
 
