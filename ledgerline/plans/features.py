@@ -49,7 +49,7 @@ def q_rating_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(feats, *doubles)
 
 
-_WINDOW = """
+WINDOW = """
 eligible AS (
   SELECT * FROM rating_events WHERE scale_type = 'long_term' AND rating_rank IS NOT NULL AND NOT withdrawn AND NOT not_cooperating AND rating_date IS NOT NULL
 ), near AS (
@@ -58,7 +58,7 @@ eligible AS (
 ), history AS (SELECT * FROM near WHERE recency <= 4)"""
 
 
-def _metric_sql(m: str) -> str:
+def metric_sql(m: str) -> str:
     series = f"list({m} ORDER BY recency DESC) FILTER (WHERE {m} IS NOT NULL)"
     three = f"CASE WHEN recency <= 3 THEN {m} END"
     return f"""max(CASE WHEN recency = 1 THEN {m} END) AS {m}, avg({three}) AS {m}_avg3y,
@@ -74,14 +74,14 @@ SELECT g.event_id, g.company_id, g.agency, g.rating_date, g.rating_rank, depth,
   round(date_diff('day', prior_date, g.rating_date) / 30.4375, 6) AS months_since_prior
 FROM grouped g LEFT JOIN peers p ON g.company_id = p.company_id AND g.matched_period = p.period_date
 JOIN priors q ON g.event_id = q.event_id""",
-    _WINDOW,
+    WINDOW,
     """indexed AS (
   SELECT *, """
     + ", ".join(f"CASE WHEN recency <= 3 AND {m} IS NOT NULL THEN count(CASE WHEN recency <= 3 THEN {m} END) OVER (PARTITION BY event_id ORDER BY recency DESC ROWS UNBOUNDED PRECEDING) END AS i_{m}" for m in ("revenue_crore", "debt_to_equity"))
     + """ FROM history)""",
     f"""grouped AS (
   SELECT event_id, company_id, agency, rating_date, rating_rank, count(*) AS depth, date_diff('day', min(period_date), max(period_date))::INT AS span_days, max(period_date) AS matched_period,
-  {_metric_sql("revenue_crore")}, {_metric_sql("debt_to_equity")}
+  {metric_sql("revenue_crore")}, {metric_sql("debt_to_equity")}
   FROM indexed GROUP BY 1, 2, 3, 4, 5)""",
     """peers AS (
   SELECT company_id, period_date, revenue_crore - median(revenue_crore) OVER (PARTITION BY sub_industry, period_date) AS peer_revenue_gap,
@@ -109,7 +109,7 @@ SELECT agency, CASE WHEN scale_type <> 'long_term' THEN 'non_long_term_rating' W
   WHEN not_cooperating THEN 'issuer_not_cooperating' WHEN rating_date IS NULL THEN 'missing_rating_date'
   WHEN event_id NOT IN (SELECT event_id FROM history) THEN 'missing_90d_financial_alignment' ELSE 'eligible' END AS status, count(*) AS n_events
 FROM rating_events GROUP BY 1, 2""",
-    _WINDOW,
+    WINDOW,
 )
 
 
@@ -126,7 +126,7 @@ LATEST_POPULATION_SQL = sql(
 SELECT l.company_id, round(l.revenue_crore, 6) AS revenue_crore, l.period_date, arg_max(e.agency, (e.rating_date, e.event_id)) AS prior_agency, arg_max(e.rating_rank, (e.rating_date, e.event_id)) AS prior_rank
 FROM (SELECT * FROM financials QUALIFY row_number() OVER (PARTITION BY company_id ORDER BY period_date DESC) = 1) l
 LEFT JOIN eligible e ON l.company_id = e.company_id AND e.rating_date < l.period_date GROUP BY 1, 2, 3""",
-    _WINDOW.split("), near")[0] + ")",
+    WINDOW.split("), near")[0] + ")",
 )
 
 
@@ -156,7 +156,7 @@ def q_forward_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(_episodes(spark, sf_dir), "start_value", "end_value", "years", "forward_cagr_pct")
 
 
-_EPISODES = """ended AS (
+EPISODES = """ended AS (
   SELECT company_id, period_date AS start_date, revenue_crore AS start_value, row_number() OVER w AS n, count(*) OVER (PARTITION BY company_id) AS total,
     CASE WHEN lead(period_date, 3) OVER w IS NULL THEN last_value(period_date) OVER f ELSE lead(period_date, 3) OVER w END AS end_date,
     CASE WHEN lead(period_date, 3) OVER w IS NULL THEN last_value(revenue_crore) OVER f ELSE lead(revenue_crore, 3) OVER w END AS end_value
@@ -165,7 +165,7 @@ _EPISODES = """ended AS (
   SELECT company_id, sub_industry, start_date, end_date, start_value, end_value, years,
     CASE WHEN start_value > 0 AND end_value > 0 THEN (pow(end_value / start_value, 1.0 / years) - 1) * 100 END AS forward_cagr_pct
   FROM spans JOIN companies USING (company_id) WHERE n <= total - 2 AND years >= 1.75)"""
-FORWARD_EPISODES_SQL = sql("SELECT company_id, sub_industry, start_date, end_date, round(start_value, 6) AS start_value, round(end_value, 6) AS end_value, round(years, 6) AS years, round(forward_cagr_pct, 6) AS forward_cagr_pct FROM episodes", _EPISODES)
+FORWARD_EPISODES_SQL = sql("SELECT company_id, sub_industry, start_date, end_date, round(start_value, 6) AS start_value, round(end_value, 6) AS end_value, round(years, 6) AS years, round(forward_cagr_pct, 6) AS forward_cagr_pct FROM episodes", EPISODES)
 
 
 def q_scale_peers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,15 +177,12 @@ def q_scale_peers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(out, "median_cagr", "farthest")
 
 
-SCALE_PEERS_SQL = sql(
-    """
-SELECT target, count(*) AS n_peers, max(in_band) AS in_band, round(median(forward_cagr_pct), 6) AS median_cagr, round(max(distance), 6) AS farthest FROM (
-  SELECT *, row_number() OVER (PARTITION BY target ORDER BY distance, company_id, start_date) AS k FROM pairs WHERE in_band OR NOT any_band) WHERE k <= 25 GROUP BY 1""",
-    _EPISODES,
-    """targets AS (SELECT company_id AS target, sub_industry, arg_max(revenue_crore, period_date) FILTER (WHERE revenue_crore IS NOT NULL) AS v FROM financials JOIN companies USING (company_id) GROUP BY 1, 2),
+SCALE_BODY = """SELECT target, count(*) AS n_peers, max(in_band) AS in_band, round(median(forward_cagr_pct), 6) AS median_cagr, round(max(distance), 6) AS farthest FROM (
+  SELECT *, row_number() OVER (PARTITION BY target ORDER BY distance, company_id, start_date) AS k FROM pairs WHERE in_band OR NOT any_band) WHERE k <= 25 GROUP BY 1"""
+SCALE_PAIRS = """targets AS (SELECT company_id AS target, sub_industry, arg_max(revenue_crore, period_date) FILTER (WHERE revenue_crore IS NOT NULL) AS v FROM financials JOIN companies USING (company_id) GROUP BY 1, 2),
 pairs AS (SELECT t.target, e.company_id, e.start_date, e.forward_cagr_pct, abs(ln(e.start_value / t.v)) AS distance, e.start_value BETWEEN t.v / 2.0 AND t.v * 2.0 AS in_band,
   bool_or(e.start_value BETWEEN t.v / 2.0 AND t.v * 2.0) OVER (PARTITION BY t.target) AS any_band
-  FROM targets t JOIN episodes e ON t.sub_industry = e.sub_industry AND t.target <> e.company_id WHERE t.v > 0 AND e.start_value > 0)""",
-)
+  FROM targets t JOIN episodes e ON t.sub_industry = e.sub_industry AND t.target <> e.company_id WHERE t.v > 0 AND e.start_value > 0)"""
+SCALE_PEERS_SQL = sql(SCALE_BODY, EPISODES, SCALE_PAIRS)
 
 QUERIES = {"rating_features": (q_rating_features, RATING_FEATURES_SQL), "financial_panel": (q_financial_panel, FINANCIAL_PANEL_SQL), "training_summary": (q_training_summary, TRAINING_SUMMARY_SQL), "latest_population": (q_latest_population, LATEST_POPULATION_SQL), "context_asof": (q_context_asof, CONTEXT_ASOF_SQL), "forward_episodes": (q_forward_episodes, FORWARD_EPISODES_SQL), "scale_peers": (q_scale_peers, SCALE_PEERS_SQL)}
