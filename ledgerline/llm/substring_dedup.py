@@ -56,7 +56,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(did, th, n_words, n_removed, kept) for each row of docs (doc_id, text)."""
-    found = repeats.repeated(keyed(docs), repeats.word_symbols, gram, window, keep_first=True)
+    found = repeats.repeated(keyed(docs), repeats.word_symbols, repeats.word_contents, gram, window, keep_first=True)
     return found.mapInArrow(_cut, _RESULT)
 
 

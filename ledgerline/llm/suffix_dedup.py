@@ -14,8 +14,11 @@ the question needs. Every text is read as UTF-8 bytes and matches never cross te
    there too is opened: the strings that start at unsampled places are sorted by their own
    names and neighbours compared.
 
-Names are 64-bit hashes of content, not ranks: equal prefixes are neighbours just the same, and
-no counting pass over the sorted table is needed. The order is that of names, not of bytes.
+This is the algorithm with one part replaced: names are hashes of content, not ranks, so equal
+prefixes are neighbours, but the order is that of names, not of bytes, and no rank is recursed
+on. A match is decided by two hashes of different kinds (128 bits, polynomials modulo 2^64 and
+modulo a prime, and xxh3 for single strings), never by one. A name that many texts share in
+many surroundings is dealt by name and surroundings; one run a task stands in for it by name.
 
 Defined results: null text is empty; texts under `length` bytes lose nothing; rows equal in
 doc_id and text are occurrences of each other, so both lose every string. The kept bytes are
@@ -111,10 +114,14 @@ def _neighbours(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Ite
 def _compare_samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Samples sorted by name and surroundings: which are repeated as a whole, which have to be opened."""
     for rows, (name_before, name_after), (all_before, all_after) in (_split(x) for x in _neighbours(batches, ("seed", "around"))):
-        settled, twin = (rows.column(c).to_numpy() for c in ("settled", "twin"))
+        flags, place = rows.column("flags").to_numpy(), rows.column("place").to_numpy()
+        settled, twin, mixed = ((flags & bit) != 0 for bit in (repeats.SETTLED, repeats.TWIN, repeats.MIXED))
         gone = settled | twin | all_before | all_after
-        opened = ~settled & ((name_before & ~all_before) | (name_after & ~all_after))
-        out = rows.select(["did", "th", "first", "last"]).append_column("gone", pa.array(gone)).append_column("opened", pa.array(opened))
+        #: Of equal neighbours a mixed one comes first, and one that is opened speaks for all.
+        opened = ~settled & (((mixed | name_before) & ~all_before) | (name_after & ~all_after))
+        out = rows.select(["did", "th"])
+        for name, values in (("first", (place >> 32).astype(np.int32)), ("last", (place & 0xFFFFFFFF).astype(np.int32)), ("gone", gone), ("opened", opened)):
+            out = out.append_column(name, pa.array(values))
         yield from out.filter(pa.array(gone | opened)).combine_chunks().to_batches()
 
 
@@ -124,9 +131,10 @@ def _split(found: tuple[pa.Table, list[np.ndarray], list[np.ndarray]]):
 
 
 def _compare_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows, (before,), (after,) in _neighbours(batches, ("key",)):
+    for rows, (_, before), (_, after) in _neighbours(batches, ("key", "check")):
         out = rows.select(["did", "th", "first"]).append_column("last", rows.column("first"))
-        yield from out.filter(pa.array(before | after)).combine_chunks().to_batches()
+        gone = before | after | (rows.column("flags").to_numpy() != 0)
+        yield from out.filter(pa.array(gone)).combine_chunks().to_batches()
 
 
 def _decide(texts: DataFrame, period: int, length: int, label: str) -> DataFrame:
@@ -134,7 +142,10 @@ def _decide(texts: DataFrame, period: int, length: int, label: str) -> DataFrame
     cover = difference_cover(period)
     sampler = partial(textarrays.cover_samples, cover=cover, window=length)
     samples = texts.mapInArrow(repeats.find_runs(repeats.byte_symbols, sampler, False), repeats.RUNS)
-    samples = samples.repartition("seed").sortWithinPartitions("seed", "around")
+    place = F.shiftleft(F.col("first").cast("long"), 32).bitwiseOR(F.col("last").cast("long"))
+    samples = samples.select("seed", "around", *KEY, place.alias("place"), "flags")
+    deal = F.when(repeats.flag(repeats.APART), F.xxhash64("seed", "around")).otherwise(F.col("seed"))
+    samples = samples.repartition(deal).sortWithinPartitions("seed", "around", F.desc(F.col("flags").bitwiseAND(repeats.MIXED)))
     return materialise(samples.mapInArrow(_compare_samples, _DECIDED), label)
 
 
@@ -150,8 +161,8 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, period: int = PERIOD, fi
     coarse = _decide(docs, period, length, "samples")
     fine = _decide(_with_opened(text, coarse), fine_period or min(FINE_PERIOD, period), length, "finer-samples")
 
-    single = _with_opened(text, fine).mapInArrow(repeats.open_windows(repeats.byte_symbols, length), "key long, did long, th long, first int")
-    single = single.repartition("key").sortWithinPartitions("key").mapInArrow(_compare_windows, _PLACES)
+    single = _with_opened(text, fine).mapInArrow(repeats.open_windows(repeats.byte_symbols, repeats.byte_contents, length, False), repeats.WINDOWS)
+    single = single.repartition("key").sortWithinPartitions("key", "check").mapInArrow(_compare_windows, _PLACES)
     gone = coarse.filter("gone").unionByName(fine.filter("gone")).select(*KEY, "first", "last")
     spans = gone.unionByName(single).groupBy(*KEY).agg(F.collect_list(F.struct("first", (F.col("last") + length).alias("end"))).alias("spans"))
     return text.join(spans, KEY, "left").select(*KEY, "text", "spans").mapInArrow(_cut, _RESULT)

@@ -137,6 +137,35 @@ def spans_hashes(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return (sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64)
 
 
+_PRIME = np.uint64((1 << 31) - 1)
+_PRIME_BASE = 1_203_559_121
+_prime_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _prime_powers_to(n: int) -> list[np.ndarray]:
+    if len(_prime_powers[0]) < n:
+        for i, base in enumerate((_PRIME_BASE, pow(_PRIME_BASE, -1, int(_PRIME)))):
+            grown, done = np.ones(n, np.uint64), 1
+            while done < n:
+                m = min(done, n - done)
+                grown[done : done + m] = grown[:m] * np.uint64(pow(base, done, int(_PRIME))) % _PRIME
+                done += m
+            _prime_powers[i] = grown
+    return _prime_powers
+
+
+def prime_hashes(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of the symbols of each span by a polynomial modulo a prime: of another kind than spans_hashes."""
+    powers, inverse = _prime_powers_to(len(h) + 1)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((h >> np.uint64(34)) * powers[: len(h)] % _PRIME)))
+    return (sums[ends] - sums[starts]) % _PRIME * inverse[starts] % _PRIME
+
+
+def span_names(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Both hashes of each span in one value."""
+    return mix(spans_hashes(h, starts, ends) ^ mix(prime_hashes(h, starts, ends)))
+
+
 def inside(bounds: np.ndarray, n: int) -> np.ndarray:
     """Which of the windows of n symbols lie in one text. bounds: each text's first symbol, and the end."""
     total = int(bounds[-1])
@@ -168,7 +197,7 @@ def anchors(h: np.ndarray, bounds: np.ndarray, gram: int, window: int) -> dict[s
     head = np.flatnonzero(new)
     first, last = starts[head], starts[np.append(head[1:], len(starts)) - 1]
     at = at[head]
-    around = spans_hashes(h, first, last + window)
+    around = span_names(h, first, last + window)
     around = mix(around + mix((at - first).astype(np.uint64) * np.uint64(1 << 20) + (last - first).astype(np.uint64)))
     text = np.searchsorted(bounds, first, side="right") - 1
     return {"text": text, "first": first - bounds[text], "last": last - bounds[text], "seed": grams[at].view(np.int64), "around": around.view(np.int64)}
@@ -203,7 +232,7 @@ def cover_samples(h: np.ndarray, bounds: np.ndarray, cover: np.ndarray, window:
     seed = np.zeros(len(at), np.uint64)
     for block in blocks:
         seed = mix(seed * np.uint64(_ROLL) + mix(block))
-    around = spans_hashes(h, bounds[text] + first, bounds[text] + last + window)
+    around = span_names(h, bounds[text] + first, bounds[text] + last + window)
     around = mix(around + mix((place - first).astype(np.uint64) * np.uint64(1 << 20) + (last - first).astype(np.uint64)))
     return {"text": text, "first": first, "last": last, "seed": seed.view(np.int64), "around": around.view(np.int64)}
 

@@ -1,7 +1,6 @@
 """Operators of the llm subpackage against brute force, on small tables full of edge cases."""
 
 import hashlib
-import json
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -425,5 +424,50 @@ def test_embedding_blocks_count_each_link_once(spark):
     assert [got.get(i, 0) for i in range(600)] == link.sum(axis=1).tolist()
 
 
-def test_sha_of_kept_words():
-    assert hashlib.sha256(b"").hexdigest() and json
+def test_names_met_in_many_slices(spark):
+    """Batches of three texts are slices of their own, so that tasks meet frequent passages again and again."""
+    rng = random.Random(9)
+    own = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    common, copy = own(150), own(300)
+    texts = [(i, own(rng.randint(0, 60)) + (common if i % 3 else copy) + own(rng.randint(0, 60)) + (common[20:130] if i % 4 else "")) for i in range(90)] + [(200 + i, copy) for i in range(20)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = {r["did"]: r for r in suffix_dedup.suffix_dedup(documents(spark, texts), 80, 40, 10).collect()}
+        words = [(i, " ".join(t[k : k + 3] for k in range(0, len(t), 3))) for i, t in texts]
+        cut = {r["did"]: r["kept"] for r in substring_dedup.substring_dedup(documents(spark, words)).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    counts = Counter(t[k : k + 80] for _, t in texts for k in range(len(t) - 79))
+    for i, text in texts:
+        gone = np.zeros(len(text), bool)
+        for k in range(len(text) - 79):
+            gone[k : k + 80] |= counts[text[k : k + 80]] > 1
+        assert bytes(got[i]["kept"]).decode() == "".join(c for c, g in zip(text, gone) if not g), i
+    seen = set()
+    for i, text in words:
+        tokens_ = text.split(" ")
+        gone = [False] * len(tokens_)
+        for k in range(len(tokens_) - 19):
+            window = tuple(tokens_[k : k + 20])
+            if window in seen:
+                gone[k : k + 20] = [True] * 20
+            seen.add(window)
+        assert cut[i] == " ".join(w for w, g in zip(tokens_, gone) if not g), i
+
+
+def test_registered_suffix_and_substring_queries(spark):
+    from ledgerline.llm.queries import QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    rows = sorted((r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{folder}/documents.parquet").collect())
+    got = {r["doc_id"]: r for r in QUERIES["op10_suffix_dedup"](spark, folder).collect()}
+    counts = Counter(t.encode()[k : k + 400] for _, t in rows for k in range(len(t.encode()) - 399))
+    for i, text in rows:
+        data = np.frombuffer(text.encode(), np.uint8)
+        gone = np.zeros(len(data), bool)
+        for k in range(len(data) - 399):
+            if counts[data[k : k + 400].tobytes()] > 1:
+                gone[k : k + 400] = True
+        spans = int((np.diff(np.concatenate(([0], gone.astype(int)))) == 1).sum())
+        assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) == (len(data), int(gone.sum()), spans, hashlib.sha256(data[~gone].tobytes()).hexdigest())
