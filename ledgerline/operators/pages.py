@@ -29,7 +29,9 @@ class _Cells(HTMLParser):
         if self.open:
             text = " ".join("".join(self.text).split())
             at = (-1, 0, _TITLES.index(self.open)) if self.open in _TITLES else (self.grid, self.line, self.place)
-            self.found.append((*at, self.open == "th", text))
+            #: A cell outside any table is none.
+            if self.open in _TITLES or self.grid >= 0:
+                self.found.append((*at, self.open == "th", text))
         self.open, self.text = None, []
 
     def handle_starttag(self, tag, attrs):
