@@ -1,7 +1,8 @@
-"""Rating models per agency: preprocessing, balanced forests, blended scores and importances, by Spark ML."""
+"""Rating models per agency by Spark ML: preprocessing, balanced forests, saved models with an index, scores, importances, grouped validation."""
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -9,12 +10,18 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import Imputer, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerline.operators import ratings
 
 TREES, SEED, TOP = 600, 42, 12
+#: MB that a level's statistics may take at once; more of them means fewer passes over the rows.
+LEVEL_MEMORY = 1024
+#: Agencies whose models are fitted side by side, from driver threads.
+THREADS = 4
+#: Folds of the grouped validation where leaving out one company at a time would mean more models than this.
+FOLDS = 3
 #: Trees are grown until their leaves are pure or too small; this is the most that Spark ML allows.
 DEPTH = 30
 
@@ -40,8 +47,8 @@ def fit(rows: DataFrame, numeric: list[str], categorical: list[str], label: str,
         steps.append(StringIndexer(inputCols=categorical, outputCols=[f"{c}_index" for c in categorical], handleInvalid="keep"))
         steps.append(OneHotEncoder(inputCols=[f"{c}_index" for c in categorical], outputCols=[f"{c}_hot" for c in categorical], handleInvalid="keep"))
     steps.append(VectorAssembler(inputCols=[f"{c}_filled" for c in numeric] + [f"{c}_hot" for c in categorical], outputCol="features"))
-    steps.append(RandomForestClassifier(labelCol=label, weightCol="weight", numTrees=trees, maxDepth=DEPTH, seed=SEED))
-    steps.append(RandomForestRegressor(labelCol=label, predictionCol="rank_prediction", numTrees=trees, maxDepth=DEPTH, seed=SEED, minInstancesPerNode=2))
+    steps.append(RandomForestClassifier(labelCol=label, weightCol="weight", numTrees=trees, maxDepth=DEPTH, seed=SEED, maxMemoryInMB=LEVEL_MEMORY))
+    steps.append(RandomForestRegressor(labelCol=label, predictionCol="rank_prediction", numTrees=trees, maxDepth=DEPTH, seed=SEED, minInstancesPerNode=2, maxMemoryInMB=LEVEL_MEMORY))
     return Pipeline(stages=steps).fit(balanced(rows, label))
 
 
@@ -70,16 +77,68 @@ def importances(model: PipelineModel, rows: DataFrame, top: int = TOP) -> DataFr
     return rows.sparkSession.createDataFrame(found, "base_feature string, importance double").orderBy(F.col("importance").desc(), "base_feature").limit(top)
 
 
-def per_agency(rows: DataFrame, by: str, numeric: list[str], categorical: list[str], label: str, key: str, trees: int = TREES) -> tuple[DataFrame, DataFrame]:
+def load_index(spark: SparkSession, path: str) -> DataFrame:
+    """(agency, path, n_rows, n_classes) of the models saved under a folder."""
+    return spark.read.parquet(f"{path}/index")
+
+
+def load(row: Row) -> PipelineModel:
+    return PipelineModel.load(row["path"])
+
+
+def grouped_validation(rows: DataFrame, by: str, group: str, numeric: list[str], categorical: list[str], label: str, trees: int, folds: int = FOLDS) -> DataFrame:
+    """Every row predicted by a model of its agency that saw no row of its company: `fold`, `mode` and the scores.
+
+    With `folds` companies or fewer each is left out alone; with more they are dealt into that many
+    folds by a hash. An agency of one company is scored in sample, and says so.
+    """
+    sizes = rows.groupBy(by).agg(F.countDistinct(group).alias("n_groups"))
+    place = F.dense_rank().over(Window.partitionBy(by).orderBy(F.xxhash64(group), group)) - 1
+    dealt = rows.join(sizes, by).withColumn("fold", (place % folds).cast("int"))
+    mode = F.when(F.col("n_groups") < 2, "in_sample_fallback_single_company").when(F.col("n_groups") <= folds, "leave_one_company_out").otherwise("grouped_folds")
+    dealt = dealt.withColumn("mode", mode).drop("n_groups")
+    parts = [(r[by], r["fold"], r["mode"]) for r in dealt.select(by, "fold", "mode").distinct().orderBy(by, "fold").collect()]
+
+    def one(part) -> DataFrame:
+        agency, fold, how = part
+        own = dealt.filter(F.col(by) == agency)
+        seen = own if how.startswith("in_sample") else own.filter(F.col("fold") != fold)
+        if seen.select(label).distinct().count() < 2:
+            #: One label only: it is the prediction.
+            known = seen.agg(F.first(label).alias("_l")).first()["_l"]
+            return own.filter(F.col("fold") == fold).select(*own.columns, F.lit(known).cast("int").alias("predicted_rank"), F.lit(1.0).alias("share"))
+        return score(fit(seen.drop("fold", "mode"), numeric, categorical, label, trees), own.filter(F.col("fold") == fold))
+
+    with ThreadPoolExecutor(THREADS) as pool:
+        return reduce(DataFrame.unionByName, list(pool.map(one, parts)))
+
+
+def diagnostics(validated: DataFrame, by: str, group: str, label: str) -> tuple[DataFrame, DataFrame]:
+    """Exact and near hits, mean error and mean share: per agency with its mode, and per agency and company."""
+    error = F.abs(F.col("predicted_rank") - F.col(label))
+    measures = [F.count("*").alias("rows_evaluated"), F.avg((error == 0).cast("int")).alias("exact_match_accuracy"), F.avg((error <= 1).cast("int")).alias("within_one_notch_accuracy"), F.avg(error).alias("mean_abs_notch_error"), F.avg("share").alias("mean_confidence")]
+    return validated.groupBy(by, "mode").agg(F.countDistinct(group).alias("companies_evaluated"), *measures), validated.groupBy(by, group).agg(*measures)
+
+
+def per_agency(rows: DataFrame, by: str, numeric: list[str], categorical: list[str], label: str, key: str, trees: int = TREES, path: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Scores of all rows, those held out from their agency's model marked, and importances by agency.
 
-    Agencies are a short fixed list, so the driver loops over them; each fit is a distributed job.
+    Agencies are a short fixed list, so the driver starts one fit each; every fit is a distributed
+    job. With a path the models are saved there, beside an index of them.
     """
     marked = ratings.hold_out(rows, by, label, key)
-    scores, weights = [], []
-    for (agency,) in marked.select(by).distinct().orderBy(by).collect():
-        own = marked.filter(F.col(by) == agency)
+    counts = marked.filter(~F.col("held_out")).groupBy(by).agg(F.count("*").alias("n_rows"), F.countDistinct(label).alias("n_classes")).orderBy(by).collect()
+
+    def one(row: Row) -> tuple[DataFrame, DataFrame]:
+        own = marked.filter(F.col(by) == row[by])
         model = fit(own.filter(~F.col("held_out")), numeric, categorical, label, trees)
-        scores.append(score(model, own))
-        weights.append(importances(model, rows).withColumn(by, F.lit(agency)))
+        if path:
+            model.write().overwrite().save(f"{path}/{row[by]}")
+        return score(model, own), importances(model, rows).withColumn(by, F.lit(row[by]))
+
+    with ThreadPoolExecutor(THREADS) as pool:
+        scores, weights = zip(*pool.map(one, counts), strict=True)
+    if path:
+        index = [(r[by], f"{path}/{r[by]}", r["n_rows"], r["n_classes"]) for r in counts]
+        rows.sparkSession.createDataFrame(index, f"`{by}` string, path string, n_rows long, n_classes long").write.mode("overwrite").parquet(f"{path}/index")
     return reduce(DataFrame.unionByName, scores), reduce(DataFrame.unionByName, weights)

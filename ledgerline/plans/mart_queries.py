@@ -23,7 +23,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", "company_id", "agency", F.col("rating_rank").alias("actual"), F.when(k % 31 != 0, F.greatest(F.lit(1), F.least(F.lit(19), F.col("rating_rank") + shift))).alias("predicted"), ((k % 100) / 100.0).alias("confidence"), ((k % 37) / 37.0).alias("top_probability"))
 
 
-_PRED = """predictions AS (SELECT event_id, company_id, agency, rating_rank AS actual,
+PRED = """predictions AS (SELECT event_id, company_id, agency, rating_rank AS actual,
   CASE WHEN event_id % 31 <> 0 THEN greatest(1, least(19, rating_rank + [0, 0, 1, -1, 2, 0, -3, 1][event_id % 8 + 1])) END::INT AS predicted, (event_id % 100) / 100.0::DOUBLE AS confidence, (event_id % 37) / 37.0::DOUBLE AS top_probability
   FROM rating_events WHERE rating_rank IS NOT NULL)"""
 
@@ -39,7 +39,7 @@ AGENCY_METRICS_SQL = sql(
 SELECT agency, round(exact, 6) AS exact, round(within_one, 6) AS within_one, round(mean_error, 6) AS mean_error, round(mean_confidence, 6) AS mean_confidence, n_rows, n_companies,
   round(greatest(0, least(1, 0.4 * within_one + 0.2 * exact + 0.3 * n_rows / max(n_rows) OVER () + 0.1)), 6) AS strength
 FROM (SELECT agency, avg((predicted = actual)::INT) AS exact, avg((abs(predicted - actual) <= 1)::INT) AS within_one, avg(abs(predicted - actual)) AS mean_error, avg(confidence) AS mean_confidence, count(*) AS n_rows, count(DISTINCT company_id) AS n_companies FROM predictions GROUP BY 1)""",
-    _PRED,
+    PRED,
 )
 
 
@@ -51,7 +51,7 @@ def q_confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnsRenamed({str(r): f"p{r}" for r in ranks})
 
 
-CONFUSION_MATRIX_SQL = sql("SELECT actual, " + ", ".join(f"count(*) FILTER (WHERE predicted = {r}) AS p{r}" for r in range(1, 20)) + " FROM predictions WHERE predicted IS NOT NULL GROUP BY 1", _PRED)
+CONFUSION_MATRIX_SQL = sql("SELECT actual, " + ", ".join(f"count(*) FILTER (WHERE predicted = {r}) AS p{r}" for r in range(1, 20)) + " FROM predictions WHERE predicted IS NOT NULL GROUP BY 1", PRED)
 
 
 def q_range_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +66,7 @@ RANGE_POLICY_SQL = sql(
     """
 SELECT agency, h::INT AS h, round(coverage, 6) AS coverage, coalesce(min(h) FILTER (WHERE coverage >= 0.75) OVER (PARTITION BY agency), 18)::INT AS halfwidth, max(coverage) OVER (PARTITION BY agency) >= 0.75 AS target_met
 FROM (SELECT agency, h, count(*) FILTER (WHERE abs(predicted - actual) <= h) / count(*) AS coverage FROM predictions, range(19) AS g(h) GROUP BY 1, 2)""",
-    _PRED,
+    PRED,
 )
 
 
@@ -86,7 +86,7 @@ PREDICTION_CHOICE_SQL = sql(
 SELECT company_id, event_id, agency, CASE WHEN own THEN 'matched_historical_agency' WHEN strong THEN 'strong_agency' ELSE 'best_available' END AS reason, predicted = actual AS exact, abs(predicted - actual) <= 1 AS within_one, predicted - actual AS deviation
 FROM (SELECT *, agency = 'agency_' || (company_id % 9) AS own, count(*) OVER (PARTITION BY agency) >= 1500 AS strong FROM predictions)
 QUALIFY row_number() OVER (PARTITION BY company_id ORDER BY own DESC, strong DESC, confidence DESC NULLS LAST, top_probability DESC NULLS LAST, event_id) = 1""",
-    _PRED,
+    PRED,
 )
 
 
@@ -276,7 +276,7 @@ SELECT event_id, agency, CASE WHEN ok THEN CASE WHEN lo = hi THEN {_LABEL_SQL}[l
   CASE WHEN NOT ok THEN 'manual_review' WHEN h = 0 THEN 'focused' WHEN h = 1 THEN 'usable' ELSE 'broad' END AS usability, round(score, 6) AS score
 FROM (SELECT *, mass >= fm AND score >= fc AND top_probability >= ft AS ok FROM scored)
 QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY ok DESC, CASE WHEN ok THEN h ELSE -(0.58 * score + 0.42 * mass) END, h) = 1""",
-    _PRED,
+    PRED,
     f"""floors(h, fm, fc, ft, trust) AS (VALUES {", ".join("(" + ", ".join(map(str, row)) + ")" for row in FLOORS)}),
 bounds AS (SELECT p.*, f.h, fm::DOUBLE AS fm, fc::DOUBLE AS fc, ft::DOUBLE AS ft, trust::DOUBLE AS trust, greatest(1, predicted - h) AS lo, least(19, predicted + h) AS hi FROM predictions p, floors f WHERE predicted IS NOT NULL),
 masses AS (SELECT *, 0.0::DOUBLE + CASE WHEN predicted - 1 BETWEEN lo AND hi THEN 0.2::DOUBLE ELSE 0 END + 0.6::DOUBLE + CASE WHEN predicted + 1 BETWEEN lo AND hi THEN 0.2::DOUBLE ELSE 0 END AS mass FROM bounds),

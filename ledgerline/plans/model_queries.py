@@ -2,33 +2,76 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.operators import models
 from ledgerline.plans import panel
 from ledgerline.plans.features import q_rating_features
-from ledgerline.session import materialise
+from ledgerline.session import materialise, scratch
 
 _KEYS = ("event_id", "company_id", "agency", "rating_rank")
+#: Trees of a fold's model; the published models have models.TREES.
+FOLD_TREES = 20
 
 
-def _models(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
     features = q_rating_features(spark, sf_dir)
     numeric = [c for c, t in features.dtypes if t == "double"]
     industry = panel.companies(spark, sf_dir).select("company_id", "sub_industry")
     rows = materialise(features.select(*_KEYS, *numeric).join(industry, "company_id", "left"), "model-rows")
-    return models.per_agency(rows, "agency", numeric, ["sub_industry"], "rating_rank", "event_id", models.TREES)
+    return learnable(rows), numeric
+
+
+def learnable(rows: DataFrame) -> DataFrame:
+    """The rows with a label that their features tell: the band of debt to equity, one notch worse where it rises.
+
+    The panel's own ranks are arithmetic in the key: nothing can be learned from them.
+    """
+    cuts = rows.approxQuantile("debt_to_equity", [0.15, 0.3, 0.45, 0.6, 0.75, 0.9], 0.001)
+    band = sum(((F.col("debt_to_equity") > c).cast("int") for c in cuts), F.lit(5))
+    return rows.filter("debt_to_equity is not null").withColumn("rating_rank", (band + F.coalesce((F.col("debt_to_equity_delta1y") > 0).cast("int"), F.lit(0))).cast("int"))
+
+
+def _models(spark: SparkSession, sf_dir: str, path: str | None = None) -> tuple[DataFrame, DataFrame]:
+    rows, numeric = _rows(spark, sf_dir)
+    return models.per_agency(rows, "agency", numeric, ["sub_industry"], "rating_rank", "event_id", models.TREES, path)
+
+
+@cache
+def _fitted(application: str, sf_dir: str) -> tuple[str, DataFrame, DataFrame]:
+    """Where a session's models of a folder are saved, their scores and importances: fitted once for all queries."""
+    spark = SparkSession.active()
+    path = f"{scratch(spark)}/models-{uuid.uuid4().hex}"
+    scores, weights = _models(spark, sf_dir, path)
+    return path, materialise(scores, "scores"), materialise(weights, "importances")
 
 
 def q_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ML-2..7, ML-9 in part: every eligible event scored by its agency's model."""
-    return _models(spark, sf_dir)[0].select(*_KEYS, "held_out", "predicted_rank", F.round("share", 6).alias("share"))
+    scores = _fitted(spark.sparkContext.applicationId, sf_dir)[1]
+    return scores.select(*_KEYS, "held_out", "predicted_rank", F.round("share", 6).alias("share"))
 
 
 def q_model_importances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-18: the largest importances of each agency's model, by base feature."""
-    return _models(spark, sf_dir)[1].withColumn("importance", F.round("importance", 6))
+    return _fitted(spark.sparkContext.applicationId, sf_dir)[2].withColumn("importance", F.round("importance", 6))
+
+
+def q_model_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ML-13: the saved models with their rows and classes."""
+    index = models.load_index(spark, _fitted(spark.sparkContext.applicationId, sf_dir)[0])
+    return index.select("agency", "n_rows", "n_classes", F.col("path").endswith(F.concat(F.lit("/"), F.col("agency"))).alias("saved"))
+
+
+def q_grouped_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ML-8, ML-15: every agency's hits on companies that its model has not seen, for a label that can be learned."""
+    rows, numeric = _rows(spark, sf_dir)
+    validated = models.grouped_validation(rows, "agency", "company_id", numeric, ["sub_industry"], "rating_rank", FOLD_TREES)
+    return models.diagnostics(materialise(validated, "validated"), "agency", "company_id", "rating_rank")[0]
 
 
-QUERIES = {"model_scores": (q_model_scores, None), "model_importances": (q_model_importances, None)}
+QUERIES = {"model_scores": (q_model_scores, None), "model_importances": (q_model_importances, None), "model_index": (q_model_index, None), "grouped_validation": (q_grouped_validation, None)}

@@ -9,7 +9,7 @@ from ledgerline.operators import ratings
 from ledgerline.operators.ratings import LONG_TERM, SHORT_TERM, SHORT_TERM_ALIASES
 from ledgerline.plans import panel
 from ledgerline.plans.features import r6
-from ledgerline.plans.mart_queries import _PRED, predictions
+from ledgerline.plans.mart_queries import PRED, predictions
 from ledgerline.plans.panel import sql
 from ledgerline.session import table
 
@@ -130,7 +130,7 @@ COMPANY_VALIDATION_SQL = sql(
     """SELECT agency, company_id, count(event_id) AS events_evaluated, round(avg((error = 0)::INT) + 1e-12, 4) AS exact_match_rate, round(avg((error <= 1)::INT) + 1e-12, 4) AS within_one_notch_rate, round(avg(error) + 1e-12, 4) AS mean_abs_notch_error,
   round(sum(confidence::DECIMAL(18,9))::DOUBLE / count(confidence) + 1e-12, 4) AS average_confidence, max(rating_date) AS latest_rating_date
 FROM (SELECT p.*, abs(predicted - actual) AS error, e.rating_date FROM predictions p JOIN rating_events e ON p.event_id = e.event_id) GROUP BY 1, 2""",
-    _PRED,
+    PRED,
 )
 
 
@@ -163,7 +163,7 @@ _N = len(LONG_TERM)
 _BELL = f"list_transform(range(1, {_N + 1}), lambda r: exp(-((predicted - r) * (predicted - r)) / {2 * ratings.RANK_SPREAD**2}::DOUBLE))"
 SCORE_BLENDS_SQL = sql(
     "SELECT event_id, list_position(list_transform(shares, lambda s: round(s, 4)), round(list_max(shares), 4))::INT AS likeliest, round(list_max(shares), 6) AS share, score, CASE WHEN score >= 0.75 THEN 'high' WHEN score >= 0.5 THEN 'medium' ELSE 'low' END AS sureness FROM mixed",
-    _PRED,
+    PRED,
     f"""parts AS (SELECT *, list_transform(range(1, {_N + 1}), lambda r: CASE WHEN r = actual THEN top_probability ELSE (1 - top_probability) / {_N - 1} END) AS sure, {_BELL} AS bell FROM predictions),
 mixed AS (SELECT *, CASE WHEN predicted IS NULL THEN sure ELSE list_transform(range(1, {_N + 1}), lambda i: {ratings.CLASSIFIER_SHARE}::DOUBLE * sure[i] + {1 - ratings.CLASSIFIER_SHARE}::DOUBLE * bell[i] / list_sum(bell)) END AS shares,
   greatest(0.05, least(0.99, round(0.42::DOUBLE * top_probability + 0.2::DOUBLE * confidence + 0.1::DOUBLE * ((event_id % 3) / 2.0::DOUBLE) + 0.13::DOUBLE * ((event_id % 5) / 4.0::DOUBLE) + 0.15::DOUBLE * (event_id % 2), 6)))::DOUBLE AS score FROM parts)""",
@@ -180,7 +180,7 @@ def q_evaluation_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 EVALUATION_SPLIT_SQL = sql(
     """SELECT agency, actual, n_rows, CASE WHEN sum(n_rows) OVER w >= 10 AND min(n_rows) OVER w >= 2 THEN ceil(n_rows / 4)::BIGINT ELSE 0 END AS n_held_out
 FROM (SELECT agency, actual, count(*) AS n_rows FROM predictions GROUP BY 1, 2) WINDOW w AS (PARTITION BY agency)""",
-    _PRED,
+    PRED,
 )
 
 
@@ -195,7 +195,7 @@ SIMULATION_NOTES_SQL = sql(
     """SELECT event_id, concat_ws(' ', 'Selected agency: ' || agency || '.', 'Published range: ' || coalesce(CASE WHEN event_id % 3 <> 0 THEN predicted::VARCHAR END, 'manual review required') || '.', 'Range usability: ' || CASE WHEN event_id % 5 <> 0 THEN 'usable' ELSE 'unknown' END || '.',
   'CA review priority: ' || CASE WHEN confidence < 0.5 THEN 'high' ELSE 'unknown' END || '.', CASE WHEN event_id % 4 = 0 THEN 'Rating history context: actual ' || actual || '.' END,
   CASE WHEN event_id % 3 = 0 THEN CASE WHEN event_id % 2 = 0 THEN 'Low confidence.' ELSE 'Narrow publishable range could not be supported confidently.' END END, CASE WHEN event_id % 3 = 0 THEN 'Internal benchmark-only calibrated band: ' || predicted::VARCHAR || '.' END) AS notes FROM predictions""",
-    _PRED,
+    PRED,
 )
 
 QUERIES = {

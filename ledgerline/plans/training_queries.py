@@ -52,7 +52,7 @@ def q_training_set(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _SIGNAL_SQL = ", ".join(f"regexp_matches(text, '{'|'.join(p)}', 'i') AS {n}" for n, p in documents.SIGNALS.items())
 _INDEX = ", ".join(f"CASE WHEN recency <= 3 AND {m} IS NOT NULL THEN count(CASE WHEN recency <= 3 THEN {m} END) OVER (PARTITION BY event_id ORDER BY recency DESC ROWS UNBOUNDED PRECEDING) END AS i_{m}" for m in panel.METRICS)
-_CTES = (
+CTES = (
     features.WINDOW, f"indexed AS (SELECT *, {_INDEX} FROM history)",
     f"""grouped AS (SELECT event_id, company_id, agency, rating_date, rating_rank, count(*) AS depth, date_diff('day', min(period_date), max(period_date))::INT AS span_days, max(period_date) AS matched_period,
   {", ".join(features.metric_sql(m) for m in panel.METRICS)} FROM indexed GROUP BY 1, 2, 3, 4, 5)""",
@@ -70,7 +70,7 @@ _CTES = (
   FROM grouped g LEFT JOIN peers p ON g.company_id = p.company_id AND g.matched_period = p.period_date JOIN priors q ON g.event_id = q.event_id JOIN signals s ON g.event_id = s.event_id JOIN known k ON g.event_id = k.event_id LEFT JOIN scaled z ON g.company_id = z.target)""",
 )
 _DOUBLES = [f"{m}{s}" for m in panel.METRICS for s in SUFFIXES] + [f"{m}_{k}" for m in PEER_METRICS for k in ("gap", "pctile")] + ["context_score", "scale_peer_cagr", "plan_gap", "plan_aggressiveness"]
-TRAINING_SET_SQL = sql("SELECT * REPLACE (" + ", ".join(f"round({c} + {NUDGE}::DOUBLE, 6) AS {c}" for c in _DOUBLES) + ") FROM training", *_CTES)
+TRAINING_SET_SQL = sql("SELECT * REPLACE (" + ", ".join(f"round({c} + {NUDGE}::DOUBLE, 6) AS {c}" for c in _DOUBLES) + ") FROM training", *CTES)
 
 
 def q_key_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +88,7 @@ _CUES = (
 )
 KEY_FEATURES_SQL = sql(
     f"SELECT event_id, CASE WHEN len(told) = 0 THEN '{cues.NO_CUE}' ELSE array_to_string(told[1:5], '; ') END AS key_features FROM (SELECT event_id, list_filter([{', '.join(_CUES)}], lambda x: x IS NOT NULL) AS told FROM training, quartiles)",
-    *_CTES,
+    *CTES,
     "quartiles AS (SELECT " + ", ".join(f"quantile_cont({m}, 0.75) AS {m}_q75" for m in _HIGH) + " FROM training)",
 )
 
