@@ -18,6 +18,8 @@ from ledgerline.operators import ratings
 TREES, SEED, TOP = 600, 42, 12
 #: MB that a level's statistics may take at once; more of them means fewer passes over the rows.
 LEVEL_MEMORY = 1024
+#: Training rows of a partition: every partition sends the statistics of all open nodes, however few rows it holds.
+PART_ROWS = 20_000
 #: Agencies whose models are fitted side by side, from driver threads.
 THREADS = 4
 #: Folds of the grouped validation where leaving out one company at a time would mean more models than this.
@@ -49,17 +51,20 @@ def fit(rows: DataFrame, numeric: list[str], categorical: list[str], label: str,
     steps.append(VectorAssembler(inputCols=[f"{c}_filled" for c in numeric] + [f"{c}_hot" for c in categorical], outputCol="features"))
     steps.append(RandomForestClassifier(labelCol=label, weightCol="weight", numTrees=trees, maxDepth=DEPTH, seed=SEED, maxMemoryInMB=LEVEL_MEMORY))
     steps.append(RandomForestRegressor(labelCol=label, predictionCol="rank_prediction", numTrees=trees, maxDepth=DEPTH, seed=SEED, minInstancesPerNode=2, maxMemoryInMB=LEVEL_MEMORY))
-    return Pipeline(stages=steps).fit(balanced(rows, label))
+    weighted = balanced(rows, label)
+    return Pipeline(stages=steps).fit(weighted.coalesce(max(1, -(-rows.count() // PART_ROWS))))
 
 
 def score(model: PipelineModel, rows: DataFrame) -> DataFrame:
-    """`rows` with the likeliest rank of the blended distribution and its share."""
+    """`rows` with the likeliest rank of the blended distribution, its share, and the second likeliest rank."""
     n = len(ratings.LONG_TERM)
     out = model.transform(rows.withColumn("weight", F.lit(1.0)))
     raw = vector_to_array("probability")
     shares = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda r: F.coalesce(F.get(raw, r), F.lit(0.0)))
     out = out.withColumn("shares", ratings.blended_distribution(shares, F.col("rank_prediction")))
-    return out.select(*rows.columns, F.array_position("shares", F.array_max("shares")).cast("int").alias("predicted_rank"), F.array_max("shares").alias("share"))
+    ranked = F.transform(F.array_sort(F.transform("shares", lambda s, i: F.struct((-s).alias("s"), (i + 1).alias("rank")))), lambda x: x["rank"])
+    out = out.withColumn("ranked", ranked)
+    return out.select(*rows.columns, F.col("ranked")[0].cast("int").alias("predicted_rank"), F.array_max("shares").alias("share"), F.col("ranked")[1].cast("int").alias("second_rank"))
 
 
 def importances(model: PipelineModel, rows: DataFrame, top: int = TOP) -> DataFrame:
@@ -106,7 +111,7 @@ def grouped_validation(rows: DataFrame, by: str, group: str, numeric: list[str],
         if seen.select(label).distinct().count() < 2:
             #: One label only: it is the prediction.
             known = seen.agg(F.first(label).alias("_l")).first()["_l"]
-            return own.filter(F.col("fold") == fold).select(*own.columns, F.lit(known).cast("int").alias("predicted_rank"), F.lit(1.0).alias("share"))
+            return own.filter(F.col("fold") == fold).select(*own.columns, F.lit(known).cast("int").alias("predicted_rank"), F.lit(1.0).alias("share"), F.lit(None).cast("int").alias("second_rank"))
         return score(fit(seen.drop("fold", "mode"), numeric, categorical, label, trees), own.filter(F.col("fold") == fold))
 
     with ThreadPoolExecutor(THREADS) as pool:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.operators import models
+from ledgerline.operators.ratings import LONG_TERM
 from ledgerline.plans import panel
 from ledgerline.plans.features import q_rating_features
 from ledgerline.session import materialise, scratch
@@ -51,9 +52,11 @@ def _fitted(application: str, sf_dir: str) -> tuple[str, DataFrame, DataFrame]:
 
 
 def q_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ML-2..7, ML-9 in part: every eligible event scored by its agency's model."""
+    """ML-2..7, ML-9: every eligible event scored by its agency's model, with the range of its two likeliest labels and its error."""
     scores = _fitted(spark.sparkContext.applicationId, sf_dir)[1]
-    return scores.select(*_KEYS, "held_out", "predicted_rank", F.round("share", 6).alias("share"))
+    name = lambda c: F.get(F.array(*map(F.lit, LONG_TERM)), c - 1)
+    lo, hi = F.least("predicted_rank", "second_rank"), F.greatest("predicted_rank", "second_rank")
+    return scores.select(*_KEYS, "held_out", "predicted_rank", F.round("share", 6).alias("share"), F.concat(name(lo), F.lit(" to "), name(hi)).alias("top_two"), (F.col("predicted_rank") - F.col("rating_rank")).alias("deviation"))
 
 
 def q_model_importances(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,3 +43,33 @@ def test_queries_train_all_trees(spark, monkeypatch):
     monkeypatch.setattr(models, "per_agency", lambda *args: asked.append(args[6] if len(args) > 6 else models.TREES))
     model_queries._models(spark, "/root/testdata/sf0.001")
     assert asked == [600]
+
+
+def test_models_are_saved_with_an_index(spark, rows, tmp_path):
+    scores, _ = models.per_agency(rows, "agency", ["size"], ["kind"], "rank", "event_id", 5, f"file://{tmp_path}")
+    (index,) = models.load_index(spark, f"file://{tmp_path}").collect()
+    assert (index["agency"], index["n_rows"], index["n_classes"]) == ("one", 59, 3)
+    again = models.score(models.load(index), rows.withColumn("held_out", F.lit(False)))
+    assert {r["event_id"]: r["predicted_rank"] for r in again.collect()} == {r["event_id"]: r["predicted_rank"] for r in scores.collect()}
+    assert all(r["second_rank"] != r["predicted_rank"] for r in scores.collect())
+
+
+def test_grouped_validation_never_sees_a_company_twice(spark, monkeypatch):
+    k = F.col("id")
+    rows = spark.range(60).select(k.alias("event_id"), F.when(k < 40, "many").when(k < 50, "two").otherwise("single").alias("agency"), F.when(k < 40, k % 11).when(k < 50, k % 2).otherwise(0).alias("company"), (1 + k % 3).cast("int").alias("rank"))
+    met = []
+
+    def scored(seen, own):
+        companies = {r[0] for r in own.select("company").distinct().collect()}
+        mode = own.first()["mode"]
+        met.append((mode, seen & companies, companies))
+        return own.select("*", F.lit(1).alias("predicted_rank"), F.lit(0.5).alias("share"), F.lit(2).alias("second_rank"))
+
+    monkeypatch.setattr(models, "fit", lambda seen, *_: {r[0] for r in seen.select("company").distinct().collect()})
+    monkeypatch.setattr(models, "score", scored)
+    out = models.grouped_validation(rows, "agency", "company", [], [], "rank", 5)
+    assert out.count() == 60 and all(not both for mode, both, _ in met if not mode.startswith("in_sample"))
+    assert sorted(mode for mode, _, _ in met) == ["grouped_folds"] * 3 + ["in_sample_fallback_single_company"] + ["leave_one_company_out"] * 2
+    assert all(len(own) == 1 for mode, _, own in met if mode == "leave_one_company_out")
+    agencies, companies = models.diagnostics(out, "agency", "company", "rank")
+    assert {r["agency"]: r["rows_evaluated"] for r in agencies.collect()} == {"many": 40, "two": 10, "single": 10} and companies.count() == 14
