@@ -57,9 +57,12 @@ def word_contents(texts: pa.Array, at: np.ndarray, window: int) -> np.ndarray:
     """xxh3 of the window of words (joined by one space) that starts at each of the given words."""
     offsets, data = textarrays.flat(texts)
     starts, ends, _ = textarrays.words(offsets, data)
-    joined = b" ".join(data.tobytes()[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True))
-    edges = np.concatenate((np.zeros(1, np.int64), np.cumsum(ends - starts + 1)))
-    view, digest = memoryview(joined), xxhash.xxh3_64_intdigest
+    lengths = ends - starts
+    edges = np.concatenate((np.zeros(1, np.int64), np.cumsum(lengths + 1)))
+    place = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    joined = np.full(int(edges[-1]), 32, np.uint8)
+    joined[place + np.repeat(edges[:-1], lengths)] = data[place + np.repeat(starts, lengths)]
+    view, digest = memoryview(joined.tobytes()), xxhash.xxh3_64_intdigest
     return np.array([digest(view[a:b]) for a, b in zip(edges[at].tolist(), (edges[at + window] - 1).tolist(), strict=True)], np.uint64)
 
 
