@@ -22,6 +22,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 REMEMBERED = 450_000
 LONGEST = 32
 
+_BYTE = re.compile(r"<0x[0-9A-F]{2}>")
 _PIECES = re.compile(r"[ \n]?\S+")
 _CUTS = re.compile(r"(?<=\S)(?=[ \n]\S)")
 #: Pieces whose inner cut is plain: Latin letters, then ASCII punctuation.
@@ -41,11 +42,13 @@ _CHARACTERS = _byte_characters()
 class Encoder:
     """Encodes texts to little-endian uint32 bytes."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
+        """plain: the literal of an added token is ordinary text, as with encode_special_tokens of the library."""
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.tokenizer.encode_special_tokens = plain
+        added = [] if plain else self.tokenizer.get_added_tokens_decoder().values()
         #: Literals of added tokens; those that are looked for after normalising may be written in either case.
         self.exact = [t.content for t in added if not t.normalized]
         self.folded = [t.content.lower() for t in added if t.normalized]
@@ -62,6 +65,12 @@ class Encoder:
     def vocabulary_size(self) -> int:
         return self.tokenizer.get_vocab_size(with_added_tokens=True)
 
+    def token_bytes(self) -> list[bytes]:
+        """Bytes of each id of a byte-level vocabulary."""
+        back = {c: b for b, c in _CHARACTERS.items()}
+        names = {i: t for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
+        return [bytes(back.get(ord(c), ord(c)) for c in names.get(i, "")) for i in range(max(names) + 1)]
+
     def _holds_added(self, text: str) -> bool:
         return any(a in text for a in self.exact) or bool(self.folded) and any(a in text.lower() for a in self.folded)
 
@@ -117,6 +126,32 @@ class Encoder:
         return out
 
 
+class PieceEncoder:
+    """Encodes pieces of texts by a sentencepiece model that adds a blank in front and has byte fallback.
+
+    A piece starts with the blank that it's joined by or with a newline. No entry of the model
+    holds a blank behind another character, or a newline, so no token crosses a cut; models
+    that have such entries are refused.
+    """
+
+    def __init__(self, path: str):
+        from sentencepiece import SentencePieceProcessor
+
+        self.model = SentencePieceProcessor(model_file=path)
+        self.names = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
+        if any("\n" in n or "\u2581" in n.lstrip("\u2581") for n in self.names):
+            raise ValueError("entries of the model cross blanks")
+
+    def token_bytes(self) -> list[bytes]:
+        """Bytes of each id: U+2581 is a blank, <0xHH> one byte."""
+        return [bytes([int(n[3:5], 16)]) if _BYTE.fullmatch(n) else n.replace("\u2581", " ").encode() for n in self.names]
+
+    def encode_pieces(self, pieces: list[str]) -> list[list[int]]:
+        """Ids of each piece. The model adds the blank; where a newline leads, that blank is taken off again."""
+        coded = self.model.encode([p[1:] if p[0] == " " else p for p in pieces], num_threads=1)
+        return [c if p[0] == " " else c[1:] for p, c in zip(pieces, coded, strict=True)]
+
+
 _encoders: dict[str, Encoder] = {}
 
 
