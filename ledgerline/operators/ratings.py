@@ -162,14 +162,28 @@ def extraction_status(records: DataFrame, company: str, resolved: Column, messag
     return sums.withColumn("status", status)
 
 
+#: Bits of the hash that deal a label's rows into ranges.
+HOLD_BITS = 12
+
+
 def hold_out(rows: DataFrame, by: str, label: str, key: str, seed: int = 42) -> DataFrame:
     """Rows marked `held_out`: a quarter of each label where a group has ten rows and no label fewer than two, else none."""
     counts = rows.groupBy(by, label).agg(F.count("*").alias("n_label"))
     sizes = counts.groupBy(by).agg((F.sum("n_label") >= 10).alias("enough"), (F.min("n_label") >= 2).alias("each"))
-    known = counts.join(sizes, by)
-    order = Window.partitionBy(by, label).orderBy(F.xxhash64(key, F.lit(seed)), key)
-    marked = rows.join(known, [by, label]).withColumn("held_out", F.col("enough") & F.col("each") & (F.row_number().over(order) <= F.ceil(F.col("n_label") / 4)))
-    return marked.drop("n_label", "enough", "each")
+    known = counts.join(sizes, by).withColumn("quota", F.when(F.col("enough") & F.col("each"), F.ceil(F.col("n_label") / 4)).otherwise(0)).select(by, label, "quota")
+    order = F.xxhash64(key, F.lit(seed))
+    marked = rows.join(F.broadcast(known), [by, label]).withColumn("_order", order).withColumn("_range", F.shiftright("_order", 64 - HOLD_BITS))
+    #: The range of hashes that a label's quota ends in; only the rows of that range are put in order.
+    ranges = marked.groupBy(by, label, "quota", "_range").agg(F.count("*").alias("_n"))
+    until = F.sum("_n").over(Window.partitionBy(by, label).orderBy("_range"))
+    edge = ranges.withColumn("_until", until).filter((F.col("_until") > F.col("quota")) & (F.col("_until") - F.col("_n") <= F.col("quota")))
+    edge = edge.select(by, label, F.col("_range").alias("_edge"), (F.col("quota") - F.col("_until") + F.col("_n")).alias("_left"))
+    marked = marked.join(F.broadcast(edge), [by, label], "left")
+    place = F.row_number().over(Window.partitionBy(by, label, "_range").orderBy("_order", key))
+    within = marked.filter("_range = _edge").withColumn("held_out", place <= F.col("_left"))
+    clear = marked.filter("_edge is null or _range <> _edge").withColumn("held_out", F.coalesce(F.col("_range") < F.col("_edge"), F.col("quota") > 0))
+    marked = within.unionByName(clear).drop("quota", "_order", "_range", "_edge", "_left")
+    return marked
 
 
 def simulation_notes(agency: Column, published: Column, usability: Column, priority: Column, history: Column, review: Column, reason: Column, band: Column) -> Column:

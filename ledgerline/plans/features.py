@@ -29,11 +29,11 @@ SELECT company_id, year, {", ".join(f"round({m}, 6) AS {m}" for m in panel.METRI
 FROM financials WINDOW w AS (PARTITION BY company_id ORDER BY year)""")
 
 
-def aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+def aligned(spark: SparkSession, sf_dir: str, lag_days: int = LAG_DAYS) -> DataFrame:
     """Eligible events with their window of periods."""
     events = filters.eligible(panel.rating_events(spark, sf_dir)).select("event_id", "company_id", "agency", "rating_date", "rating_rank")
     periods = panel.financials(spark, sf_dir).select("company_id", "period_date", *panel.METRICS)
-    return joins.asof_window(events, periods, "company_id", "event_id", "rating_date", "period_date", LAG_DAYS, PERIODS)
+    return joins.asof_window(events, periods, "company_id", "event_id", "rating_date", "period_date", lag_days, PERIODS)
 
 
 def q_rating_features(spark: SparkSession, sf_dir: str) -> DataFrame:

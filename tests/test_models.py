@@ -1,11 +1,14 @@
-"""Agency models: a learnable label is learned, importances add up, unseen categories and holes are scored."""
+"""Trees and agency models: exact small trees, learnable labels learned, categories, holes, folds, saved models."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerline.operators import models
+from ledgerline.operators import forests, models
 from ledgerline.plans import model_queries
 
+SF = "/root/testdata/sf0.001"
+
 
 @pytest.fixture(scope="module")
 def rows(spark):
@@ -13,63 +16,120 @@ def rows(spark):
     return spark.range(80).select(k.alias("event_id"), F.lit("one").alias("agency"), (1 + k % 3).cast("int").alias("rank"), F.when(k % 10 != 0, (k % 3) * 10.0 + k % 2).alias("size"), F.lit(None).cast("double").alias("empty"), F.when(k % 3 == 0, "a").otherwise("b").alias("kind"), F.lit("x").alias("constant"))
 
 
-def test_active_features(rows):
-    assert models.active_features(rows, ["size", "empty"], ["kind", "constant"]) == (["size"], ["kind"])
-
-
-def test_balanced_weights_add_up(rows):
-    got = models.balanced(rows, "rank").groupBy("rank").agg(F.sum("weight").alias("w")).collect()
-    assert all(abs(r["w"] - 80 / 3) < 1e-9 for r in got)
-
-
-def test_models_learn_and_score(spark, rows):
-    scores, weights = models.per_agency(rows, "agency", ["size", "empty"], ["kind", "constant"], "rank", "event_id", trees=5)
+def test_trees_are_grown_out_and_leaves_are_pure():
+    rng = np.random.default_rng(1)
+    x, y = rng.normal(size=(300, 6)).astype(np.float32), rng.integers(0, 5, 300)
+    nodes, gained = forests.grow(x, y, np.ones(300), 4, rng, 2, 1, 5)
+    found = forests.predict(nodes, 4, x) / 4
+    assert (found.argmax(1) == y).all() and np.allclose(found.max(1), 1) and (gained >= 0).all()
+    inner = nodes["feature"] >= 0
+    assert inner.sum() + 4 == (~inner).sum() and len(nodes["value"]) == (~inner).sum()
+
+
+def test_every_split_parts_its_rows_and_regressor_leaves_hold_two():
+    rng = np.random.default_rng(2)
+    x, y = rng.integers(0, 4, (200, 3)).astype(np.float32), rng.normal(size=200)
+    nodes, _ = forests.grow(x, y, np.ones(200), 3, rng, 3, 2, 0)
+    for tree in range(3):
+        at = np.full(200, tree)
+        while (nodes["feature"][at] >= 0).any():
+            f = nodes["feature"][at]
+            at = np.where(f < 0, at, nodes["left"][at] + (x[np.arange(200), np.maximum(f, 0)] > nodes["threshold"][at]))
+        leaves, sizes = np.unique(at, return_counts=True)
+        assert sizes.min() >= 2
+        for leaf in leaves:
+            assert np.isclose(nodes["value"][nodes["slot"][leaf], 0], y[at == leaf].mean(), atol=1e-5)
+
+
+def test_weights_balance_labels():
+    """One row in fifty of a label that nothing tells apart: balanced leaves give it half."""
+    x, y = np.zeros((50, 1), np.float32), np.array([1] + [0] * 49)
+    weight = 50 / (2 * np.bincount(y)[y])
+    nodes, _ = forests.grow(x, y, weight, 1, np.random.default_rng(0), 1, 1, 2)
+    assert np.allclose(forests.predict(nodes, 1, x[:1]), 0.5)
+
+
+def test_design_fills_holes_and_ignores_what_tells_nothing():
+    design = forests.Design(np.array([[1.0, np.nan], [3.0, np.nan], [np.nan, np.nan]]), [["a", "x"], ["b", "x"], [None, "x"]])
+    assert design.base.tolist() == [0, 2, 2, 2]
+    assert design.matrix(np.array([[np.nan, 7.0]]), [["new", "y"]]).tolist() == [[2.0, 0, 0, 0]]
+    assert design.matrix(np.array([[5.0, 7.0]]), [[None, "y"]]).tolist() == [[5.0, 1.0, 0, 0]]
+
+
+def test_models_learn_and_score(rows):
+    scores, weights = models.per_agency(rows, "agency", ["size", "empty"], ["kind", "constant"], "rank", "event_id", trees=30)
     got = scores.collect()
     assert len(got) == 80 and sum(r["held_out"] for r in got) == 21
     held = [r for r in got if r["held_out"]]
     assert sum(abs(r["predicted_rank"] - r["rank"]) <= 1 for r in held) / len(held) >= 0.9
-    assert all(0 < r["share"] <= 1 for r in got)
-    assert abs(sum(r["importance"] for r in weights.collect()) - 1) < 1e-9
+    assert all(0 < r["share"] <= 1 and r["second_rank"] != r["predicted_rank"] for r in got)
+    found = {r["base_feature"]: r["importance"] for r in weights.collect()}
+    assert abs(sum(found.values()) - 1) < 1e-9 and found["empty"] == found["constant"] == 0
+
+
+def test_a_model_s_sample_is_bounded_and_drawn_by_key(spark):
+    rows = spark.range(5000).select(F.col("id").alias("k"), F.when(F.col("id") < 4900, "large").otherwise("small").alias("m"))
+    once, again = (forests.sampled(rows.repartition(n), "m", "k", 300) for n in (2, 5))
+    assert {tuple(r) for r in once.collect()} == {tuple(r) for r in again.collect()}
+    assert {r["m"]: r["count"] for r in once.groupBy("m").count().collect()} == {"large": 300, "small": 100}
 
 
-def test_trees_are_grown_out(spark):
-    rows = spark.range(128).select(F.col("id").cast("double").alias("size"), (1 + F.abs(F.hash("id")) % 5).cast("int").alias("rank"))
-    forests = models.fit(rows, ["size"], [], "rank", trees=2).stages[-2:]
-    assert all(max(t.depth for t in f.trees) > 5 for f in forests)
+def test_rows_without_a_model_and_small_batches(spark, rows):
+    trained = models.fit(rows.filter("event_id < 60"), "agency", ["size"], ["kind"], "rank", "event_id", 10)
+    other = rows.withColumn("agency", F.when(F.col("event_id") % 4 == 0, "none").otherwise(F.col("agency")))
+    got = models.score(other.repartition(7), trained, "agency", ["size"], ["kind"]).collect()
+    assert len(got) == 80 and all((r["predicted_rank"] is None) == (r["agency"] == "none") for r in got)
 
 
-def test_queries_train_all_trees(spark, monkeypatch):
-    asked = []
-    monkeypatch.setattr(models, "per_agency", lambda *args: asked.append(args[6] if len(args) > 6 else models.TREES))
-    model_queries._models(spark, "/root/testdata/sf0.001")
-    assert asked == [600]
+def test_the_same_rows_give_the_same_trees(spark, rows):
+    first, second = (forests.train(rows.repartition(n).select(F.col("agency").alias("model"), F.col("event_id").cast("string").alias("row_key"), F.col("rank").alias("label"), *forests.inputs(["size"], ["kind"])), 1, 19, 30) for n in (1, 4))
+    blobs = lambda df: {(r["kind"], r["block"]): r["importances"] for r in df.collect()}
+    assert blobs(first) == blobs(second) and len(blobs(first)) == 4
 
 
 def test_models_are_saved_with_an_index(spark, rows, tmp_path):
-    scores, _ = models.per_agency(rows, "agency", ["size"], ["kind"], "rank", "event_id", 5, f"file://{tmp_path}")
+    scores, _ = models.per_agency(rows, "agency", ["size"], ["kind"], "rank", "event_id", 10, f"file://{tmp_path}")
     (index,) = models.load_index(spark, f"file://{tmp_path}").collect()
     assert (index["agency"], index["n_rows"], index["n_classes"]) == ("one", 59, 3)
-    again = models.score(models.load(index), rows.withColumn("held_out", F.lit(False)))
+    again = models.score(rows, models.load(spark, f"file://{tmp_path}"), "agency", ["size"], ["kind"])
     assert {r["event_id"]: r["predicted_rank"] for r in again.collect()} == {r["event_id"]: r["predicted_rank"] for r in scores.collect()}
-    assert all(r["second_rank"] != r["predicted_rank"] for r in scores.collect())
 
 
-def test_grouped_validation_never_sees_a_company_twice(spark, monkeypatch):
+def test_grouped_validation_never_sees_a_company_of_its_fold(spark, monkeypatch):
     k = F.col("id")
-    rows = spark.range(60).select(k.alias("event_id"), F.when(k < 40, "many").when(k < 50, "two").otherwise("single").alias("agency"), F.when(k < 40, k % 11).when(k < 50, k % 2).otherwise(0).alias("company"), (1 + k % 3).cast("int").alias("rank"))
-    met = []
-
-    def scored(seen, own):
-        companies = {r[0] for r in own.select("company").distinct().collect()}
-        mode = own.first()["mode"]
-        met.append((mode, seen & companies, companies))
-        return own.select("*", F.lit(1).alias("predicted_rank"), F.lit(0.5).alias("share"), F.lit(2).alias("second_rank"))
-
-    monkeypatch.setattr(models, "fit", lambda seen, *_: {r[0] for r in seen.select("company").distinct().collect()})
-    monkeypatch.setattr(models, "score", scored)
-    out = models.grouped_validation(rows, "agency", "company", [], [], "rank", 5)
-    assert out.count() == 60 and all(not both for mode, both, _ in met if not mode.startswith("in_sample"))
-    assert sorted(mode for mode, _, _ in met) == ["grouped_folds"] * 3 + ["in_sample_fallback_single_company"] + ["leave_one_company_out"] * 2
-    assert all(len(own) == 1 for mode, _, own in met if mode == "leave_one_company_out")
-    agencies, companies = models.diagnostics(out, "agency", "company", "rank")
-    assert {r["agency"]: r["rows_evaluated"] for r in agencies.collect()} == {"many": 40, "two": 10, "single": 10} and companies.count() == 14
+    rows = spark.range(120).select(
+        k.alias("event_id"), F.when(k < 80, "many").when(k < 100, "two").otherwise("single").alias("agency"), F.when(k < 80, k % 27).when(k < 100, k % 2).otherwise(0).alias("company"),
+        (1 + k % 3).cast("int").alias("rank"), (k % 3).cast("double").alias("size"),
+    )
+    met = {}
+
+    def train(samples, *args):
+        for r in samples.select("model", "row_key").collect():
+            met.setdefault(r["model"], set()).add(int(r["row_key"]))
+        return real(samples, *args)
+
+    real = forests.train
+    monkeypatch.setattr(models.forests, "train", train)
+    out = models.grouped_validation(rows, "agency", "company", ["size"], [], "rank", "event_id", 10).collect()
+    assert len(out) == 120 and all(r["predicted_rank"] == r["rank"] for r in out if r["agency"] != "two")
+    company = {r["event_id"]: (r["agency"], r["company"]) for r in out}
+    for r in out:
+        seen = {company[e] for e in met[f"{r['agency']}/{r['fold']}"]}
+        assert ((r["agency"], r["company"]) in seen) == (r["agency"] == "single") and {a for a, _ in seen} == {r["agency"]}
+    assert {(r["agency"], r["mode"]) for r in out} == {("many", "grouped_folds"), ("two", "leave_one_company_out"), ("single", "in_sample_fallback_single_company")}
+
+
+def test_all_outputs_of_the_validation(spark, monkeypatch):
+    monkeypatch.setattr(model_queries, "FOLD_TREES", 5)
+    monkeypatch.setattr(models, "TREES", 10)
+    monkeypatch.setattr(model_queries, "_done", {})
+    events, companies, agencies = (model_queries.QUERIES[n][0](spark, SF).collect() for n in ("validation_events", "validation_companies", "grouped_validation"))
+    assert sum(r["rows_evaluated"] for r in agencies) == sum(r["rows_evaluated"] for r in companies) == len(events) > 0
+    for r in agencies:
+        own = [e for e in events if e["agency"] == r["agency"]]
+        assert abs(r["exact_match_accuracy"] - sum(e["exact_match"] for e in own) / len(own)) < 1e-9 and r["companies_evaluated"] == len({e["company_id"] for e in own})
+    report = model_queries.q_learning_report(spark, SF).collect()
+    assert {r["agency"] for r in report} == {r["agency"] for r in agencies} and any(r["line"].startswith("Excluded, ") for r in report)
+    scores = model_queries.q_model_scores(spark, SF)
+    assert scores.count() == len(events) and not any(c.startswith("debt_to_equity") for c in model_queries._rows(spark, SF)[1])
+    assert {r["saved"] for r in model_queries.q_model_index(spark, SF).collect()} == {True}
