@@ -48,6 +48,8 @@ RUN_RECORDS = 2_000_000
 RUN_DOCUMENTS = 50_000
 #: Runs that one heap merges.
 FAN_IN = 1024
+#: Distinct pieces of text that a worker remembers when a run begins; it flushes a run early at half as many again.
+REMEMBERED = 300_000
 #: Bits of a B id within a pair.
 _B_BITS = 20
 #: Groups with more links than this are formed from distinct ids.
@@ -96,6 +98,8 @@ class Aligner:
     def learn(self, pieces: list[str]) -> None:
         """Align pieces that aren't known yet."""
         coded_a, coded_b = self.a.encode(pieces), self.b.encode_pieces(pieces)
+        #: A piece comes here once, so the encoder needn't remember it too.
+        self.a.known.clear()
         same = [
             b"".join(map(self.bytes_a.__getitem__, np.frombuffer(x, "<u4").tolist())) == (raw := p.encode()) == b"".join(map(self.bytes_b.__getitem__, y))
             for p, x, y in zip(pieces, coded_a, coded_b, strict=True)
@@ -248,7 +252,7 @@ def _align(path_a: str, path_b: str, parts: int):
                 named = dict(zip(("n_a", "n_b", "n_groups", "n_links"), facts.T[:4], strict=True))
                 yield _batch(schema, kind=[1] * len(dids), run=[number] * len(dids), did=dids, groups=[g.decode() for g in groups], data=data, **named)
             number, held, records, documents = number + 1, [], 0, 0
-            if len(al.known) > tokens.REMEMBERED:
+            if len(al.known) > REMEMBERED:
                 al.reset()
 
         for whole in batches:
@@ -256,7 +260,7 @@ def _align(path_a: str, path_b: str, parts: int):
                 facts, groups, owner, pair, times = al.align(batch.column("text").to_pylist())
                 held.append((batch.column("did").to_numpy(zero_copy_only=False), facts, owner, pair, times, groups))
                 records, documents = records + len(pair), documents + batch.num_rows
-                if records >= RUN_RECORDS or documents >= RUN_DOCUMENTS or len(al.known) > 2 * tokens.REMEMBERED:
+                if records >= RUN_RECORDS or documents >= RUN_DOCUMENTS or 2 * len(al.known) > 3 * REMEMBERED:
                     yield from flush()
         if held:
             yield from flush()
