@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from itertools import chain, compress, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -75,6 +76,13 @@ def _unpack(blob: bytes, columns: int) -> list[np.ndarray]:
     return [np.cumsum(flat[0]), *flat[1:]]
 
 
+def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums of consecutive stretches of the given lengths."""
+    running = np.concatenate(([0], np.cumsum(values)))
+    ends = np.cumsum(counts)
+    return running[ends] - running[ends - counts]
+
+
 class Aligner:
     """Aligns texts piece by piece; remembers pieces and numbers the id pairs it meets."""
 
@@ -82,7 +90,8 @@ class Aligner:
         self.a, self.b = tokens.Encoder(path_a, plain=True), tokens.PieceEncoder(path_b)
         self.bytes_a, self.bytes_b = self.a.token_bytes(), self.b.token_bytes()
         self.size_a, self.size_b = (np.array([len(t) for t in table], np.int64) for table in (self.bytes_a, self.bytes_b))
-        self.text_a, self.text_b = (np.array([b"%d" % i for i in range(len(table))], object) for table in (self.bytes_a, self.bytes_b))
+        #: How an id is written: before another id of its side, and as the last one of its group.
+        self.text_a, self.text_b = ([np.array([b"%d%c" % (i, c) for i in range(len(table))], object) for c in b"," + last] for table, last in ((self.bytes_a, b"|"), (self.bytes_b, b";")))
         self.reset()
 
     def reset(self) -> None:
@@ -97,21 +106,25 @@ class Aligner:
 
     def learn(self, pieces: list[str]) -> None:
         """Align pieces that aren't known yet."""
-        coded_a, coded_b = self.a.encode(pieces), self.b.encode_pieces(pieces)
-        #: A piece comes here once, so the encoder needn't remember it too.
-        self.a.known.clear()
-        same = [
-            b"".join(map(self.bytes_a.__getitem__, np.frombuffer(x, "<u4").tolist())) == (raw := p.encode()) == b"".join(map(self.bytes_b.__getitem__, y))
-            for p, x, y in zip(pieces, coded_a, coded_b, strict=True)
-        ]
+        raw = [p.encode() for p in pieces]
+        coded_a, coded_b = self.a.encode_pieces(pieces), self.b.encode_pieces(pieces)
+        flat_a, flat_b = np.frombuffer(b"".join(coded_a), "<u4").astype(np.int64), np.fromiter(chain.from_iterable(coded_b), np.int64)
+        count_a, count_b = (np.fromiter(map(len, c), np.int64, len(pieces)) // k for c, k in ((coded_a, 4), (coded_b, 1)))
+        size = np.fromiter(map(len, raw), np.int64, len(pieces))
+        same = (_sums(self.size_a[flat_a], count_a) == size) & (_sums(self.size_b[flat_b], count_b) == size)
+        for table, flat, count in ((self.bytes_a, flat_a, count_a), (self.bytes_b, flat_b, count_b)):
+            #: One comparison for all pieces of the right size, and single ones where it fails.
+            told = b"".join(map(table.__getitem__, flat[np.repeat(same, count)].tolist()))
+            if told != b"".join(compress(raw, same)):
+                ends = np.cumsum(count)
+                same &= [b"".join(map(table.__getitem__, flat[e - n : e].tolist())) == r for e, n, r in zip(ends, count, raw, strict=True)]
         good = np.flatnonzero(same)
-        ids_a = np.frombuffer(b"".join(coded_a[i] for i in good), "<u4").astype(np.int64)
-        ids_b = np.array([t for i in good for t in coded_b[i]], np.int64)
+        ids_a, ids_b = flat_a[np.repeat(same, count_a)], flat_b[np.repeat(same, count_b)]
         ends_a, ends_b = np.cumsum(self.size_a[ids_a]), np.cumsum(self.size_b[ids_b])
         ends = np.intersect1d(ends_a, ends_b, assume_unique=True)
         group_a, group_b = np.searchsorted(ends, ends_a), np.searchsorted(ends, ends_b)
         many_a, many_b = np.bincount(group_a, minlength=len(ends)), np.bincount(group_b, minlength=len(ends))
-        piece_ends = np.cumsum([len(pieces[i].encode()) for i in good])
+        piece_ends = np.cumsum(size[good])
         owner = np.searchsorted(piece_ends, ends)  # of groups, among the good
         links = many_a * many_b
 
@@ -127,12 +140,13 @@ class Aligner:
         last_a, last_b = np.ones(len(ids_a), bool), np.ones(len(ids_b), bool)
         last_a[:-1], last_b[:-1] = group_a[1:] != group_a[:-1], group_b[1:] != group_b[:-1]
         out = np.empty(len(ids_a) + len(ids_b), object)
-        out[np.arange(len(ids_a)) + first_b[group_a]] = self.text_a[ids_a] + np.where(last_a, b"|", b",").astype(object)
-        out[np.arange(len(ids_b)) + (first_a + many_a)[group_b]] = self.text_b[ids_b] + np.where(last_b, b";", b",").astype(object)
-        cuts = np.concatenate(([0], np.cumsum(facts[good, 0] + facts[good, 1])))
+        out[np.arange(len(ids_a)) + first_b[group_a]] = np.where(last_a, self.text_a[1][ids_a], self.text_a[0][ids_a])
+        out[np.arange(len(ids_b)) + (first_a + many_a)[group_b]] = np.where(last_b, self.text_b[1][ids_b], self.text_b[0][ids_b])
+        ends_out = np.concatenate(([0], np.cumsum(np.fromiter(map(len, out), np.int64, len(out)))))
+        cuts = ends_out[np.concatenate(([0], np.cumsum(facts[good, 0] + facts[good, 1])))].tolist()
+        written = b"".join(out)
         texts = np.full(len(pieces), b"", object)
-        for k, i in enumerate(good):
-            texts[i] = b"".join(out[cuts[k] : cuts[k + 1]])
+        texts[good] = np.array([written[a:b] for a, b in pairwise(cuts)] + [None], object)[:-1]
 
         small = links[group_a] <= _LARGE
         at = np.flatnonzero(small)

@@ -100,6 +100,18 @@ class Encoder:
             out = self._part(lead + letters)
         return out + self._part(tail) if tail else out
 
+    def encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pieces that `cut` gave, which hold no literal of an added token; they aren't remembered."""
+        if len(self.parts) > REMEMBERED:
+            self.parts.clear()
+        coded = [self._plain(p) for p in pieces]
+        odd = [i for i, c in enumerate(coded) if c is None]
+        for k in range(0, len(odd), 4096):
+            part = odd[k : k + 4096]
+            for i, found in zip(part, self.tokenizer.encode_batch_fast([pieces[i] for i in part], add_special_tokens=False), strict=True):
+                coded[i] = array("I", found.ids).tobytes()
+        return coded
+
     def encode(self, texts: list[str]) -> list[bytes]:
         special = [self._holds_added(t) for t in texts]
         cut = [[] if whole else self.cut(t) for t, whole in zip(texts, special, strict=True)]
