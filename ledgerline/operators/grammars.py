@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.operators.documents import LONG, SHORT, compact, normal_text
+from ledgerline.operators.documents import LONG, compact, let, normal_text
 
 EVENT = "struct<instrument: string, amount_crore: double, current_rating: string, previous_rating: string, action: string>"
 
@@ -91,11 +91,6 @@ INFOMERICS_HEAD = "current ratings|^current$|^previous$|previous ratings|rating
 ACTIONS = "\\b(reaffirmed|upgraded|downgraded|withdrawn|assigned|revised|removed from issuer not cooperating category|continues to remain)\\b"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """`body` of a value that is computed once a row."""
-    return F.transform(F.array(value), body)[0]
-
-
 def stripped(c: Column) -> Column:
     return F.regexp_replace(c, "^\\s+|\\s+$", "")
 
@@ -106,7 +101,8 @@ def tidy(c: Column) -> Column:
 
 
 def some(c: Column) -> Column:
-    return F.nullif(stripped(c), F.lit(""))
+    """The stripped text, or null if it's empty; computed once, which nullif wouldn't."""
+    return F.get(F.filter(F.array(stripped(c)), lambda x: x != ""), 0)
 
 
 def first(text: Column, pattern: str, group: int = 0) -> Column:
