@@ -18,7 +18,7 @@ document without words is never taken; rows equal in doc_id and text share one d
 
 from __future__ import annotations
 
-import heapq
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -52,56 +52,92 @@ def targets(sizes: list[int], weights: list[float], repeats: int = REPEATS) -> l
 
 
 def min_cost_flow(offers: list[int], members: list[list[int]], demands: list[int], repeats: int = REPEATS) -> list[int]:
-    """Words that each pattern gives: successive shortest paths over patterns x rounds, patterns and sources.
+    """Words that each pattern gives.
 
-    Nodes: 0 is the origin, then patterns, then sources, then the sink. All arcs hold integers.
+    A source that no pattern shares with another is settled at once: it takes its target or all that
+    it offers. The others make a network of origin, patterns, sources and sink. Only the arcs from
+    the origin have a cost, r for a pattern's round r + 1, so a cheapest path costs what its first
+    arc does: rounds are opened one after the other, and in each the flow is raised to the greatest
+    (blocking flows along shortest paths). That is the flow of least cost.
     """
-    n, m = len(offers), len(demands)
-    sink = 1 + n + m
-    arcs: list[list[list[int]]] = [[] for _ in range(sink + 1)]  # [to, room, cost, place of the reverse]
+    shared = {s for own in members if len(own) > 1 for s in own}
+    given = [0] * len(offers)
+    nodes = []
+    for p, own in enumerate(members):
+        if len(own) == 1 and own[0] not in shared:
+            given[p] = min(demands[own[0]], repeats * offers[p])
+        elif offers[p] and own:
+            nodes.append(p)
+    if not nodes:
+        return given
+    n, source = len(nodes), {s: k for k, s in enumerate(sorted(shared))}
+    sink = 1 + n + len(source)
+    head: list[int] = []
+    room: list[int] = []
+    arcs: list[list[int]] = [[] for _ in range(sink + 1)]
+
+    def arc(a: int, b: int, size: int) -> None:
+        for u, v, r in ((a, b, size), (b, a, 0)):
+            arcs[u].append(len(head))
+            head.append(v)
+            room.append(r)
+
+    for k, p in enumerate(nodes):
+        arc(0, 1 + k, 0)
+        for s in members[p]:
+            arc(1 + k, 1 + n + source[s], repeats * offers[p])
+    for s, k in source.items():
+        arc(1 + n + k, sink, demands[s])
+    for _ in range(repeats):
+        for k, p in enumerate(nodes):
+            room[arcs[0][k]] += offers[p]
+        while _raise(head, room, arcs, sink):
+            pass
+    for k, p in enumerate(nodes):
+        given[p] = room[arcs[0][k] ^ 1]
+    return given
 
-    def arc(a: int, b: int, room: int, cost: int) -> None:
-        arcs[a].append([b, room, cost, len(arcs[b])])
-        arcs[b].append([a, 0, -cost, len(arcs[a]) - 1])
 
-    for p, size in enumerate(offers):
-        for r in range(repeats):
-            arc(0, 1 + p, size, r)
-        for s in members[p]:
-            arc(1 + p, 1 + n + s, repeats * size, 0)
-    for s, want in enumerate(demands):
-        arc(1 + n + s, sink, want, 0)
-    height = [0] * (sink + 1)
-    while True:
-        far = [1 << 60] * (sink + 1)
-        far[0] = 0
-        via: list[tuple[int, int] | None] = [None] * (sink + 1)
-        queue = [(0, 0)]
-        while queue:
-            d, a = heapq.heappop(queue)
-            if d > far[a]:
-                continue
-            for k, (b, room, cost, _) in enumerate(arcs[a]):
-                if room > 0 and (e := d + cost + height[a] - height[b]) < far[b]:
-                    far[b], via[b] = e, (a, k)
-                    heapq.heappush(queue, (e, b))
-        if via[sink] is None:
+def _raise(head: list[int], room: list[int], arcs: list[list[int]], sink: int) -> bool:
+    """Raise a flow from node 0 along all shortest paths; whether there was one. Arc i ^ 1 is the reverse of arc i."""
+    level = [-1] * len(arcs)
+    level[0] = 0
+    reached = [0]
+    for a in reached:
+        if level[sink] >= 0 and level[a] >= level[sink]:
             break
-        height = [h + min(f, far[sink]) for h, f in zip(height, far, strict=True)]
-        path, b = [], sink
-        while b:
-            a, k = via[b]
-            path.append((a, k))
-            b = a
-        push = min(arcs[a][k][1] for a, k in path)
-        for a, k in path:
-            step = arcs[a][k]
-            step[1] -= push
-            arcs[step[0]][step[3]][1] += push
-    given = [0] * n
-    for step in arcs[0]:
-        given[step[0] - 1] += arcs[step[0]][step[3]][1]
-    return given
+        for i in arcs[a]:
+            if room[i] and level[head[i]] < 0:
+                level[head[i]] = level[a] + 1
+                reached.append(head[i])
+    if level[sink] < 0:
+        return False
+    at = [0] * len(arcs)
+    path: list[int] = []
+    a = 0
+    while True:
+        if a == sink:
+            push = min(room[i] for i in path)
+            for i in path:
+                room[i] -= push
+                room[i ^ 1] += push
+            #: Go on from the first arc that is full now.
+            full = next(k for k, i in enumerate(path) if not room[i])
+            a = head[path[full] ^ 1]
+            del path[full:]
+            continue
+        own = arcs[a]
+        while at[a] < len(own) and not (room[own[at[a]]] and level[head[own[at[a]]]] == level[a] + 1):
+            at[a] += 1
+        if at[a] < len(own):
+            path.append(own[at[a]])
+            a = head[own[at[a]]]
+        elif path:
+            #: A dead end: the arc that led here is passed by.
+            a = head[path.pop() ^ 1]
+            at[a] += 1
+        else:
+            return True
 
 
 def sized(docs: DataFrame, sources: Column) -> DataFrame:
@@ -125,10 +161,15 @@ def mix(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = SEED) -
     patterns = sorted((tuple(r["pattern"]) for r in sums), key=lambda p: [(s is None, s or "") for s in p])
     size_of = {tuple(r["pattern"]): r["size"] for r in sums}
     names = sorted({s for p in patterns for s in p}, key=lambda s: (s is None, (s or "").encode("utf-32-be")))
-    sizes = [sum(size_of[p] for p in patterns if s in p) for s in names]
+    held = dict.fromkeys(names, 0)
+    for p in patterns:
+        for s in p:
+            held[s] += size_of[p]
+    sizes = [held[s] for s in names]
     wanted = targets(sizes, [weights[i % len(weights)] for i in range(len(names))])
     offers = [size_of[p] for p in patterns]
-    given = min_cost_flow(offers, [[names.index(s) for s in p] for p in patterns], [round(t) for t in wanted])
+    place = {s: i for i, s in enumerate(names)}
+    given = min_cost_flow(offers, [[place[s] for s in p] for p in patterns], [round(t) for t in wanted])
     plan = [(list(p), g // o if o else 0, g % o if o else 0) for p, o, g in zip(patterns, offers, given, strict=True)]
     plan = F.broadcast(spark.createDataFrame(plan, "pattern array<string>, rounds long, rest long"))
     shares = spark.createDataFrame(list(zip(names, sizes, wanted, strict=True)), "source string, source_size long, target double")
@@ -141,9 +182,15 @@ def mix(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = SEED) -
     sums = sums.select(F.col("pattern").alias("p"), F.col("order").alias("o"), "unit")
     dealt = dealt.join(sums, (F.col("order") == F.col("o")) & F.col("pattern").eqNullSafe(F.col("p")), "left").drop("p", "o")
     dealt = materialise(dealt.withColumn("unit", F.coalesce("unit", "size")), "mix")
-    #: Each pass lowers what is owed, for the first open document of a pattern fits.
-    while not dealt.filter(OPEN).isEmpty():
-        dealt = materialise(_fill(dealt), "mix")
+    #: Each pass lowers what is owed, for the first open document of a pattern fits. Only open rows are written again.
+    settled, still_open = [dealt.filter(f"not ({OPEN})")], dealt.filter(OPEN)
+    while not still_open.isEmpty():
+        filled = materialise(_fill(still_open), "mix")
+        settled.append(filled.filter(f"not ({OPEN})"))
+        still_open = filled.filter(OPEN)
+    dealt = reduce(DataFrame.unionByName, settled)
+    #: What a pattern owes in the end is the least that any of its rows was settled with.
+    dealt = _with(dealt, dealt.groupBy("pattern").agg(F.min("owed").alias("left"))).withColumn("owed", F.col("left")).drop("left")
     #: One more document comes as near as one can; the first in the seeded order among equals.
     miss = F.abs(F.col("owed") - F.col("unit"))
     filler = dealt.filter(~F.col("chosen") & (F.col("size") > 0) & (miss < F.col("owed"))).groupBy("pattern").agg(F.min(F.struct(miss.alias("miss"), F.col("order"))).alias("best"))
