@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.operators import order_stats
+
 # Cues of high values (good ones first), of signals and of trends, in the order they are told.
 GOOD_HIGH = {"ebitda_margin_pct": "healthy EBITDA margins", "interest_coverage": "strong interest coverage", "cash_to_borrowings": "cash buffers support debt service", "asset_turnover": "healthy asset turnover"}
 BAD_HIGH = {"debt_to_equity": "elevated leverage", "working_capital_days": "stretched working capital cycle", "receivables_days": "high receivable days", "inventory_days": "high inventory holding"}
@@ -38,7 +40,8 @@ def plan_gaps(plan: Column, peers: Column) -> dict[str, Column]:
 
 def quartiles(rows: DataFrame, metrics: list[str]) -> DataFrame:
     """One row with the upper quartile of each metric, `<metric>_q75`."""
-    return rows.agg(*(F.percentile(m, F.lit(0.75)).alias(f"{m}_q75") for m in metrics))
+    ranked = order_stats.ranked_values(order_stats.melted(rows, [], metrics), ["metric"])
+    return order_stats.wide(order_stats.quantiles(ranked, ["metric"], {"q75": 0.75}), metrics, "q75")
 
 
 def key_features(rows: DataFrame, n: int = 5) -> DataFrame:

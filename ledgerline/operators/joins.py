@@ -31,12 +31,25 @@ def prior_value(events: DataFrame, by: list[str], date: str, tie: str, value: st
     return events.withColumn(name, best[value]).withColumn(name + "_date", best[date])
 
 
-def asof_latest(left: DataFrame, left_id: list[str], left_date: str, right: DataFrame, key: str, right_date: str, tie: str, values: list[str]) -> DataFrame:
-    """Left rows with the newest right row of the same key strictly before their date (null if none)."""
-    r = right.select(F.col(key).alias("_key"), F.col(right_date).alias("_date"), F.struct(right_date, tie, *values).alias("_row"))
-    near = left.join(r, (F.col(key) == F.col("_key")) & (F.col("_date") < F.col(left_date)), "left")
-    picked = near.groupBy(*left_id, left_date).agg(F.max("_row").alias("_row"))
-    return picked.select(*left_id, left_date, *(F.col("_row")[v].alias(v) for v in values))
+def asof_latest(left: DataFrame, left_id: list[str], left_date: str, right: DataFrame, key: str, right_date: str, tie: str, values: list[str], bucket: str = "month") -> DataFrame:
+    """Left rows (one for each left_id and date) with the newest right row of the same key strictly before their date (null if none).
+
+    Both sides are put in one order within the buckets of time of their key, where the last right
+    row is carried on; what an earlier bucket ends with comes from a table of one row a key and
+    bucket. So a key of very many rows is split by its buckets, and no row meets all of its key.
+    """
+    row = F.struct(right_date, tie, *values)
+    known = right.filter(F.col(key).isNotNull() & F.col(right_date).isNotNull()).select(F.col(key).alias("_key"), F.col(right_date).cast("date").alias("_at"), row.alias("_row"))
+    asked = left.select(*left_id, left_date).distinct() if key in left_id else left.select(*left_id, left_date, key).distinct()
+    marks = asked.select(F.col(key).alias("_key"), F.col(left_date).cast("date").alias("_at"), F.struct(*left_id, left_date).alias("_left"))
+    both = marks.unionByName(known, allowMissingColumns=True).withColumn("_b", F.trunc("_at", bucket))
+    days = F.datediff(F.col("_at"), F.lit("1970-01-01").cast("date"))
+    earlier = Window.partitionBy("_key", "_b").orderBy(days).rangeBetween(Window.unboundedPreceding, -1)
+    within = both.withColumn("_within", F.max("_row").over(earlier)).filter("_left is not null")
+    before = Window.partitionBy("_key").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    ends = both.groupBy("_key", "_b").agg(F.max("_row").alias("_last")).withColumn("_carried", F.max("_last").over(before)).select("_key", "_b", "_carried")
+    found = within.join(ends, ["_key", "_b"], "left").withColumn("_found", F.coalesce("_within", "_carried"))
+    return found.select("_left.*", *(F.col("_found")[v].alias(v) for v in values))
 
 
 def nearest_by_ratio(targets: DataFrame, candidates: DataFrame, group: str, own: str, value: str, tie: list[str], n: int, base: float = 2.0) -> DataFrame:

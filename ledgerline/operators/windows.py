@@ -10,32 +10,41 @@ def history_features(window: DataFrame, by: list[str], metrics: list[str], date:
     """Per event: the newest value, avg3y, std3y, slope3y, delta1y and delta2y of each metric, depth and span.
 
     `window` holds `recency` (1 newest). Deltas look at non-null values only; averages,
-    deviations and slopes at the last three rows.
+    deviations and slopes at the last three rows. An event's periods are packed into one array, and
+    all metrics are read from it.
     """
-    out: list[Column] = [F.count("*").alias("depth"), F.datediff(F.max(date), F.min(date)).alias("span_days"), F.max(date).alias("matched_period")]
-    recent = F.col("recency") <= 3
-    index = {}
-    for m in metrics:
-        order = Window.partitionBy(*by).orderBy(F.col("recency").desc()).rowsBetween(Window.unboundedPreceding, 0)
-        index["_i_" + m] = F.when(recent & F.col(m).isNotNull(), F.count(F.when(recent, F.col(m))).over(order))
-    window = window.withColumns(index)
-    for m in metrics:
-        series = F.transform(F.array_sort(F.collect_list(F.when(F.col(m).isNotNull(), F.struct((-F.col("recency")).alias("o"), F.col(m).alias("v"))))), lambda x: x["v"])
-        last = F.try_element_at(series, F.lit(-1))
-        three = F.when(recent, F.col(m))
-        out += [
-            F.max(F.when(F.col("recency") == 1, F.col(m))).alias(m), F.avg(three).alias(m + "_avg3y"),
-            F.when(F.count(three) >= 2, F.stddev_pop(three)).alias(m + "_std3y"), F.when(F.count(three) >= 2, F.regr_slope(three, F.col("_i_" + m))).alias(m + "_slope3y"),
-            (last - F.try_element_at(series, F.lit(-2))).alias(m + "_delta1y"), (last - F.try_element_at(series, F.lit(-3))).alias(m + "_delta2y"),
-        ]
-    return window.groupBy(*by).agg(*out)
-
-
-def peer_position(rows: DataFrame, group: list[str], metric: str, name: str) -> DataFrame:
-    """Gap to the peers' median, and the share of non-null peers that are not above the value."""
-    own = Window.partitionBy(*group)
-    ranked = Window.partitionBy(*group, F.col(metric).isNotNull()).orderBy(metric)
-    return rows.withColumns({name + "_gap": F.col(metric) - F.percentile(F.col(metric), F.lit(0.5)).over(own), name + "_pctile": F.when(F.col(metric).isNotNull(), F.cume_dist().over(ranked))})
+    packed = F.array_sort(F.collect_list(F.struct((-F.col("recency")).alias("o"), *(F.col(m) for m in metrics))))
+    rows = window.groupBy(*by).agg(F.count("*").alias("depth"), F.datediff(F.max(date), F.min(date)).alias("span_days"), F.max(date).alias("matched_period"), packed.alias("_history"))
+    kept = [F.col(c) for c in (*by, "depth", "span_days", "matched_period")]
+    return rows.select(*kept, *(c for m in metrics for c in _metric("_history", m)))
+
+
+def _metric(history: str, m: str) -> list[Column]:
+    """The columns of one metric from an array of periods, the oldest first, with `o` at -1 for the newest."""
+    known = F.filter(F.transform(history, lambda x: x[m]), lambda v: v.isNotNull())
+    recent = F.filter(F.transform(F.filter(history, lambda x: x["o"] >= -3), lambda x: x[m]), lambda v: v.isNotNull())
+    n = F.size(recent)
+    total = lambda values: F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
+    mean = total(recent) / n
+    spread = F.transform(F.array(mean), lambda a: F.sqrt(total(F.transform(recent, lambda v: (v - a) * (v - a))) / n))[0]
+    last = F.try_element_at(known, F.lit(-1))
+    return [
+        F.get(F.filter(history, lambda x: x["o"] == -1), 0)[m].alias(m), F.when(n > 0, mean).alias(m + "_avg3y"), F.when(n >= 2, spread).alias(m + "_std3y"),
+        F.when(n >= 2, _slope(recent)).alias(m + "_slope3y"),
+        (last - F.try_element_at(known, F.lit(-2))).alias(m + "_delta1y"), (last - F.try_element_at(known, F.lit(-3))).alias(m + "_delta2y"),
+    ]
+
+
+def _slope(values: Column) -> Column:
+    """Least-squares slope over places 1, 2, 3 and so on, with means that follow the values, as regr_slope sums it."""
+
+    def step(s: Column, y: Column) -> Column:
+        n = s["n"] + 1
+        mean = s["mean"] + (y - s["mean"]) / n
+        return F.struct(n.alias("n"), mean.alias("mean"), (s["c"] + n / 2 * (y - mean)).alias("c"))
+
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("c"))
+    return F.aggregate(values, start, step, lambda s: s["c"] / (s["n"] * (s["n"] * s["n"] - 1) / 12))
 
 
 def growth_pct(current: Column, previous: Column) -> Column:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerline.operators import filters, joins, windows
+from ledgerline.operators import filters, joins, order_stats, windows
 from ledgerline.plans import panel
 from ledgerline.plans.panel import sql
+from ledgerline.session import materialise
 
 LAG_DAYS, PERIODS, PEERS = 90, 4, 25
 
@@ -29,18 +30,19 @@ SELECT company_id, year, {", ".join(f"round({m}, 6) AS {m}" for m in panel.METRI
 FROM financials WINDOW w AS (PARTITION BY company_id ORDER BY year)""")
 
 
-def aligned(spark: SparkSession, sf_dir: str, lag_days: int = LAG_DAYS) -> DataFrame:
-    """Eligible events with their window of periods."""
+def aligned(spark: SparkSession, sf_dir: str, lag_days: int = LAG_DAYS, financials: DataFrame | None = None) -> DataFrame:
+    """Eligible events with their window of periods. financials: the panel's statements, where the caller has them written."""
     events = filters.eligible(panel.rating_events(spark, sf_dir)).select("event_id", "company_id", "agency", "rating_date", "rating_rank")
-    periods = panel.financials(spark, sf_dir).select("company_id", "period_date", *panel.METRICS)
+    periods = (panel.financials(spark, sf_dir) if financials is None else financials).select("company_id", "period_date", *panel.METRICS)
     return joins.asof_window(events, periods, "company_id", "event_id", "rating_date", "period_date", lag_days, PERIODS)
 
 
 def q_rating_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The minimum slice: window features, peer position and prior ranks of every eligible event."""
     by = ["event_id", "company_id", "agency", "rating_date", "rating_rank"]
-    feats = windows.history_features(aligned(spark, sf_dir), by, ["revenue_crore", "debt_to_equity"], "period_date")
-    peers = windows.peer_position(panel.financials(spark, sf_dir).join(panel.companies(spark, sf_dir).select("company_id", "sub_industry"), "company_id"), ["sub_industry", "period_date"], "revenue_crore", "peer_revenue")
+    financials = materialise(panel.financials(spark, sf_dir), "financials")
+    feats = windows.history_features(aligned(spark, sf_dir, financials=financials), by, ["revenue_crore", "debt_to_equity"], "period_date")
+    peers = order_stats.peer_positions(financials.join(panel.companies(spark, sf_dir).select("company_id", "sub_industry"), "company_id"), ["company_id", "period_date"], ["sub_industry", "period_date"], {"revenue_crore": "peer_revenue"})
     feats = feats.join(peers.select("company_id", F.col("period_date").alias("matched_period"), "peer_revenue_gap", "peer_revenue_pctile"), ["company_id", "matched_period"], "left")
     feats = joins.prior_value(feats, ["company_id"], "rating_date", "event_id", "rating_rank", "prior_rank")
     feats = joins.prior_value(feats, ["company_id", "agency"], "rating_date", "event_id", "rating_rank", "prior_agency_rank")
@@ -147,8 +149,8 @@ FROM known WHERE known OR NOT any_known GROUP BY 1""",
 )
 
 
-def _episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    episodes = windows.forward_episodes(panel.financials(spark, sf_dir), "company_id", "period_date", "revenue_crore")
+def _episodes(spark: SparkSession, sf_dir: str, financials: DataFrame | None = None) -> DataFrame:
+    episodes = windows.forward_episodes(panel.financials(spark, sf_dir) if financials is None else financials, "company_id", "period_date", "revenue_crore")
     return episodes.join(panel.companies(spark, sf_dir).select("company_id", "sub_industry"), "company_id")
 
 
@@ -168,11 +170,12 @@ EPISODES = """ended AS (
 FORWARD_EPISODES_SQL = sql("SELECT company_id, sub_industry, start_date, end_date, round(start_value, 6) AS start_value, round(end_value, 6) AS end_value, round(years, 6) AS years, round(forward_cagr_pct, 6) AS forward_cagr_pct FROM episodes", EPISODES)
 
 
-def q_scale_peers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q_scale_peers(spark: SparkSession, sf_dir: str, financials: DataFrame | None = None) -> DataFrame:
     """Trajectory of the 25 peers nearest in scale (JOIN-10, TOP-3): medians over their episodes."""
-    targets = panel.financials(spark, sf_dir).groupBy("company_id").agg(F.max_by("revenue_crore", F.when(F.col("revenue_crore").isNotNull(), F.col("period_date"))).alias("start_value"))
+    financials = materialise(panel.financials(spark, sf_dir), "financials") if financials is None else financials
+    targets = financials.groupBy("company_id").agg(F.max_by("revenue_crore", F.when(F.col("revenue_crore").isNotNull(), F.col("period_date"))).alias("start_value"))
     targets = targets.join(panel.companies(spark, sf_dir).select("company_id", "sub_industry"), "company_id").withColumn("target", F.col("company_id"))
-    near = joins.nearest_by_ratio(targets, _episodes(spark, sf_dir), "sub_industry", "company_id", "start_value", ["start_date", "forward_cagr_pct"], PEERS)
+    near = joins.nearest_by_ratio(targets, _episodes(spark, sf_dir, financials), "sub_industry", "company_id", "start_value", ["start_date", "forward_cagr_pct"], PEERS)
     out = near.groupBy("target").agg(F.count("*").alias("n_peers"), F.max("in_band").alias("in_band"), F.percentile("forward_cagr_pct", F.lit(0.5)).alias("median_cagr"), F.max("distance").alias("farthest"))
     return r6(out, "median_cagr", "farthest")
 

@@ -14,6 +14,7 @@ from ledgerline.plans import panel
 from ledgerline.plans.document_queries import _action, _agency, _amount, _before, _long, _mood, _name, _short
 from ledgerline.plans.panel import sql
 from ledgerline.plans.parts import Part, cat, either, lit, number, pick
+from ledgerline.session import spread
 
 _lender = pick(("First Bank", "The Second and Third\nBanking Corporation", "Fourth Bank"), 5)
 _million = cat(number(9, 1), ",", number(90, 100), ".5")
@@ -38,7 +39,7 @@ TEXT = Part(*("(CASE event_id % 7 " + " ".join(f"WHEN {i} THEN {p[k]}" for i, p
 
 def layout_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(event_id, agency_key, company, text) of every rating event, in its agency's layout."""
-    return panel.rating_events(spark, sf_dir).select("event_id", F.expr(_agency.spark).alias("agency_key"), F.expr(_name.spark).alias("company"), F.expr(TEXT.spark).alias("text"))
+    return spread(panel.rating_events(spark, sf_dir).select("event_id")).select("event_id", F.expr(_agency.spark).alias("agency_key"), F.expr(_name.spark).alias("company"), F.expr(TEXT.spark).alias("text"))
 
 
 def q_agency_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

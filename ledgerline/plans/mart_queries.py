@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerline.operators import aggregates, filters, joins, sets, windows
+from ledgerline.operators import aggregates, filters, joins, order_stats, sets, windows
 from ledgerline.plans import panel
 from ledgerline.plans.features import r6
 from ledgerline.plans.panel import sql
@@ -138,8 +138,9 @@ WHERE company_id NOT IN (SELECT company_id FROM rating_events WHERE scale_type =
 def q_feature_quartiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-13, RSH-1: exact quartiles of every metric."""
     long = sets.long_series(panel.financials(spark, sf_dir), ["company_id", "year"], list(panel.METRICS))
-    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.75)))
-    return long.groupBy("metric_name").agg(q.alias("q"), F.count("*").alias("n")).select("metric_name", F.round(F.col("q")[0], 6).alias("q25"), F.round(F.col("q")[1], 6).alias("q75"), "n")
+    ranked = order_stats.ranked_values(long.filter("value is not null"), ["metric_name"])
+    found = order_stats.quantiles(ranked, ["metric_name"], {"q25": 0.25, "q75": 0.75})
+    return r6(found.join(ranked.groupBy("metric_name").agg(F.max("total").alias("n")), "metric_name"), "q25", "q75")
 
 
 FEATURE_QUARTILES_SQL = sql(f"SELECT metric_name, round(quantile_cont(value, 0.25), 6) AS q25, round(quantile_cont(value, 0.75), 6) AS q75, count(*) AS n FROM (UNPIVOT (SELECT {', '.join(panel.METRICS)} FROM financials) ON {', '.join(panel.METRICS)} INTO NAME metric_name VALUE value) GROUP BY 1")

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.operators import cues, documents, joins, windows
+from ledgerline.operators import cues, documents, joins, order_stats, windows
 from ledgerline.plans import features, panel
 from ledgerline.plans.document_queries import DOCS, rating_documents
 from ledgerline.plans.panel import sql
+from ledgerline.session import materialise
 
 PEER_METRICS = ("revenue_crore", "ebitda_margin_pct", "debt_to_equity", "interest_coverage", "working_capital_days")
 SUFFIXES = ("", "_avg3y", "_std3y", "_slope3y", "_delta1y", "_delta2y")
@@ -17,11 +18,11 @@ SUFFIXES = ("", "_avg3y", "_std3y", "_slope3y", "_delta1y", "_delta2y")
 def training_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every eligible event with its history of all metrics, peers, prior ranks, trends, document signals, context and plan."""
     by = ["event_id", "company_id", "agency", "rating_date", "rating_rank"]
-    rows = windows.history_features(features.aligned(spark, sf_dir), by, list(panel.METRICS), "period_date")
-    peers = panel.financials(spark, sf_dir).join(panel.companies(spark, sf_dir).select("company_id", "sub_industry"), "company_id")
-    for m in PEER_METRICS:
-        peers = windows.peer_position(peers, ["sub_industry", "period_date"], m, m)
-    peers = peers.select("company_id", F.col("period_date").alias("matched_period"), "sub_industry", *(f"{m}_{k}" for m in PEER_METRICS for k in ("gap", "pctile")))
+    financials = materialise(panel.financials(spark, sf_dir), "financials")
+    rows = windows.history_features(features.aligned(spark, sf_dir, financials=financials), by, list(panel.METRICS), "period_date")
+    own = financials.join(panel.companies(spark, sf_dir).select("company_id", "sub_industry"), "company_id")
+    peers = order_stats.peer_positions(own, ["company_id", "period_date"], ["sub_industry", "period_date"], {m: m for m in PEER_METRICS})
+    peers = peers.withColumnRenamed("period_date", "matched_period")
     rows = rows.join(peers, ["company_id", "matched_period"], "left")
     rows = joins.prior_value(rows, ["company_id"], "rating_date", "event_id", "rating_rank", "prior_rank").drop("prior_rank_date")
     rows = joins.prior_value(rows, ["company_id", "agency"], "rating_date", "event_id", "rating_rank", "prior_agency_rank").drop("prior_agency_rank_date")
@@ -30,7 +31,7 @@ def training_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     context = panel.context(spark, sf_dir).filter("score is not null")
     known = joins.asof_latest(rows.select("event_id", "company_id", "rating_date"), ["event_id", "company_id"], "rating_date", context.withColumnRenamed("event_id", "context_id"), "company_id", "as_of", "context_id", ["score"])
     rows = rows.join(known.select("event_id", F.col("score").alias("context_score")), "event_id")
-    peers_at_scale = features.q_scale_peers(spark, sf_dir).select(F.col("target").alias("company_id"), F.col("median_cagr").alias("scale_peer_cagr"))
+    peers_at_scale = features.q_scale_peers(spark, sf_dir, financials).select(F.col("target").alias("company_id"), F.col("median_cagr").alias("scale_peer_cagr"))
     plan = (F.col("event_id") % 41 - 8).cast("double")
     rows = rows.join(peers_at_scale, "company_id", "left").withColumns(cues.trends()).withColumns(cues.plan_gaps(plan, F.col("scale_peer_cagr")))
     flags = sum((F.col(s).cast("int") for s in documents.SIGNALS), F.lit(0))
@@ -75,7 +76,8 @@ TRAINING_SET_SQL = sql("SELECT * REPLACE (" + ", ".join(f"round({c} + {NUDGE}::D
 
 def q_key_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ML-11: the first five cues of every training row."""
-    out = cues.key_features(training_set(spark, sf_dir))
+    #: The quartiles are a second reading of the rows.
+    out = cues.key_features(materialise(training_set(spark, sf_dir), "training"))
     return out.select("event_id", F.array_join("key_features", "; ").alias("key_features"))
 
 
