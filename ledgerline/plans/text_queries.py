@@ -167,4 +167,26 @@ EVENT_INGEST_SQL = """
 SELECT user_id, arg_max(event_id, (ts, event_id)) FILTER (WHERE event_type <> 'error') AS event_id, arg_max(event_type, (ts, event_id)) FILTER (WHERE event_type <> 'error') AS event_type,
   arg_max(value, (ts, event_id)) FILTER (WHERE event_type <> 'error') AS value, count(*) FILTER (WHERE event_type = 'error') AS n_errors FROM events GROUP BY 1"""
 
-QUERIES = {"adverse_mentions": (q_adverse_mentions, ADVERSE_MENTIONS_SQL), "outlook_scores": (q_outlook_scores, OUTLOOK_SCORES_SQL), "signal_rates": (q_signal_rates, SIGNAL_RATES_SQL), "top_phrases": (q_top_phrases, TOP_PHRASES_SQL), "line_records": (q_line_records, LINE_RECORDS_SQL), "contact_points": (q_contact_points, CONTACT_POINTS_SQL), "page_links": (q_page_links, PAGE_LINKS_SQL), "name_decisions": (q_name_decisions, NAME_DECISIONS_SQL), "candidate_decisions": (q_candidate_decisions, None), "fuzzy_names": (q_fuzzy_names, None), "event_ingest": (q_event_ingest, EVENT_INGEST_SQL)}
+#: Files of the stream, width of its windows and how late a row may come.
+STREAM_FILES, STREAM_WIDTH, STREAM_LATE = 4, "1 day", "6 hours"
+
+
+def q_event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STRM-1: events by day and type from a stream of several files, in which rows come twice and far too late."""
+    events = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    first, last = events.agg(F.min(F.col("ts").cast("double")), F.max(F.col("ts").cast("double"))).first()
+    target = f"{scratch(spark)}/stream-{uuid.uuid4().hex}"
+    part = F.least(F.floor((F.col("ts").cast("double") - first) / ((last - first) / STREAM_FILES)), F.lit(STREAM_FILES - 1)) if last != first else F.lit(0)
+    dealt = events.withColumn("part", part)
+    for number in range(STREAM_FILES):
+        #: A file repeats a part of what it holds, and the last one also rows of the first, which come too late.
+        own, again = F.col("part") == number, (F.col("part") == (0 if number == STREAM_FILES - 1 else number)) & (F.col("event_id") % 3 == 0)
+        dealt.filter(own).unionAll(dealt.filter(again)).drop("part").coalesce(1).write.mode("append").parquet(f"{target}/source")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{target}/source")
+    return ingest.run_to_end(ingest.counted_once(stream, "event_id", "ts", "event_type", STREAM_WIDTH, STREAM_LATE), target)
+
+
+EVENT_STREAM_SQL = """SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n FROM events
+WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 6 HOUR GROUP BY 1, 2"""
+
+QUERIES = {"adverse_mentions": (q_adverse_mentions, ADVERSE_MENTIONS_SQL), "outlook_scores": (q_outlook_scores, OUTLOOK_SCORES_SQL), "signal_rates": (q_signal_rates, SIGNAL_RATES_SQL), "top_phrases": (q_top_phrases, TOP_PHRASES_SQL), "line_records": (q_line_records, LINE_RECORDS_SQL), "contact_points": (q_contact_points, CONTACT_POINTS_SQL), "page_links": (q_page_links, PAGE_LINKS_SQL), "name_decisions": (q_name_decisions, NAME_DECISIONS_SQL), "candidate_decisions": (q_candidate_decisions, None), "fuzzy_names": (q_fuzzy_names, None), "event_ingest": (q_event_ingest, EVENT_INGEST_SQL), "event_stream": (q_event_stream, EVENT_STREAM_SQL)}

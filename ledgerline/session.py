@@ -31,10 +31,13 @@ def scratch(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's setting, else one set here.
 
     A local session gets a temporary folder; on a cluster it is one in the warehouse, which all share.
+    A warehouse on the local disk of each machine is refused there.
     """
     folder = spark.conf.get(_CHECKPOINT, None)
     if not folder:
         local = spark.sparkContext.master.split("[")[0] == "local"
+        if not local and spark.conf.get("spark.sql.warehouse.dir").split(":/")[0] in ("file", ""):
+            raise ValueError(f"set {_CHECKPOINT} to a folder that driver and executors share; the warehouse is local to each machine")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-") if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch-{spark.sparkContext.applicationId}"
         spark.conf.set(_CHECKPOINT, folder)
     return folder.rstrip("/")

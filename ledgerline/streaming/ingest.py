@@ -39,3 +39,21 @@ def failures(spark: SparkSession, target: str) -> DataFrame:
 def windowed_counts(stream: DataFrame, time: str, by: str, width: str, late: str) -> DataFrame:
     """Counts per window and group of a stream; rows later than `late` are left out."""
     return stream.withWatermark(time, late).groupBy(F.window(time, width), by).count()
+
+
+def counted_once(stream: DataFrame, key: str, time: str, by: str, width: str, late: str) -> DataFrame:
+    """(start, by, n): rows of a stream by window, a row that comes again counted once.
+
+    A key is remembered for as long as a repetition may come (`late` behind the newest row seen in
+    an earlier batch); a row older than that is left out, be it new or a repetition. A window is given
+    once, when no row of it can come any more. State holds the keys of that span and the open windows.
+    """
+    once = stream.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
+    return once.groupBy(F.window(time, width), by).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), by, "n")
+
+
+def run_to_end(stream: DataFrame, target: str) -> DataFrame:
+    """Work a stream off, batch by batch, into files that appear when their batch stands; what was written so far."""
+    query = stream.writeStream.format("parquet").option("path", f"{target}/closed").option("checkpointLocation", f"{target}/checkpoint").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{target}/closed")

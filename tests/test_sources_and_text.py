@@ -1,5 +1,6 @@
 """Sources, sinks, the stream, grouped lines and name matching on small fixtures."""
 
+import datetime as dt
 import json
 import random
 from difflib import SequenceMatcher
@@ -7,6 +8,7 @@ from difflib import SequenceMatcher
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerline import session
 from ledgerline.operators import names, sinks, texts
 from ledgerline.sources import scans
 from ledgerline.streaming import ingest
@@ -184,3 +186,36 @@ def test_candidate_decisions_by_hand(spark):
         "Tata Steel Ltd": ("Tata Steel", 1.0, got["Tata Steel Ltd", "Tata Motors"], "matched"),
         "Sun Pharma": (None, 1.0, 0.95, "ambiguous"), "Abc Ltd": ("ABC LTD", 1.0, got["Abc Ltd", "Xyz"], "matched"), "Two": (None, 1.0, 1.0, "ambiguous"), "None": (None, 0.0, 0.0, "no_results"),
     }
+
+
+def test_stream_counts_once_and_leaves_late_rows_out(spark, tmp_path):
+    at = lambda text: dt.datetime.fromisoformat(f"2024-05-{text}")
+    batches = [
+        [(1, at("01T01:00"), "a"), (1, at("01T01:00"), "a"), (2, at("01T23:00"), "b")],
+        [(1, at("01T01:00"), "a"), (3, at("02T12:00"), "a"), (4, at("01T20:00"), "b")],
+        [(5, at("01T02:00"), "a"), (6, at("03T12:00"), "b"), (3, at("02T12:00"), "a")],
+    ]
+    source, target = f"file://{tmp_path}/source", f"file://{tmp_path}/out"
+    schema = "id int, at timestamp, kind string"
+    counts = lambda: ingest.counted_once(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source), "id", "at", "kind", "1 day", "6 hours")
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        out = ingest.run_to_end(counts(), target)
+    #: Event 4 comes within six hours of the newest row before it, event 5 far behind; the third day isn't closed.
+    assert sorted((r["start"].day, r["kind"], r["n"]) for r in out.collect()) == [(1, "a", 1), (1, "b", 2), (2, "a", 1)]
+    assert ingest.run_to_end(counts(), target).count() == 3
+
+
+def test_scratch_refuses_a_warehouse_of_each_machine():
+    class Conf(dict):
+        def set(self, k, v):
+            self[k] = v
+
+    class Session:
+        conf = Conf({"spark.sql.warehouse.dir": "file:/tmp/w"})
+        sparkContext = type("C", (), {"master": "spark://host:7077", "applicationId": "app"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.scratch(Session)
+    Session.conf["spark.sql.warehouse.dir"] = "hdfs://n/w"
+    assert session.scratch(Session) == "hdfs://n/w/_scratch-app"
