@@ -188,7 +188,9 @@ def mix(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = SEED) -
         filled = materialise(_fill(still_open), "mix")
         settled.append(filled.filter(f"not ({OPEN})"))
         still_open = filled.filter(OPEN)
-    dealt = reduce(DataFrame.unionByName, settled)
+    #: One table of few files again: plans and tasks of the last steps don't grow with the passes.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = materialise(reduce(DataFrame.unionByName, settled).coalesce(parts), "mix")
     #: What a pattern owes in the end is the least that any of its rows was settled with.
     dealt = _with(dealt, dealt.groupBy("pattern").agg(F.min("owed").alias("left"))).withColumn("owed", F.col("left")).drop("left")
     #: One more document comes as near as one can; the first in the seeded order among equals.
