@@ -49,59 +49,47 @@ def grow(x: np.ndarray, y: np.ndarray, weight: np.ndarray, trees: int, rng: np.r
     parts: dict[str, list[np.ndarray]] = {k: [] for k in ("feature", "threshold", "left", "slot", "value")}
     base = slots = 0
     while len(row):
-        #: Arrays by feature and row, or by feature and node; the rows of a node lie together.
         count = len(tree)
-        heads = np.searchsorted(node, np.arange(count))
-        size = np.diff(np.append(heads, len(row)))
-        own, ye, we = columns[:, row], y[row], weight[row]
-        low, high = np.minimum.reduceat(own, heads, 1), np.maximum.reduceat(own, heads, 1)
+        size = np.bincount(node, minlength=count)
+        label = y[row]
         if classes:
-            cell = node * classes + ye
-            whole = np.bincount(cell, we, count * classes).reshape(count, classes)
+            cell = node * classes + label
+            whole = np.bincount(cell, weight[row], count * classes).reshape(count, classes)
             total = whole.sum(1)
             mixed = (whole > 0).sum(1) > 1
             stay = (whole**2).sum(1) / total
         else:
-            whole, total = np.bincount(node, ye, count)[:, None], size.astype(float)
-            mixed = np.maximum.reduceat(ye, heads) > np.minimum.reduceat(ye, heads)
+            heads = np.searchsorted(node, np.arange(count))
+            whole, total = np.bincount(node, label, count)[:, None], size.astype(float)
+            mixed = np.maximum.reduceat(label, heads) > np.minimum.reduceat(label, heads)
             stay = whole[:, 0] ** 2 / total
-        usable = high > low
-        chosen = np.broadcast_to(np.arange(p)[:, None], (p, count))
-        if candidates < p:
-            order = np.where(usable, rng.random((p, count)), 2.0)
-            chosen = np.argpartition(order, candidates - 1, 0)[:candidates]
-            usable = np.take_along_axis(order, chosen, 0) < 2
-            low, high = np.take_along_axis(low, chosen, 0), np.take_along_axis(high, chosen, 0)
-            own = own[chosen[:, node], np.arange(len(row))]
-        cut = (low + rng.random(low.shape, np.float32) * (high - low)).astype(np.float32)
-        cut = np.where(cut < high, cut, low)
-        goes = own <= cut[:, node]
-        number = np.stack([np.bincount(node, g, count) for g in goes])
-        with np.errstate(divide="ignore", invalid="ignore"):
-            if classes:
-                lefts = np.stack([np.bincount(cell[g], we[g], count * classes).reshape(count, classes) for g in goes])
-                score = (lefts**2).sum(2) / lefts.sum(2) + ((whole - lefts) ** 2).sum(2) / (whole - lefts).sum(2)
-            else:
-                lefts = np.stack([np.bincount(node, g * ye, count) for g in goes])
-                score = lefts**2 / number + (whole[:, 0] - lefts) ** 2 / (size - number)
-        score = np.where(usable & (number >= least) & (size - number >= least), score, -np.inf)
-        best = score.argmax(0)
-        at = np.arange(count)
-        split = mixed & np.isfinite(score[best, at])
-        feature = np.where(split, chosen[best, at], -1).astype(np.int32)
-        np.add.at(gained, (tree[split], feature[split]), (score[best, at] - stay)[split])
+        #: Most nodes of the deeper levels are leaves already; the others are worked on.
+        mixed &= size >= 2 * least
+        split, feature, threshold = np.zeros(count, bool), np.full(count, -1, np.int32), np.zeros(count, np.float32)
+        opened = np.flatnonzero(mixed)
+        row, node = row[mixed[node]], node[mixed[node]]
+        if len(opened):
+            own = (np.cumsum(mixed) - 1)[node]
+            chosen, cut, score, goes = _splits(columns, row, own, y, weight, whole[opened], size[opened], rng, candidates, least, classes)
+            best, at = score.argmax(0), np.arange(len(opened))
+            good = np.isfinite(score[best, at])
+            split[opened], feature[opened], threshold[opened] = good, np.where(good, chosen[best, at], -1), np.where(good, cut[best, at], 0)
+            np.add.at(gained, (tree[split], feature[split]), score[best, at][good] - stay[split])
+            left = goes[best[own], np.arange(len(own))]
         rank = np.cumsum(split) - 1
+        leaf = ~split
         parts["feature"].append(feature)
-        parts["threshold"].append(np.where(split, cut[best, at], 0).astype(np.float32))
+        parts["threshold"].append(threshold)
         parts["left"].append(np.where(split, base + count + 2 * rank, 0).astype(np.int32))
-        leaf = ~split
         parts["slot"].append(np.where(leaf, slots + np.cumsum(leaf) - 1, 0).astype(np.int32))
         parts["value"].append((whole / total[:, None])[leaf].astype(np.float32))
         slots += int(leaf.sum())
         base += count
         tree = np.repeat(tree[split], 2)
         on = split[node]
-        child = (2 * rank[node] + ~goes[best[node], np.arange(len(node))])[on]
+        if not on.any():
+            break
+        child = (2 * rank[node] + ~left)[on]
         order = np.argsort(child, kind="stable")
         row, node = row[on][order], child[order]
     width = max(classes, 1)
@@ -109,6 +97,39 @@ def grow(x: np.ndarray, y: np.ndarray, weight: np.ndarray, trees: int, rng: np.r
     return nodes, gained
 
 
+def _splits(columns, row, node, y, weight, whole, size, rng, candidates, least, classes) -> tuple[np.ndarray, ...]:
+    """Candidate features of each node, their random thresholds, the scores of the splits, and which rows go left.
+
+    Arrays are by candidate and node, or by candidate and row; the rows of a node lie together.
+    """
+    p, count = len(columns), len(size)
+    heads = np.searchsorted(node, np.arange(count))
+    own = columns[:, row]
+    low, high = np.minimum.reduceat(own, heads, 1), np.maximum.reduceat(own, heads, 1)
+    usable = high > low
+    chosen = np.broadcast_to(np.arange(p)[:, None], (p, count))
+    if candidates < p:
+        order = np.where(usable, rng.random((p, count)), 2.0)
+        chosen = np.argpartition(order, candidates - 1, 0)[:candidates]
+        usable = np.take_along_axis(order, chosen, 0) < 2
+        low, high = np.take_along_axis(low, chosen, 0), np.take_along_axis(high, chosen, 0)
+        own = own[chosen[:, node], np.arange(len(row))]
+    cut = (low + rng.random(low.shape, np.float32) * (high - low)).astype(np.float32)
+    cut = np.where(cut < high, cut, low)
+    goes = own <= cut[:, node]
+    number = np.stack([np.bincount(node, g, count) for g in goes])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        if classes:
+            cell, some = node * classes + y[row], weight[row]
+            lefts = np.stack([np.bincount(cell[g], some[g], count * classes).reshape(count, classes) for g in goes])
+            score = (lefts**2).sum(2) / lefts.sum(2) + ((whole - lefts) ** 2).sum(2) / (whole - lefts).sum(2)
+        else:
+            label = y[row]
+            lefts = np.stack([np.bincount(node, g * label, count) for g in goes])
+            score = lefts**2 / number + (whole[:, 0] - lefts) ** 2 / (size - number)
+    return chosen, cut, np.where(usable & (number >= least) & (size - number >= least), score, -np.inf), goes
+
+
 def predict(nodes: dict[str, np.ndarray], trees: int, x: np.ndarray) -> np.ndarray:
     """Sum over the trees of the values of the leaves that each row falls into."""
     at = np.tile(np.arange(trees), (len(x), 1))
