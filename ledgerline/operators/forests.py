@@ -234,7 +234,9 @@ def train(samples: DataFrame, width: int, classes: int, trees: int = TREES, regr
     blocks = [(b, min(BLOCK, trees - b * BLOCK)) for b in range(-(-trees // BLOCK))]
     jobs = F.array(*(F.struct(F.lit(kind).alias("kind"), F.lit(b).alias("block"), F.lit(n).alias("trees")) for b, n in blocks for kind in (CLASSIFIER, REGRESSOR)))
     dealt = samples.select("model", "row_key", "label", "numbers", "kinds", F.explode(jobs).alias("job")).select("*", "job.*").drop("job")
-    return dealt.groupBy("model", "kind", "block", "trees").applyInArrow(_trainer(width, classes, regressor_rows), _MODEL)
+    #: A stated number of tasks: adaptive execution goes by bytes and would put all of these few, costly rows into one.
+    tasks = 4 * samples.sparkSession.sparkContext.defaultParallelism
+    return dealt.repartition(tasks, "model", "kind", "block", "trees").groupBy("model", "kind", "block", "trees").applyInArrow(_trainer(width, classes, regressor_rows), _MODEL)
 
 
 def _load(blob: bytes) -> tuple[dict[str, np.ndarray], Design]:
@@ -299,7 +301,8 @@ def score(rows: DataFrame, models: DataFrame, model: str, numeric: list[str], ca
     asked = rows.select(F.col(model).cast("string").alias("model"), F.pmod(F.xxhash64(*rows.columns), F.lit(copies)).cast("int").alias("copy"), F.struct(*rows.columns).alias("row"), *inputs(numeric, categorical))
     shape = asked.select("row").schema["row"].dataType.simpleString()
     held = models.select("model", "kind", "block", "trees", "data", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"))
-    stream = held.unionByName(asked, allowMissingColumns=True).repartition("model", "copy").sortWithinPartitions("model", "copy", F.col("data").isNull(), "kind", "block")
+    tasks = max(copies, 2 * rows.sparkSession.sparkContext.defaultParallelism)
+    stream = held.unionByName(asked, allowMissingColumns=True).repartition(tasks, "model", "copy").sortWithinPartitions("model", "copy", F.col("data").isNull(), "kind", "block")
     out = stream.mapInArrow(_scorer(len(numeric), classes), f"row {shape}, shares array<double>, rank_prediction double")
     return out.select("row.*", "shares", "rank_prediction")
 
