@@ -15,6 +15,8 @@ from ledgerline.functions.scalars import name_tokens, normalise_code, normalise_
 LEAST, GRAM = 0.72, 3
 #: The least ratio of names without a common token: their score is 0.8 times the ratio, rounded to four places.
 _RATIO = (LEAST - 0.00005) / 0.8
+#: The least share of common tokens of names below that ratio: their score is 0.45 times the share and at most 0.55.
+_SHARE = (LEAST - 0.00005 - 0.55) / 0.45
 
 
 @F.pandas_udf(DoubleType())
@@ -43,6 +45,47 @@ def token_pairs(queries: DataFrame, query_key: str, query_name: str, known: Data
     return shared.unionByName(bare)
 
 
+def _by_rarity(rows: DataFrame, side: str, counts: DataFrame) -> DataFrame:
+    """`rows` with `ranked`, their tokens from the rarest of the known names' to the commonest, and `n`, how many."""
+    own = [f"{side}_id", f"{side}_name", f"{side}_tokens"]
+    each = rows.distinct().select(*own, F.explode(f"{side}_tokens").alias("token")).join(counts, "token", "left")
+    ranked = each.groupBy(*own).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "token"))).alias("ranked"))
+    return ranked.select(*own, F.col("ranked.token").alias(f"{side}_ranked"), F.size("ranked").alias(f"{side}_n"))
+
+
+def _prefixes(rows: DataFrame, side: str, own: str, other: str) -> DataFrame:
+    """Each name under the tokens by which names of m tokens find it, for every m that can share _SHARE with its n.
+
+    Two such names share at least o = _SHARE / (1 + _SHARE) * (n + m) tokens, so the rarest token
+    that they share is among the n - o + 1 rarest of one and the m - o + 1 rarest of the other.
+    """
+    n, tokens = F.col(f"{side}_n"), F.col(f"{side}_ranked")
+    partners = F.sequence(F.ceil(_SHARE * n - 1e-9).cast("int"), F.floor(n / _SHARE + 1e-9).cast("int"))
+    least = lambda m: F.ceil(_SHARE / (1 + _SHARE) * (n + m) - 1e-9).cast("int")
+    keys = F.transform(partners, lambda m: F.transform(F.slice(tokens, F.lit(1), F.greatest(F.lit(0), n - least(m) + 1)), lambda t: F.struct(m.alias("m"), t.alias("token"))))
+    found = rows.withColumn("_key", F.explode(F.flatten(keys)))
+    return found.select(*rows.columns, F.col("_key.token").alias("token"), n.alias(own), F.col("_key.m").alias(other))
+
+
+def close_token_pairs(queries: DataFrame, query_key: str, query_name: str, known: DataFrame, known_key: str, known_name: str) -> DataFrame:
+    """Pairs of names that share _SHARE of their tokens or more, each once, and equal names of legal suffixes only.
+
+    A pair is found at the rarest token it shares. A word that most names hold comes last in every
+    name, so that names meet under it only where it makes up most of one of them.
+    """
+    q, k = _prepared(queries, query_key, query_name, "q"), _prepared(known, known_key, known_name, "k")
+    counts = k.select(F.explode("k_tokens").alias("token")).groupBy("token").count()
+    left, right = _prefixes(_by_rarity(q, "q", counts), "q", "_nq", "_nk"), _prefixes(_by_rarity(k, "k", counts), "k", "_nk", "_nq")
+    first = F.get(F.array_intersect("q_ranked", "k_ranked"), F.lit(0))
+    shared = left.join(right, ["token", "_nq", "_nk"]).filter((F.col("token") == first) & ~_few_shared())
+    bare = q.filter("size(q_tokens) = 0").join(k.filter("size(k_tokens) = 0"), F.col("q_name") == F.col("k_name"))
+    return shared.select(*bare.columns).unionByName(bare)
+
+
+def _few_shared() -> Column:
+    return _overlap() < _SHARE * F.size(F.array_union("q_tokens", "k_tokens")) - 1e-9
+
+
 def _grams(name: Column, size: int) -> Column:
     places = F.sequence(F.lit(1), F.length(name) - (size - 1))
     found = F.transform(places, lambda i: F.substring(name, i, F.lit(size)))
@@ -74,15 +117,16 @@ def _looked_up(rows: DataFrame, side: str, counts: DataFrame) -> DataFrame:
 def candidate_pairs(queries: DataFrame, query_key: str, query_name: str, known: DataFrame, known_key: str, known_name: str) -> DataFrame:
     """All pairs of names that can score LEAST or more in `fuzzy_matches`, each once.
 
-    Besides the pairs of `token_pairs`: names inside one another, found at the rarest gram of the
-    inner one, and names of a ratio of _RATIO or more, found at rare grams of both. Grams are of 37
-    characters, so their counts (37^3 rows at most) are broadcast.
+    Besides the pairs of `close_token_pairs`: names inside one another, found at the rarest gram of
+    the inner one, and names of a ratio of _RATIO or more, found at rare grams of both. Grams are of
+    37 characters, so their counts (37^3 rows at most) are broadcast.
     """
     args = (queries, query_key, query_name, known, known_key, known_name)
     q, k = _prepared(queries, query_key, query_name, "q"), _prepared(known, known_key, known_name, "k")
     counts = k.select(F.explode(_grams(F.col("k_name"), GRAM)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
     q, k = _looked_up(q, "q", counts), _looked_up(k, "k", counts)
-    apart = ~F.arrays_overlap("q_tokens", "k_tokens") & (F.col("q_name") != F.col("k_name"))
+    none = F.size(F.array_union("q_tokens", "k_tokens")) == 0
+    apart = (none | _few_shared()) & (F.col("q_name") != F.col("k_name"))
     k_in_q, q_in_k = F.contains("q_name", "k_name"), F.contains("k_name", "q_name")
     inner_k = q.withColumn("part", F.explode("q_parts")).join(k, F.col("part") == F.col("k_key")).filter(apart & k_in_q)
     inner_q = k.withColumn("part", F.explode("k_parts")).join(q, F.col("part") == F.col("q_key")).filter(apart & q_in_k)
@@ -90,7 +134,7 @@ def candidate_pairs(queries: DataFrame, query_key: str, query_name: str, known:
     near = near.filter(apart & ~k_in_q & ~q_in_k & (F.col("gram") == F.array_min(F.array_intersect("q_rare", "k_rare"))))
     #: The Levenshtein distance is never above the characters left out and put in.
     near = near.filter(F.levenshtein("q_name", "k_name") <= (1 - _RATIO) * (F.length("q_name") + F.length("k_name")) + 1e-9)
-    pairs = token_pairs(*args)
+    pairs = close_token_pairs(*args)
     for more in (inner_k, inner_q, near):
         pairs = pairs.unionByName(more.select(*pairs.columns))
     return pairs

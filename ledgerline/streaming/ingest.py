@@ -11,25 +11,49 @@ def _latest(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(F.struct(*kept), F.struct(*order)).alias("_row")).select(key, "_row.*")
 
 
-def ingest_latest(spark: SparkSession, source: str, schema, key: str, order: list[str], target: str, valid: str = "true") -> None:
-    """Read new files of `source` and append, per batch, the latest valid row of each key; the rest go to failures.
+#: Batches after which the latest rows of all keys are written as one table.
+COMPACT = 16
+
+
+def _compacted(spark: SparkSession, target: str, below: int | None = None) -> int:
+    """The last batch of the newest whole table of all keys, one of a batch under `below`; -1 without any."""
+    jvm = spark.sparkContext._jvm
+    mark = jvm.org.apache.hadoop.fs.Path(f"{target}/current/through=*/_SUCCESS")
+    found = mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(mark) or []
+    numbers = [int(f.getPath().getParent().getName().split("=")[1]) for f in found]
+    return max((n for n in numbers if below is None or n < below), default=-1)
+
+
+def ingest_latest(spark: SparkSession, source: str, schema, key: str, order: list[str], target: str, valid: str = "true", files: int = 1000, compact: int = COMPACT) -> None:
+    """Read new files of `source`, `files` a batch, and append the latest valid row of each key; the rest go to failures.
 
     A repeated batch overwrites its own folder, so a restart after a lost driver changes nothing.
+    Every `compact` batches the keys' latest rows are written as one table, so that `latest` reads
+    that and the batches since, however many there were.
     """
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1000).parquet(source)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source)
 
     def save(batch: DataFrame, number: int) -> None:
         good = F.coalesce(F.expr(valid), F.lit(False))
         _latest(batch.filter(good), key, order).write.mode("overwrite").parquet(f"{target}/latest/batch={number}")
         batch.filter(~good).write.mode("overwrite").parquet(f"{target}/failures/batch={number}")
+        if number % compact == compact - 1:
+            _since(batch.sparkSession, target, key, order, _compacted(batch.sparkSession, target, number)).write.mode("overwrite").parquet(f"{target}/current/through={number}")
 
     query = stream.writeStream.foreachBatch(save).option("checkpointLocation", f"{target}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
 
 
 def latest(spark: SparkSession, target: str, key: str, order: list[str]) -> DataFrame:
-    """The latest row of each key over all batches."""
-    return _latest(spark.read.parquet(f"{target}/latest").drop("batch"), key, order)
+    """The latest row of each key over all batches: the last table of all keys and the batches after it."""
+    return _since(spark, target, key, order, _compacted(spark, target))
+
+
+def _since(spark: SparkSession, target: str, key: str, order: list[str], through: int) -> DataFrame:
+    rows = spark.read.parquet(f"{target}/latest").filter(F.col("batch") > through).drop("batch")
+    if through >= 0:
+        rows = rows.unionByName(spark.read.parquet(f"{target}/current/through={through}"))
+    return _latest(rows, key, order)
 
 
 def failures(spark: SparkSession, target: str) -> DataFrame:

@@ -219,3 +219,41 @@ def test_scratch_refuses_a_warehouse_of_each_machine():
         session.scratch(Session)
     Session.conf["spark.sql.warehouse.dir"] = "hdfs://n/w"
     assert session.scratch(Session) == "hdfs://n/w/_scratch-app"
+
+
+def test_ingest_reads_the_last_table_and_what_came_since(spark, tmp_path):
+    source, target, schema = f"file://{tmp_path}/source", f"file://{tmp_path}/out", "k int, at int, v string"
+    for at in range(5):
+        spark.createDataFrame([(1, at, f"a{at}"), (10 + at, at, "once"), (2, 9 - at, f"b{9 - at}")], schema).coalesce(1).write.mode("append").parquet(source)
+    ingest.ingest_latest(spark, source, schema, "k", ["at"], target, files=1, compact=2)
+    want = [(1, 4, "a4"), (2, 9, "b9"), *((10 + at, at, "once") for at in range(5))]
+    assert rows(ingest.latest(spark, target, "k", ["at"])) == sorted(want)
+    assert sorted(p.name for p in (tmp_path / "out" / "current").iterdir()) == ["through=1", "through=3"]
+    #: Batches that a table holds aren't read again.
+    read = ingest.latest(spark, target, "k", ["at"]).inputFiles()
+    assert not any(f"latest/batch={n}/" in f for f in read for n in range(4)) or ingest._compacted(spark, target) == 3
+
+
+def test_fuzzy_names_with_a_word_in_every_name(spark):
+    rng = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda: "".join(rng.choice(letters) for _ in range(rng.randint(4, 9)))
+    known = sorted({f"{word()} india" for _ in range(300)} | {f"{word()} {word()} india" for _ in range(200)} | {f"{word()} {word()} india group" for _ in range(100)} | {"india", "india group"})
+    asked = sorted({f"{word()} india" for _ in range(150)} | {k.replace("india", "indian") for k in rng.sample(known, 40)} | {k.replace(" ", " new ", 1) for k in rng.sample(known, 40)} | {k[1:].strip() for k in rng.sample(known, 40)} | {"group india", "india x", "ndia"})
+    stop = set("limited ltd private pvt company co corporation corp incorporated inc llp plc the".split())
+    want = {}
+    for a in asked:
+        scored = []
+        for b in known:
+            left, right = set(a.split()) - stop, set(b.split()) - stop
+            ratio = SequenceMatcher(None, a, b).ratio()
+            score = 1.0 if a == b else 0.93 if a in b or b in a else round(max(0.45 * len(left & right) / max(len(left | right), 1) + 0.55 * ratio, 0.8 * ratio), 4)
+            if score >= 0.72:
+                scored.append((-score, b))
+        if scored:
+            want[a] = (min(scored)[1], -min(scored)[0])
+    q, k = spark.createDataFrame([(x,) for x in asked], "n string"), spark.createDataFrame([(x,) for x in known], "n string")
+    pairs = names.candidate_pairs(q, "n", "n", k, "n", "n").cache()
+    #: Each pair once, and far from all pairs, though one word is in all names.
+    assert pairs.count() == pairs.select("q_id", "k_id").distinct().count() < 8 * (len(asked) + len(known))
+    assert {r["q_id"]: (r["k_id"], r["score"]) for r in names.fuzzy_matches(pairs).collect()} == want
