@@ -21,6 +21,14 @@ SIGNAL_CUES = {
 TREND_CUES = {
     "profitability_trend_positive": "profitability improving", "leverage_trend_improving": "leverage improving", "coverage_trend_improving": "coverage improving", "working_capital_trend_improving": "working capital cycle improving",
 }
+#: (column, rule, text); a cue whose column the rows don't hold isn't told.
+LATE_CUES = (
+    ("depth", "depth >= 3", "multi-year financial history available"), ("prior_agency_rank", "prior_agency_rank > 0", "past agency rating available"), ("interest_coverage_pctile", "interest_coverage_pctile >= 0.75", "coverage stronger than industry median"),
+    ("ebitda_margin_pct_pctile", "ebitda_margin_pct_pctile >= 0.75", "margins stronger than industry peers"), ("working_capital_days_pctile", "working_capital_days_pctile >= 0.75", "working capital weaker than industry peers"),
+    ("scale_peer_cagr", "scale_peer_cagr > 0", "listed peer trajectories available at similar scale"), ("plan_gap", "plan_gap > 5", "projected growth exceeds listed peer trajectories"), ("promoter_delinquency_flag", "promoter_delinquency_flag", "promoter bureau stress"),
+    ("criminal_case_flag", "criminal_case_flag", "legal or criminal case flag"), ("public_risk_flag", "public_risk_flag OR public_risk_score >= 4", "public-domain risk signals detected"), ("growth_plan_aggressive_flag", "growth_plan_aggressive_flag", "growth plan appears aggressive"),
+    ("plan_on_track_flag", "plan_on_track_flag", "management plan execution on track"),
+)
 NO_CUE = "financial profile only; limited rationale coverage"
 AGGRESSIVE_GAP = 5.0
 
@@ -33,9 +41,9 @@ def trends() -> dict[str, Column]:
 
 
 def plan_gaps(plan: Column, peers: Column) -> dict[str, Column]:
-    """A plan's growth over its peers', how aggressive that is, and whether it is too much; null without both."""
+    """A plan's growth over its peers', how aggressive that is, whether it is too much, and whether it keeps to the peers'; null or false without both."""
     gap = plan - peers
-    return {"plan_gap": gap, "plan_aggressiveness": F.greatest(F.lit(0.0), gap), "growth_plan_aggressive_flag": F.coalesce(gap > AGGRESSIVE_GAP, F.lit(False))}
+    return {"plan_gap": gap, "plan_aggressiveness": F.greatest(F.lit(0.0), gap), "growth_plan_aggressive_flag": F.coalesce(gap > AGGRESSIVE_GAP, F.lit(False)), "plan_on_track_flag": F.coalesce(gap.between(-AGGRESSIVE_GAP, 0), F.lit(False))}
 
 
 def quartiles(rows: DataFrame, metrics: list[str]) -> DataFrame:
@@ -54,13 +62,6 @@ def key_features(rows: DataFrame, n: int = 5) -> DataFrame:
     told += [F.concat(F.lit("liquidity: "), F.col("liquidity_label"))] if "liquidity_label" in have else []
     told += [F.lower("scope")] if "scope" in have else []
     told += [F.when(F.col(t), text) for t, text in TREND_CUES.items() if t in have]
-    for column, test, text in (
-        ("depth", lambda c: c >= 3, "multi-year financial history available"), ("prior_agency_rank", lambda c: c > 0, "past agency rating available"), ("interest_coverage_pctile", lambda c: c >= 0.75, "coverage stronger than industry median"),
-        ("ebitda_margin_pct_pctile", lambda c: c >= 0.75, "margins stronger than industry peers"), ("working_capital_days_pctile", lambda c: c >= 0.75, "working capital weaker than industry peers"),
-        ("scale_peer_cagr", lambda c: c > 0, "listed peer trajectories available at similar scale"), ("plan_gap", lambda c: c > AGGRESSIVE_GAP, "projected growth exceeds listed peer trajectories"),
-        ("growth_plan_aggressive_flag", lambda c: c, "growth plan appears aggressive"),
-    ):
-        if column in have:
-            told.append(F.when(test(F.col(column)), text))
+    told += [F.when(F.expr(rule), text) for column, rule, text in LATE_CUES if column in have]
     cues = F.array_compact(F.array(*told))
     return known.withColumn("key_features", F.when(F.size(cues) == 0, F.array(F.lit(NO_CUE))).otherwise(F.slice(cues, 1, n))).drop(*(f"{m}_q75" for m in high))

@@ -36,7 +36,7 @@ ADVISORY_NOTES_SQL = sql(
 )
 
 #: Context that the panel doesn't hold comes from the event's number.
-_MADE = {"promoter_delinquency_flag": "event_id % 6 = 0", "criminal_case_flag": "event_id % 10 = 1", "plan_on_track_flag": "event_id % 4 = 2", "public_risk_flag": "event_id % 12 = 5", "public_risk_score": "event_id % 9 * 0.5", "regulatory_risk_score": "event_id % 11 * 1.0", "plan_progress_score": "event_id % 13 * 1.0"}
+_MADE = {"regulatory_risk_score": "event_id % 11 * 1.0", "plan_progress_score": "event_id % 13 * 1.0"}
 
 
 def q_rationale_reports(spark: SparkSession, sf_dir: str) -> DataFrame:

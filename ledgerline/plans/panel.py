@@ -63,7 +63,7 @@ def context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Context snapshots: user events shifted by 26 years into the panel's time."""
     n = table(spark, sf_dir, "supplier").agg(F.count("*").alias("n"))
     e = table(spark, sf_dir, "events").crossJoin(F.broadcast(n))
-    return e.select("event_id", (F.col("user_id") % F.col("n")).alias("company_id"), F.date_sub(F.to_date("ts"), 9496).alias("as_of"), F.when(F.col("event_id") % 5 != 0, F.col("value")).alias("score"), (F.col("event_type") == "error").alias("flag"))
+    return e.select("event_id", (F.col("user_id") % F.col("n")).alias("company_id"), F.date_sub(F.to_date("ts"), 9496).alias("as_of"), F.when(F.col("event_id") % 5 != 0, F.col("value")).alias("score"), (F.col("event_type") == "error").alias("flag"), F.col("event_type").alias("kind"))
 
 
 SQL = f"""
@@ -97,7 +97,7 @@ rating_events AS (
     o_orderstatus = 'P' AS withdrawn, o_orderkey % 23 = 0 AS not_cooperating
   FROM orders, suppliers
 ), context AS (
-  SELECT event_id, user_id % n AS company_id, ts::DATE - 9496 AS as_of, CASE WHEN event_id % 5 <> 0 THEN value END AS score, event_type = 'error' AS flag FROM events, suppliers
+  SELECT event_id, user_id % n AS company_id, ts::DATE - 9496 AS as_of, CASE WHEN event_id % 5 <> 0 THEN value END AS score, event_type = 'error' AS flag, event_type AS kind FROM events, suppliers
 )"""
 
 

@@ -12,6 +12,7 @@ from ledgerline.plans.features import r6
 from ledgerline.plans.panel import sql
 from ledgerline.plans.parts import cat, either, lit, number, pick
 from ledgerline.plans.rating_queries import TEXTS, rating_texts
+from ledgerline.plans.text_queries import NEGATIVE, POSITIVE, _hits_sql
 from ledgerline.session import table
 
 YEAR = 2025
@@ -114,39 +115,50 @@ UNION ALL SELECT event_id, 'odd' || company_id, NULL, 'ODD' || company_id, '{_BA
 
 def q_event_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JOIN-2, JOIN-11: signals of each event's document, joined by text keys; events without a document have none."""
-    flags = ["has_group_support", "has_regulatory_risk", "has_strong_roce"]
+    flags = list(documents.SIGNALS)
     docs = rating_documents(spark, sf_dir)
-    features = docs.select(F.concat(F.lit("doc_"), F.col("event_id").cast("string")).alias("doc"), *(c.alias(n) for n, c in documents.signals(F.col("text")).items() if n in flags))
+    features = docs.select(F.concat(F.lit("doc_"), F.col("event_id").cast("string")).alias("doc"), *(c.alias(n) for n, c in documents.signals(F.col("text")).items()))
     events = panel.rating_events(spark, sf_dir).select("event_id", F.when(F.col("rating_date").isNotNull(), F.concat(F.lit("doc_"), F.col("event_id").cast("string"))).alias("doc"))
     return registry.document_features(events.withColumn("doc", joins.text_key("doc")), features.withColumn("doc", joins.text_key("doc")), "doc", flags)
 
 
-_SIGNAL = {n: f"regexp_matches(text, '{'|'.join(documents.SIGNALS[n])}', 'i')" for n in ("has_group_support", "has_regulatory_risk", "has_strong_roce")}
+_SIGNAL = {n: f"regexp_matches(text, '{'|'.join(documents.SIGNALS[n])}', 'i')" for n in documents.SIGNALS}
 _flags_sql = ", ".join(f"rating_date IS NOT NULL AND {c} AS {n}" for n, c in _SIGNAL.items())
 EVENT_DOCUMENTS_SQL = sql(f"SELECT e.event_id, CASE WHEN rating_date IS NOT NULL THEN 'doc_' || e.event_id ELSE '' END AS doc, {_flags_sql} FROM rating_events e JOIN docs d ON e.event_id = d.event_id", DOCS)
 
 
 def q_pending_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JOIN-18: companies that neither the rating events nor the context has touched."""
-    done = panel.rating_events(spark, sf_dir).filter("withdrawn"), panel.context(spark, sf_dir).filter("flag")
-    return registry.pending(panel.companies(spark, sf_dir).select("company_id", "company_name"), "company_id", *done)
+    """JOIN-18: companies whose newest dated rating stands and whose newest context is no error."""
+    newest = lambda rows, flag, *order: rows.groupBy("company_id").agg(F.max_by(flag, F.struct(*order)).alias("done")).filter("done")
+    withdrawn = newest(panel.rating_events(spark, sf_dir).filter("rating_date is not null"), "withdrawn", "rating_date", "event_id")
+    errors = newest(panel.context(spark, sf_dir), "flag", "as_of", "event_id")
+    return registry.pending(panel.companies(spark, sf_dir).select("company_id", "company_name"), "company_id", withdrawn, errors)
 
 
-PENDING_COMPANIES_SQL = sql("SELECT company_id, company_name FROM companies WHERE company_id NOT IN (SELECT company_id FROM rating_events WHERE withdrawn) AND company_id NOT IN (SELECT company_id FROM context WHERE flag)")
+PENDING_COMPANIES_SQL = sql("""SELECT company_id, company_name FROM companies WHERE company_id NOT IN (SELECT company_id FROM (SELECT * FROM rating_events WHERE rating_date IS NOT NULL QUALIFY row_number() OVER (PARTITION BY company_id ORDER BY rating_date DESC, event_id DESC) = 1) WHERE withdrawn)
+  AND company_id NOT IN (SELECT company_id FROM (SELECT * FROM context QUALIFY row_number() OVER (PARTITION BY company_id ORDER BY as_of DESC, event_id DESC) = 1) WHERE flag)""")
+
+#: Kinds of text that count as mentions of an industry.
+MENTION_KINDS = ("en", "fr", "es")
 
 
 def q_industry_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JOIN-22, FLT-9: an industry's score, computed once for its name from the kept types of mention, on each of its companies."""
+    """JOIN-22, FLT-9: an industry's outlook, computed once from its companies' kept kinds of mention, on each of its companies.
+
+    Texts name no company, so a text belongs to the company of its number modulo the number of companies, as ratings do.
+    """
     companies = panel.companies(spark, sf_dir)
-    mentions = table(spark, sf_dir, "conversations").filter(F.col("role").isin("user", "assistant"))
-    total = mentions.select((F.col("conv_id") % 5).alias("bucket"), texts.keyword_hits(F.col("text"), ("growth", "demand", "e")).alias("hits")).groupBy("bucket").agg(F.sum("hits").alias("hits"))
-    scored = lambda keys: keys.join(total, F.length("sub_industry") % 5 == F.col("bucket"), "left").select("sub_industry", F.coalesce("hits", F.lit(0)).alias("industry_score"))
-    return registry.once_per(companies, "sub_industry", scored).select("company_id", "sub_industry", "industry_score")
+    n = table(spark, sf_dir, "supplier").agg(F.count("*").alias("n"))
+    mentions = table(spark, sf_dir, "documents").filter(F.col("lang").isin(*MENTION_KINDS)).crossJoin(F.broadcast(n)).select("doc_id", "text", (F.col("doc_id") % F.col("n")).alias("company_id"))
+    of = mentions.join(companies.select("company_id", "sub_industry"), "company_id")
+    scored = lambda keys: keys.join(texts.outlook_scores(of, "sub_industry", "doc_id", "text", POSITIVE, NEGATIVE), "sub_industry", "left").select("sub_industry", F.coalesce("outlook", F.lit(0.0)).alias("industry_score"), F.array_join(F.col("mentions").cast("array<string>"), ",").alias("mentions"))
+    return registry.once_per(companies, "sub_industry", scored).select("company_id", "sub_industry", "industry_score", "mentions")
 
 
 INDUSTRY_SCORES_SQL = sql(
-    "SELECT company_id, sub_industry, coalesce(hits, 0) AS industry_score FROM companies LEFT JOIN totals ON length(sub_industry) % 5 = bucket",
-    "totals AS (SELECT conv_id % 5 AS bucket, sum(contains(lower(coalesce(text, '')), 'growth')::INT + contains(lower(coalesce(text, '')), 'demand')::INT + contains(lower(coalesce(text, '')), 'e')::INT)::BIGINT AS hits FROM conversations WHERE role IN ('user', 'assistant') GROUP BY 1)",
+    "SELECT company_id, sub_industry, coalesce(outlook, 0.0)::DOUBLE AS industry_score, mentions FROM companies LEFT JOIN outlooks USING (sub_industry)",
+    f"mentions AS (SELECT sub_industry, doc_id, {_hits_sql(POSITIVE)} - {_hits_sql(NEGATIVE)} AS hit, row_number() OVER (PARTITION BY sub_industry ORDER BY doc_id) AS n FROM documents, suppliers JOIN companies ON doc_id % n = company_id WHERE lang IN {MENTION_KINDS})",
+    "outlooks AS (SELECT sub_industry, greatest(-5, least(5, sum(hit)))::DOUBLE AS outlook, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) FILTER (WHERE n <= 5) AS mentions FROM mentions GROUP BY 1)",
 )
 
 
@@ -188,34 +200,48 @@ def q_inherited_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 INHERITED_RECORDS_SQL = sql("""SELECT c.company_id, company_name, CASE WHEN year % 3 = 0 THEN 'own' ELSE sub_industry END AS sub_industry, CASE WHEN year % 2 = 0 THEN 'standalone' ELSE 'consolidated' END AS scope, year, round(interest_crore, 6) AS interest_crore FROM statements s JOIN companies c ON s.company_id = c.company_id""")
 
 
+_FIGURES = ("revenue_crore", "ebitda_margin_pct", "pat_margin_pct", "debt_to_equity", "interest_coverage", "working_capital_days", "receivables_days", "inventory_days", "borrowings_crore")
+
+
 def q_narratives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """MRT-5: the six sections on every company's latest year."""
-    latest = panel.financials(spark, sf_dir).groupBy("company_id").agg(F.max_by(F.struct("year", "interest_crore", "borrowings_crore"), "year").alias("f")).select("company_id", "f.*")
-    events = panel.rating_events(spark, sf_dir).filter("rating_rank is not null and rating_date is not null").groupBy("company_id").agg(F.max_by(F.struct("agency", "rating_rank", "rating_date"), F.struct("rating_date", "event_id")).alias("e"), F.count("*").alias("n"))
+    """MRT-5: the six sections on every company's latest year and rating; figures that a year lacks are left out."""
+    f = panel.financials(spark, sf_dir)
+    f = f.withColumn("pat_margin_pct", F.try_divide(F.col("revenue_crore") - 2 * F.col("interest_crore"), F.col("revenue_crore")) * 100)
+    latest = f.groupBy("company_id").agg(F.max_by(F.struct("year", *_FIGURES), "year").alias("f")).select("company_id", "f.*")
+    events = panel.rating_events(spark, sf_dir).filter("rating_rank is not null and rating_date is not null").groupBy("company_id").agg(F.max_by(F.struct("agency", "rating_rank", "rating_date", "scale_type", "withdrawn"), F.struct("rating_date", "event_id")).alias("e"), F.count("*").alias("n"))
     rows = panel.companies(spark, sf_dir).join(latest, "company_id", "left").join(events, "company_id", "left")
-    none = F.lit(None).cast("string")
-    c = dict.fromkeys(("city", "business_type", "threshold_reason", "outlook", "rating_action", "platforms", "workbook"), none)
-    number_ = F.lit(None).cast("double")
-    c |= dict.fromkeys(("revenue_crore", "ebitda_margin_pct", "pat_margin_pct", "debt_to_equity", "interest_coverage", "working_capital_days", "receivables_days", "inventory_days"), number_)
-    c |= {
-        "company_name": F.col("company_name"), "listed_status": F.lit("listed"), "turnover_crore": F.floor(F.col("balance").cast("double")), "industry": F.col("sub_industry"), "state": F.col("industry_group"), "borrowings_crore": F.col("year").cast("double"), "source": F.when(F.col("year").isNotNull(), "panel"),
-        "statement_period": F.col("year"), "rated": F.col("n").isNotNull(), "agency": F.col("e.agency"), "rating": F.col("e.rating_rank"), "rating_date": F.col("e.rating_date"), "history_count": F.col("n"), "simulated": F.lit(True), "signal_strength": F.lit("low"), "method": F.lit("model"),
-        "limit_crore": F.col("company_id") * 1.5, "confidence": F.lit("medium"), "advice": F.when(F.col("company_id") % 2 == 0, F.array(F.lit("Borrow less."), F.lit("Collect sooner."))).otherwise(F.array().cast("array<string>")), "listed_source": F.lit("panel"), "notes": F.array(F.lit("Made from tables.")),
+    turnover = F.coalesce("revenue_crore", F.lit(0.0))
+    c = {m: F.col(m) for m in _FIGURES} | {
+        "company_name": F.col("company_name"), "listed_status": F.when(F.col("balance") > 0, "listed").otherwise("unlisted"), "turnover_crore": F.col("revenue_crore"), "industry": F.col("sub_industry"), "city": F.col("sub_industry"), "state": F.col("industry_group"), "source": F.when(F.col("year").isNotNull(), "panel"),
+        "business_type": F.when(F.col("inventory_days") > F.col("receivables_days"), "manufacturing"), "threshold_reason": F.when(turnover < 400, "Turnover is below the threshold of the screen."),
+        "statement_period": F.col("year"), "rated": F.col("n").isNotNull(), "agency": F.col("e.agency"), "rating": F.col("e.rating_rank"), "rating_date": F.col("e.rating_date"), "history_count": F.col("n"), "outlook": F.when(F.col("e.scale_type") == "long_term", "stable"), "rating_action": F.when(F.col("e.withdrawn"), "withdrawn"), "simulated": F.lit(True),
+        "signal_strength": F.when(F.col("receivables_days") > 120, "medium").otherwise("low"), "method": F.when(F.col("receivables_days").isNotNull(), "model").otherwise("none"), "platforms": F.when(F.col("company_id") % 3 == 0, "RXIL, M1xchange"), "limit_crore": F.col("revenue_crore") * F.col("receivables_days") / 365,
+        "confidence": F.lit("medium"), "advice": F.array_compact(F.array(F.when(F.col("debt_to_equity") > 0.5, "Borrow less."), F.when(F.col("receivables_days") > 120, "Collect sooner."))), "listed_source": F.lit("panel"),
+        "workbook": F.when(F.col("year").isNotNull(), F.concat(F.lit("panel/"), F.col("company_id").cast("string"), F.lit(".xlsx"))), "notes": F.array(F.lit("Made from tables.")),
     }
     return rows.select("company_id", registry.narrative(c).alias("narrative"))
 
 
+def _amount(before: str, value: str, after: str) -> str:
+    return f"'{before} ' || format('{{:,.2f}}', {value}) || '{after}'"
+
+
 NARRATIVES_SQL = sql(
-    """SELECT c.company_id, concat_ws(chr(10) || chr(10),
-  'Company Snapshot' || chr(10) || concat_ws(' ', company_name || ' is currently classified as listed.', 'The latest turnover considered by the platform is ' || format('{:,.2f}', floor(balance::DOUBLE)) || ' crore.', 'The company is mapped to the industry bucket ''' || sub_industry || '''.', 'Operating location in the reference dataset is ' || industry_group || '.'),
-  'Financial Assessment' || chr(10) || coalesce('Borrowings captured in the current view are ' || format('{:,.2f}', year::DOUBLE) || ' crore. The primary financial source in this run is ''panel''. The latest statement period referenced is ' || year || '.', 'A complete financial snapshot was not available for this run.'),
-  'Credit Rating Position' || chr(10) || CASE WHEN n IS NULL THEN 'No external rating was confirmed in the current run. The platform has flagged this case for simulated internal credit assessment in a later phase.' ELSE
-    'An external rating is available from ' || agency || '. The latest rating considered is ' || rating || '. The rating date used is ' || rating_date || '. The platform has preserved ' || n || ' rating event(s) for context.' END,
-  'TReDS View' || chr(10) || 'TReDS signal strength is assessed as low. The workflow used the ''model'' method. No direct TReDS platform mention was detected in the public search layer. The estimated TReDS limit is ' || format('{:,.2f}', c.company_id * 1.5::DOUBLE) || ' crore. Estimation confidence is medium.',
-  'Advisory View' || chr(10) || CASE WHEN c.company_id % 2 = 0 THEN 'Advisory 1: Borrow less. Advisory 2: Collect sooner.' ELSE 'No rule-based advisory trigger was generated from the currently available data.' END,
-  'Data Provenance' || chr(10) || 'Listed/unlisted resolution source: panel. No Screener workbook was attached to this run. Made from tables.') AS narrative
-FROM companies c LEFT JOIN (SELECT company_id, max(year) AS year FROM statements GROUP BY 1) f ON c.company_id = f.company_id LEFT JOIN rated r ON c.company_id = r.company_id""",
-    """rated AS (SELECT company_id, count(*) AS n, arg_max(agency, (rating_date, event_id)) AS agency, arg_max(rating_rank, (rating_date, event_id)) AS rating, max(rating_date) AS rating_date FROM rating_events WHERE rating_rank IS NOT NULL AND rating_date IS NOT NULL GROUP BY 1)""",
+    f"""SELECT c.company_id, concat_ws(chr(10) || chr(10),
+  'Company Snapshot' || chr(10) || concat_ws(' ', company_name || ' is currently classified as ' || CASE WHEN balance > 0 THEN 'listed' ELSE 'unlisted' END || '.', {_amount("The latest turnover considered by the platform is", "revenue_crore", " crore.")}, 'The company is mapped to the industry bucket ''' || sub_industry || '''.',
+    CASE WHEN inventory_days > receivables_days THEN 'Business type is identified as manufacturing.' END, 'Operating location in the reference dataset is ' || sub_industry || ', ' || industry_group || '.', CASE WHEN coalesce(revenue_crore, 0) < 400 THEN 'Turnover is below the threshold of the screen.' END),
+  'Financial Assessment' || chr(10) || CASE WHEN f.year IS NULL THEN 'A complete financial snapshot was not available for this run.' ELSE concat_ws(' ', {_amount("Revenue available for assessment is", "revenue_crore", " crore.")}, {_amount("EBITDA margin is", "ebitda_margin_pct", "%.")},
+    {_amount("PAT margin is", "(revenue_crore - 2 * interest_crore) / nullif(revenue_crore, 0) * 100", "%.")}, {_amount("Debt to equity is", "debt_to_equity", "x.")}, {_amount("Interest coverage is", "interest_coverage", "x.")}, {_amount("Working capital days are", "working_capital_days", " days.")}, {_amount("Receivables days are", "receivables_days", " days.")},
+    {_amount("Inventory days are", "inventory_days", " days.")}, {_amount("Borrowings captured in the current view are", "borrowings_crore", " crore.")}, 'The primary financial source in this run is ''panel''.', 'The latest statement period referenced is ' || f.year || '.') END,
+  'Credit Rating Position' || chr(10) || CASE WHEN r.n IS NULL THEN 'No external rating was confirmed in the current run. The platform has flagged this case for simulated internal credit assessment in a later phase.' ELSE
+    concat_ws(' ', 'An external rating is available from ' || agency || '.', 'The latest rating considered is ' || rating || '.', CASE WHEN scale_type = 'long_term' THEN 'The outlook is stable.' END, 'The rating date used is ' || rating_date || '.', CASE WHEN withdrawn THEN 'The latest rating action is ''withdrawn''.' END, 'The platform has preserved ' || r.n || ' rating event(s) for context.') END,
+  'TReDS View' || chr(10) || concat_ws(' ', 'TReDS signal strength is assessed as ' || CASE WHEN receivables_days > 120 THEN 'medium' ELSE 'low' END || '.', 'The workflow used the ''' || CASE WHEN receivables_days IS NULL THEN 'none' ELSE 'model' END || ''' method.',
+    CASE WHEN c.company_id % 3 = 0 THEN 'Detected platforms include RXIL, M1xchange.' ELSE 'No direct TReDS platform mention was detected in the public search layer.' END, {_amount("The estimated TReDS limit is", "revenue_crore * receivables_days / 365", " crore.")}, 'Estimation confidence is medium.'),
+  'Advisory View' || chr(10) || CASE WHEN debt_to_equity > 0.5 AND receivables_days > 120 THEN 'Advisory 1: Borrow less. Advisory 2: Collect sooner.' WHEN debt_to_equity > 0.5 THEN 'Advisory 1: Borrow less.' WHEN receivables_days > 120 THEN 'Advisory 1: Collect sooner.' ELSE 'No rule-based advisory trigger was generated from the currently available data.' END,
+  'Data Provenance' || chr(10) || 'Listed/unlisted resolution source: panel. ' || CASE WHEN f.year IS NULL THEN 'No Screener workbook was attached to this run.' ELSE 'Screener workbook was available at panel/' || c.company_id || '.xlsx.' END || ' Made from tables.') AS narrative
+FROM companies c LEFT JOIN (SELECT * FROM financials QUALIFY row_number() OVER (PARTITION BY company_id ORDER BY year DESC) = 1) f ON c.company_id = f.company_id LEFT JOIN rated r ON c.company_id = r.company_id""",
+    """rated AS (SELECT company_id, count(*) AS n, arg_max(agency, (rating_date, event_id)) AS agency, arg_max(rating_rank, (rating_date, event_id)) AS rating, arg_max(scale_type, (rating_date, event_id)) AS scale_type, arg_max(withdrawn, (rating_date, event_id)) AS withdrawn, max(rating_date) AS rating_date
+  FROM rating_events WHERE rating_rank IS NOT NULL AND rating_date IS NOT NULL GROUP BY 1)""",
 )
 
 

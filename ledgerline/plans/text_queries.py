@@ -146,6 +146,31 @@ def q_candidate_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.decide_candidates(asked, "asked", scored, "p_name", "rank", 0.86, 0.08)
 
 
+def q_code_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JOIN-14: search results for each part name and brand, decided by exchange codes, names and places.
+
+    Brands are the codes in the results' addresses; a one-digit brand is known as an NSE code, a
+    brand that ends in less than 5 as a BSE code. Results bear the name itself or the name with a legal suffix.
+    """
+    found = table(spark, sf_dir, "part").select("p_name", F.col("p_brand").alias("slug"), "p_type").distinct()
+    plain = F.col("slug").endswith("7") & (F.col("p_type") == "ECONOMY")
+    found = found.withColumns({"found": F.when(plain, F.col("p_name")).otherwise(F.concat("p_name", F.lit(" Ltd"))), "rank": F.row_number().over(Window.partitionBy("p_name").orderBy("p_type", "slug"))})
+    asked = found.select("p_name", F.col("slug").alias("brand")).distinct().withColumns({"asked": F.concat_ws(" / ", "p_name", "brand"), "nse": F.when(F.length("brand") == 7, F.col("brand")), "bse": F.when((F.length("brand") > 7) & (F.substring("brand", -1, 1) < "5"), F.col("brand"))})
+    scored = names.candidate_scores(asked.join(found, "p_name"), "p_name", "found", "rank", "nse", "bse", "slug")
+    return names.decide_candidates(asked, "asked", scored, "found", "rank", 0.86, 0.08)
+
+
+CODE_DECISIONS_SQL = """
+WITH listed AS (SELECT DISTINCT p_name, p_brand AS slug, p_type FROM part),
+found AS (SELECT *, CASE WHEN slug LIKE '%7' AND p_type = 'ECONOMY' THEN p_name ELSE p_name || ' Ltd' END AS found, row_number() OVER (PARTITION BY p_name ORDER BY p_type, slug) AS rank FROM listed),
+asked AS (SELECT DISTINCT p_name, slug AS brand, p_name || ' / ' || slug AS asked FROM listed),
+bases AS (SELECT asked, found, rank, length(brand) = 7 AND brand = slug AS nse, length(brand) > 7 AND right(brand, 1) < '5' AND brand = slug AS bse, found = a.p_name AS same, 2.0::DOUBLE * length(a.p_name) / (length(a.p_name) + length(found)) AS ratio FROM asked a JOIN found f ON a.p_name = f.p_name),
+scored AS (SELECT *, round(least(1.0::DOUBLE, CASE WHEN nse THEN 1.0 WHEN bse THEN 0.95 ELSE CASE WHEN same THEN 0.84::DOUBLE ELSE 0 END + 0.18::DOUBLE + ratio * 0.18::DOUBLE + CASE WHEN rank = 1 THEN 0.03::DOUBLE ELSE 0 END END), 4) AS score FROM bases),
+ranked AS (SELECT *, lead(score, 1, 0) OVER w AS second, row_number() OVER w AS n FROM scored WINDOW w AS (PARTITION BY asked ORDER BY score DESC, rank)),
+decided AS (SELECT *, CASE WHEN nse OR bse AND round(score - second, 6) >= 0.03 OR score >= 0.86 AND round(score - second, 6) >= 0.08 THEN 'matched' ELSE 'ambiguous' END AS status FROM ranked WHERE n = 1)
+SELECT asked, CASE WHEN status = 'matched' THEN found END AS matched, score AS confidence, second, status FROM decided"""
+
+
 def q_fuzzy_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JOIN-13: the best part name at or above the threshold; held against brute force in the tests."""
     known = _part_names(spark, sf_dir)
@@ -189,4 +214,4 @@ def q_event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 EVENT_STREAM_SQL = """SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n FROM events
 WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 6 HOUR GROUP BY 1, 2"""
 
-QUERIES = {"adverse_mentions": (q_adverse_mentions, ADVERSE_MENTIONS_SQL), "outlook_scores": (q_outlook_scores, OUTLOOK_SCORES_SQL), "signal_rates": (q_signal_rates, SIGNAL_RATES_SQL), "top_phrases": (q_top_phrases, TOP_PHRASES_SQL), "line_records": (q_line_records, LINE_RECORDS_SQL), "contact_points": (q_contact_points, CONTACT_POINTS_SQL), "page_links": (q_page_links, PAGE_LINKS_SQL), "name_decisions": (q_name_decisions, NAME_DECISIONS_SQL), "candidate_decisions": (q_candidate_decisions, None), "fuzzy_names": (q_fuzzy_names, None), "event_ingest": (q_event_ingest, EVENT_INGEST_SQL), "event_stream": (q_event_stream, EVENT_STREAM_SQL)}
+QUERIES = {"adverse_mentions": (q_adverse_mentions, ADVERSE_MENTIONS_SQL), "outlook_scores": (q_outlook_scores, OUTLOOK_SCORES_SQL), "signal_rates": (q_signal_rates, SIGNAL_RATES_SQL), "top_phrases": (q_top_phrases, TOP_PHRASES_SQL), "line_records": (q_line_records, LINE_RECORDS_SQL), "contact_points": (q_contact_points, CONTACT_POINTS_SQL), "page_links": (q_page_links, PAGE_LINKS_SQL), "name_decisions": (q_name_decisions, NAME_DECISIONS_SQL), "candidate_decisions": (q_candidate_decisions, None), "code_decisions": (q_code_decisions, CODE_DECISIONS_SQL), "fuzzy_names": (q_fuzzy_names, None), "event_ingest": (q_event_ingest, EVENT_INGEST_SQL), "event_stream": (q_event_stream, EVENT_STREAM_SQL)}

@@ -12,6 +12,10 @@ from ledgerline.plans.panel import sql
 from ledgerline.session import materialise
 
 PEER_METRICS = ("revenue_crore", "ebitda_margin_pct", "debt_to_equity", "interest_coverage", "working_capital_days")
+#: What a company's newest context says by its kind; the panel's kinds are event types.
+CONTEXT_FLAGS = {"promoter_delinquency_flag": "signup", "criminal_case_flag": "click", "public_risk_flag": "error"}
+#: Of the panel's score of 0 to 100 and more, the risk score of 0 to 10.
+RISK_UNIT = 25.0
 SUFFIXES = ("", "_avg3y", "_std3y", "_slope3y", "_delta1y", "_delta2y")
 
 
@@ -29,8 +33,9 @@ def training_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     signals = rating_documents(spark, sf_dir).select("event_id", *(c.alias(n) for n, c in documents.signals(F.col("text")).items()))
     rows = rows.join(signals, "event_id")
     context = panel.context(spark, sf_dir).filter("score is not null")
-    known = joins.asof_latest(rows.select("event_id", "company_id", "rating_date"), ["event_id", "company_id"], "rating_date", context.withColumnRenamed("event_id", "context_id"), "company_id", "as_of", "context_id", ["score"])
-    rows = rows.join(known.select("event_id", F.col("score").alias("context_score")), "event_id")
+    known = joins.asof_latest(rows.select("event_id", "company_id", "rating_date"), ["event_id", "company_id"], "rating_date", context.withColumnRenamed("event_id", "context_id"), "company_id", "as_of", "context_id", ["score", "kind"])
+    flags = (F.coalesce(F.col("kind") == kind, F.lit(False)).alias(n) for n, kind in CONTEXT_FLAGS.items())
+    rows = rows.join(known.select("event_id", F.col("score").alias("context_score"), (F.col("score") / RISK_UNIT).alias("public_risk_score"), *flags), "event_id")
     peers_at_scale = features.q_scale_peers(spark, sf_dir, financials).select(F.col("target").alias("company_id"), F.col("median_cagr").alias("scale_peer_cagr"))
     plan = (F.col("event_id") % 41 - 8).cast("double")
     rows = rows.join(peers_at_scale, "company_id", "left").withColumns(cues.trends()).withColumns(cues.plan_gaps(plan, F.col("scale_peer_cagr")))
@@ -61,16 +66,16 @@ CTES = (
     """priors AS (SELECT a.event_id, arg_max(b.rating_rank, (b.rating_date, b.event_id)) AS prior_rank, arg_max(b.rating_rank, (b.rating_date, b.event_id)) FILTER (WHERE a.agency = b.agency) AS prior_agency_rank
   FROM grouped a LEFT JOIN grouped b ON a.company_id = b.company_id AND b.rating_date < a.rating_date GROUP BY 1)""",
     DOCS, f"signals AS (SELECT event_id, {_SIGNAL_SQL} FROM docs)",
-    "known AS (SELECT g.event_id, arg_max(c.score, (c.as_of, c.event_id)) AS context_score FROM grouped g LEFT JOIN context c ON g.company_id = c.company_id AND c.as_of < g.rating_date AND c.score IS NOT NULL GROUP BY 1)",
+    "known AS (SELECT g.event_id, arg_max(c.score, (c.as_of, c.event_id)) AS context_score, arg_max(c.score, (c.as_of, c.event_id)) / 25.0::DOUBLE AS public_risk_score, " + ", ".join(f"coalesce(arg_max(c.kind, (c.as_of, c.event_id)) = '{kind}', false) AS {n}" for n, kind in CONTEXT_FLAGS.items()) + " FROM grouped g LEFT JOIN context c ON g.company_id = c.company_id AND c.as_of < g.rating_date AND c.score IS NOT NULL GROUP BY 1)",
     features.EPISODES, features.SCALE_PAIRS, f"scaled AS ({features.SCALE_BODY})",
-    f"""training AS (SELECT g.*, p.sub_industry, {", ".join(f"p.{m}_gap, p.{m}_pctile" for m in PEER_METRICS)}, q.prior_rank, q.prior_agency_rank, s.* EXCLUDE (event_id), k.context_score, z.median_cagr AS scale_peer_cagr,
+    f"""training AS (SELECT g.*, p.sub_industry, {", ".join(f"p.{m}_gap, p.{m}_pctile" for m in PEER_METRICS)}, q.prior_rank, q.prior_agency_rank, s.* EXCLUDE (event_id), k.* EXCLUDE (event_id), z.median_cagr AS scale_peer_cagr,
   coalesce(ebitda_margin_pct_slope3y > 0, false) AS profitability_trend_positive, coalesce(debt_to_equity_slope3y < 0, false) AS leverage_trend_improving, coalesce(interest_coverage_slope3y > 0, false) AS coverage_trend_improving,
   coalesce(working_capital_days_slope3y < 0, false) AS working_capital_trend_improving, coalesce(revenue_crore_slope3y > 0, false) AS scale_growth_positive, (g.event_id % 41 - 8)::DOUBLE - z.median_cagr AS plan_gap,
-  CASE WHEN z.median_cagr IS NULL THEN 0.0 ELSE greatest(0.0::DOUBLE, (g.event_id % 41 - 8)::DOUBLE - z.median_cagr) END AS plan_aggressiveness, coalesce((g.event_id % 41 - 8)::DOUBLE - z.median_cagr > {cues.AGGRESSIVE_GAP}, false) AS growth_plan_aggressive_flag,
+  CASE WHEN z.median_cagr IS NULL THEN 0.0 ELSE greatest(0.0::DOUBLE, (g.event_id % 41 - 8)::DOUBLE - z.median_cagr) END AS plan_aggressiveness, coalesce((g.event_id % 41 - 8)::DOUBLE - z.median_cagr > {cues.AGGRESSIVE_GAP}, false) AS growth_plan_aggressive_flag, coalesce((g.event_id % 41 - 8)::DOUBLE - z.median_cagr BETWEEN -{cues.AGGRESSIVE_GAP} AND 0, false) AS plan_on_track_flag,
   {" + ".join(f"{n}::INT" for n in documents.SIGNALS)} AS signals_count, date_diff('day', g.matched_period, g.rating_date)::INT AS days_from_period
   FROM grouped g LEFT JOIN peers p ON g.company_id = p.company_id AND g.matched_period = p.period_date JOIN priors q ON g.event_id = q.event_id JOIN signals s ON g.event_id = s.event_id JOIN known k ON g.event_id = k.event_id LEFT JOIN scaled z ON g.company_id = z.target)""",
 )
-_DOUBLES = [f"{m}{s}" for m in panel.METRICS for s in SUFFIXES] + [f"{m}_{k}" for m in PEER_METRICS for k in ("gap", "pctile")] + ["context_score", "scale_peer_cagr", "plan_gap", "plan_aggressiveness"]
+_DOUBLES = [f"{m}{s}" for m in panel.METRICS for s in SUFFIXES] + [f"{m}_{k}" for m in PEER_METRICS for k in ("gap", "pctile")] + ["context_score", "public_risk_score", "scale_peer_cagr", "plan_gap", "plan_aggressiveness"]
 TRAINING_SET_SQL = sql("SELECT * REPLACE (" + ", ".join(f"round({c} + {NUDGE}::DOUBLE, 6) AS {c}" for c in _DOUBLES) + ") FROM training", *CTES)
 
 
@@ -84,9 +89,7 @@ def q_key_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 _HIGH = {m: t for m, t in (cues.GOOD_HIGH | cues.BAD_HIGH).items() if m in panel.METRICS}
 _CUES = (
     [f"CASE WHEN {m} >= {m}_q75 THEN '{t}' END" for m, t in _HIGH.items()] + [f"CASE WHEN {s} THEN '{t}' END" for s, t in cues.SIGNAL_CUES.items()] + [f"CASE WHEN {s} THEN '{t}' END" for s, t in cues.TREND_CUES.items()]
-    + ["CASE WHEN depth >= 3 THEN 'multi-year financial history available' END", "CASE WHEN prior_agency_rank > 0 THEN 'past agency rating available' END", "CASE WHEN interest_coverage_pctile >= 0.75 THEN 'coverage stronger than industry median' END"]
-    + ["CASE WHEN ebitda_margin_pct_pctile >= 0.75 THEN 'margins stronger than industry peers' END", "CASE WHEN working_capital_days_pctile >= 0.75 THEN 'working capital weaker than industry peers' END"]
-    + ["CASE WHEN scale_peer_cagr > 0 THEN 'listed peer trajectories available at similar scale' END", f"CASE WHEN plan_gap > {cues.AGGRESSIVE_GAP} THEN 'projected growth exceeds listed peer trajectories' END", "CASE WHEN growth_plan_aggressive_flag THEN 'growth plan appears aggressive' END"]
+    + [f"CASE WHEN {rule} THEN '{t}' END" for _, rule, t in cues.LATE_CUES]
 )
 KEY_FEATURES_SQL = sql(
     f"SELECT event_id, CASE WHEN len(told) = 0 THEN '{cues.NO_CUE}' ELSE array_to_string(told[1:5], '; ') END AS key_features FROM (SELECT event_id, list_filter([{', '.join(_CUES)}], lambda x: x IS NOT NULL) AS told FROM training, quartiles)",
