@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -262,9 +264,11 @@ def q_page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.matrices(found, "company_id").filter("value <> ''")
 
 
-PAGE_RECORDS_SQL = sql("""
-SELECT company_id, 0 AS grid, 'Interest & costs' AS metric, year::VARCHAR AS period, round(interest_crore, 2)::VARCHAR AS value FROM statements WHERE company_id % 9 <> 0
-UNION ALL SELECT company_id, 0, 'Borrowings', year::VARCHAR, round(borrowings_crore, 2)::VARCHAR FROM statements WHERE company_id % 9 <> 0 AND borrowings_crore IS NOT NULL""")
+#: Amounts have at most eight decimals; rounded as such, an exact half goes up, where the binary number may lie below it.
+_CENTS = "round({}::DECIMAL(38, 8), 2)::DOUBLE::VARCHAR"
+PAGE_RECORDS_SQL = sql(f"""
+SELECT company_id, 0 AS grid, 'Interest & costs' AS metric, year::VARCHAR AS period, {_CENTS.format("interest_crore")} AS value FROM statements WHERE company_id % 9 <> 0
+UNION ALL SELECT company_id, 0, 'Borrowings', year::VARCHAR, {_CENTS.format("borrowings_crore")} FROM statements WHERE company_id % 9 <> 0 AND borrowings_crore IS NOT NULL""")
 
 
 def q_page_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -284,8 +288,32 @@ def q_page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.identity(pages.cells(table(spark, sf_dir, "pages"), "page_id", "html"), "page_id")
 
 
-_INNER = "nullif(trim(replace(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<{tag}(?:\\s[^>]*)?>(.*?)</{tag}>', 1), '<[^>]*>', '', 'g'), '\\s+', ' ', 'g'), '&amp;', '&')), '')"
-PAGE_TITLES_SQL = f"""SELECT page_id, {_INNER.format(tag="title")} AS title, {_INNER.format(tag="h1")} AS heading FROM pages WHERE regexp_matches(html, '(?i)<title|<h1')"""
+def _mapped(pairs) -> str:
+    quoted = lambda x: "'" + str(x).replace("'", "''") + "'" if str(x).isprintable() else "||".join(f"chr({ord(c)})" for c in str(x))
+    return "MAP {" + ", ".join(f"{quoted(k) if isinstance(k, str) else k}: {quoted(v)}" for k, v in pairs) + "}"
+
+
+#: Character references as HTML defines them: by number (Windows' own for the C1 controls), by whole name, else by the longest name that a name begins with.
+_C1 = [(n, bytes([n]).decode("cp1252", "replace")) for n in range(0x80, 0xA0)]
+_CODES = _mapped([(0, "\ufffd"), (13, "\r"), *((n, c if c != "\ufffd" else chr(n)) for n, c in _C1)])
+_SILENT = "n BETWEEN 1 AND 8 OR n BETWEEN 14 AND 31 OR n IN (11, 127) OR n BETWEEN 64976 AND 65007 OR n & 65534 = 65534"
+_REFERENCE = "&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\\t\\n\\f <&#;]{1,32};?)"
+_SPACES = "[\\x09-\\x0d\\x1c-\\x1f\\x{85}\\p{Z}]+"
+
+
+def _found_sql(tag: str) -> str:
+    """The first element of a tag that says something: its text without markup, references decoded, white space folded."""
+    pieces = f"regexp_extract_all(regexp_replace(t, '<[^>]*>', '', 'g'), '{_REFERENCE}|[^&]+|&')"
+    folded = f"trim(regexp_replace(array_to_string(list_transform({pieces}, lambda x: decoded(x)), ''), '{_SPACES}', ' ', 'g'))"
+    folded = folded.replace("decoded(x)", "CASE WHEN x[1:1] <> '&' OR len(x) = 1 THEN x WHEN x[2:2] = '#' THEN by_number(x) ELSE by_name(x) END")
+    folded = folded.replace("by_name(x)", "coalesce(list_transform(list_filter(range(len(x), 1, -1), lambda n: map_contains(names, x[2:n])), lambda n: names[x[2:n]] || x[n + 1:])[1], x)")
+    number = "list_transform([CASE WHEN lower(x[3:3]) = 'x' THEN ('0x' || rtrim(x[4:], ';'))::BIGINT ELSE rtrim(x[3:], ';')::BIGINT END], lambda n: CASE WHEN map_contains(codes, n) THEN codes[n] WHEN n BETWEEN 55296 AND 57343 OR n > 1114111 THEN chr(65533) "
+    folded = folded.replace("by_number(x)", f"{number} WHEN {_SILENT} THEN '' ELSE chr(n::INT) END)[1]")
+    return f"list_filter(list_transform(regexp_extract_all(html, '(?is)<{tag}(?:\\s[^>]*)?>(.*?)</{tag}>', 1), lambda t: {folded}), lambda t: t <> '')[1]"
+
+
+PAGE_TITLES_SQL = f"""WITH known AS (SELECT {_mapped(html5.items())} AS names, {_CODES} AS codes)
+SELECT page_id, {_found_sql("title")} AS title, {_found_sql("h1")} AS heading FROM pages, known WHERE regexp_matches(html, '(?i)<title|<h1')"""
 
 
 def q_ranked_links(spark: SparkSession, sf_dir: str) -> DataFrame:
