@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.operators import names, texts
 from ledgerline.plans.features import r6
-from ledgerline.session import scratch, table
+from ledgerline.session import materialise, scratch, table
 from ledgerline.streaming import ingest
 
 # Keywords of a good and of a bad outlook.
@@ -173,8 +173,9 @@ SELECT asked, CASE WHEN status = 'matched' THEN found END AS matched, score AS c
 
 def q_fuzzy_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JOIN-13: the best part name at or above the threshold; held against brute force in the tests."""
-    known = _part_names(spark, sf_dir)
-    asked = table(spark, sf_dir, "part").select(F.concat_ws(" ", "p_name", "p_brand").alias("asked")).distinct()
+    #: Names are read in many branches, whose filters Spark would push below the distinct to every row of the table.
+    known = materialise(_part_names(spark, sf_dir), "known-names")
+    asked = materialise(table(spark, sf_dir, "part").select(F.concat_ws(" ", "p_name", "p_brand").alias("asked")).distinct(), "asked-names")
     return names.fuzzy_matches(names.candidate_pairs(asked, "asked", "asked", known, "p_name", "p_name"))
 
 
