@@ -251,3 +251,16 @@ def test_heap_merge_adds_up_and_keeps_the_order():
         total.update(dict(zip(keys.tolist(), counts.tolist())))
     out = [(k, c) for keys, counts in token_alignment.heap_merge(runs) for k, c in zip(keys.tolist(), counts.tolist())]
     assert out == sorted(total.items())
+
+
+def test_texts_cut_at_every_blank_have_the_ids_of_the_whole(monkeypatch):
+    """op4, op12: runs of blanks, other white space and a full memory change no id; blanks that are no tokens leave no piece."""
+    from ledgerline.llm import tokens
+
+    monkeypatch.setattr(tokens, "REMEMBERED", 4)
+    own = tokens.Encoder(tokens.vocabulary("word_bpe_49k.json"))
+    texts = ["a  b\n\n c", " lead and trail ", "x\ty z\x85q\x1fr", "", "\n", "a\r\nb C,d", "one two three four five six", "six five four one", "́a ́b Σ Σ"]
+    for _ in range(3):
+        for k in range(len(texts)):
+            assert own.encode(texts[k:]) == [own._whole(t) for t in texts[k:]]
+    assert not any(" " in p or "\n" in p for p in own.known)
