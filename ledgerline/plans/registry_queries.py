@@ -118,8 +118,8 @@ UNION ALL SELECT event_id, 'odd' || company_id, NULL, 'ODD' || company_id, '{_BA
 def q_event_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JOIN-2, JOIN-11: signals of each event's document, joined by text keys; events without a document have none."""
     flags = list(documents.SIGNALS)
-    docs = rating_documents(spark, sf_dir)
-    features = docs.select(F.concat(F.lit("doc_"), F.col("event_id").cast("string")).alias("doc"), *(c.alias(n) for n, c in documents.signals(F.col("text")).items()))
+    docs = rating_documents(spark, sf_dir).select(F.concat(F.lit("doc_"), F.col("event_id").cast("string")).alias("doc"), "text")
+    features = documents.signal_table(docs, ["doc"], "text")
     events = panel.rating_events(spark, sf_dir).select("event_id", F.when(F.col("rating_date").isNotNull(), F.concat(F.lit("doc_"), F.col("event_id").cast("string"))).alias("doc"))
     return registry.document_features(events.withColumn("doc", joins.text_key("doc")), features.withColumn("doc", joins.text_key("doc")), "doc", flags)
 
